@@ -36,3 +36,32 @@ def read_diffs(spark: SparkSession, path: str, suffix: str = ".diff") -> DataFra
     """Many diff files at once, ``diff_id`` = file name."""
     df = read_text_dir(spark, path, suffixes=(suffix,))
     return df.select(F.col("file_name").alias("diff_id"), "text")
+
+
+def write_text_files(df: DataFrame, root: str, rel_path: str = "path", text: str = "text") -> DataFrame:
+    """Write each row's text to ``<root>/<rel_path>`` (UTF-8), from the
+    executors, through ``pyarrow.fs`` (local, HDFS or object stores).
+    Returns ``(rel_path, bytes)`` rows once the write has run (lazy)."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(rel_path, T.StringType()),
+                           T.StructField("bytes", T.LongType())])
+    base = root.rstrip("/")
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+        uri = base if "://" in base else "file://" + base
+        filesystem, prefix = fs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            sizes = []
+            for p, t in zip(pdf[rel_path], pdf[text]):
+                data = (t or "").encode("utf-8")
+                target = f"{prefix}/{p}"
+                filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with filesystem.open_output_stream(target) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({rel_path: pdf[rel_path], "bytes": pd.Series(sizes, dtype="int64")})
+
+    return df.select(rel_path, text).mapInPandas(write, schema)
