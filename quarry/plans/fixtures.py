@@ -18,7 +18,7 @@ from quarry.sources.tables import load_table
 E_ASOF = dt.date(2024, 1, 30)      # reference day for the events table
 H = 10                             # look-back in days
 O_ASOF = dt.date(2001, 8, 1)       # reference day for orders
-RECENT_CLICK_DAY = E_ASOF - dt.timedelta(days=4)
+RECENT_CLICK_DAY = E_ASOF                  # clicks on the reference day itself
 BOOK_START = dt.date(1998, 1, 10)
 BOOK_END = dt.date(1998, 3, 31)
 FILE_LINES = 10                    # lines of a document per synthetic diff file
