@@ -233,24 +233,28 @@ def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[st
 
     The number of rounds is ``ceil(log_fan_in(reviews per group))``.
     """
-    level = 0
+    level, finals = 0, None
     cur = reviews.select(*group, F.col(name).alias("__name"), F.col(text).alias("__text"))
     while True:
+        level += 1
         b = consolidation_batches(cur, group, "__name", "__text", fan_in)
         b = b.withColumn("prompt", F.replace(F.lit(SUMMARY_PROMPT), F.lit(SUMMARY_PLACEHOLDER),
                                              F.col("text")))
-        done = call_model(b, fn, "prompt", keep=[*group, "batch"])
         # Each round's answers are checkpointed to the shared folder: the
         # model is not called again when a later stage is recomputed.
-        done = done.checkpoint(eager=True)
-        n_max = done.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-        level += 1
-        if n_max <= 1:
-            return done.select(*group, F.lit(level).alias("levels"),
-                               truncate_chars(F.coalesce("response", "error"), max_chars).alias("summary"),
-                               (F.length(F.coalesce("response", "error")) > max_chars).alias("was_truncated"))
-        cur = done.select(*group, F.format_string("summary_%08d", F.col("batch")).alias("__name"),
-                          F.coalesce("response", "error").alias("__text"))
+        done = call_model(b, fn, "prompt", keep=[*group, "batch"]).checkpoint(eager=True)
+        sizes = done.groupBy(*group).agg(F.count(F.lit(1)).alias("__nb"))
+        done = done.join(sizes, list(group))
+        answer = F.coalesce("response", "error")
+        fin = done.filter(F.col("__nb") == 1).select(
+            *group, F.lit(level).alias("levels"), truncate_chars(answer, max_chars).alias("summary"),
+            (F.length(answer) > max_chars).alias("was_truncated"))
+        finals = fin if finals is None else finals.unionByName(fin)
+        rest = done.filter(F.col("__nb") > 1)
+        if rest.isEmpty():
+            return finals
+        cur = rest.select(*group, F.format_string("summary_%08d", F.col("batch")).alias("__name"),
+                          answer.alias("__text"))
 
 
 def stub_reviewer(fail_marker: str = "!") -> Callable[[str], str]:

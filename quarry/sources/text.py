@@ -14,22 +14,35 @@ def read_text_dir(spark: SparkSession, path: str,
     """Every file under ``path`` whose name ends with one of
     ``suffixes``, one row per file: ``(file_name, path, text)``.
 
-    ``wholetext`` must be passed as the keyword of ``text()``: the keyword
-    default would otherwise override an ``.option("wholetext", ...)`` and
-    yield one row per line. The suffix test runs as a glob on file names
-    during listing, so unwanted files are never opened.
+    Uses the ``binaryFile`` source: one row per file *including empty
+    files* (the whole-text reader skips 0-byte files, which must still get
+    their "no code" review), content decoded as UTF-8 in the JVM. The
+    suffix test runs as a glob on file names during listing, so unwanted
+    files are never opened.
     """
     exts = [s.lstrip(".") for s in suffixes]
     glob = "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
-    reader = spark.read.option("pathGlobFilter", glob)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    df = reader.text(path, wholetext=True)
-    return df.select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_path").alias("path"),
-        F.col("value").alias("text"),
+    df = reader.load(path)
+    scanned = df.select(
+        F.regexp_extract(F.col("path"), r"([^/]*)$", 1).alias("file_name"),
+        F.col("path"),
+        F.decode(F.col("content"), "UTF-8").alias("text"),
     )
+    # The scan skips 0-byte files; the file index (already held by the
+    # driver for planning) still lists them. Add them back with "".
+    listed = df.inputFiles()
+    if not listed:
+        return scanned
+    norm = lambda c: F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+    all_files = spark.createDataFrame([(p,) for p in listed], "path string")
+    empty = all_files.join(scanned.select(norm(F.col("path")).alias("__p")),
+                           norm(all_files["path"]) == F.col("__p"), "left_anti")
+    empty = empty.select(F.regexp_extract(F.col("path"), r"([^/]*)$", 1).alias("file_name"),
+                         norm(F.col("path")).alias("path"), F.lit("").alias("text"))
+    return scanned.unionByName(empty)
 
 
 def read_diffs(spark: SparkSession, path: str, suffix: str = ".diff") -> DataFrame:
