@@ -33,6 +33,7 @@ class CleanSpec:
     count_token: str = "count"
     string_fill: str = "Others"
     protect: Sequence[str] = field(default_factory=tuple)
+    stage: bool = False      # write the input once before profiling it
 
 
 def fill_values(df: DataFrame, fills: dict[str, object]) -> DataFrame:
@@ -47,7 +48,7 @@ def fill_by_group(df: DataFrame, spec: CleanSpec) -> tuple[DataFrame, dict[str,
     COUNT-named numeric columns -> 0, ``fill_zero_named`` -> 0, plain
     (non flag-like) strings -> ``string_fill``. Returns the frame and the
     column plan."""
-    df, dropped = drop_sparse(df, spec.sparse_threshold, protect=spec.protect)
+    df, dropped = drop_sparse(df, spec.sparse_threshold, protect=spec.protect, stage=spec.stage)
     groups = column_groups(df, spec.flag_like)
     counts, _ = names_containing(groups["numeric"], spec.count_token)
     strings = [c for c in groups["string"] if c not in set(spec.flag_like)]

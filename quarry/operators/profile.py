@@ -57,9 +57,17 @@ def complete_columns(profile: DataFrame) -> list[str]:
     return sorted(r.feature_name for r in rows)
 
 
-def drop_sparse(df: DataFrame, threshold: float = 90.0,
-                protect: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Profile, then drop columns above ``threshold`` % NULL in one select."""
+def drop_sparse(df: DataFrame, threshold: float = 90.0, protect: Iterable[str] = (),
+                stage: bool = False) -> tuple[DataFrame, list[str]]:
+    """Profile, then drop columns above ``threshold`` % NULL in one select.
+
+    With ``stage`` the input is first written once under the shared
+    checkpoint folder (K3), so the profile pass and the final select read
+    that table instead of recomputing the upstream plan twice.
+    """
+    if stage:
+        from quarry.sinks.tables import materialize
+        df = materialize(df, "profiled")
     keep_always = set(protect)
     dropped = [c for c in sparse_columns(null_profile(df), threshold) if c not in keep_always]
     return df.select(*[F.col(_q(c)) for c in df.columns if c not in set(dropped)]), dropped

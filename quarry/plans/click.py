@@ -7,6 +7,7 @@ transactions = ``lineitem`` + ``orders``, SKU = ``part``.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -336,10 +337,10 @@ def q16(spark, root):
 def feature_dataset(t: Tables) -> tuple[DataFrame, list[str]]:
     """Clean members, click label, four feature tables, second sparsity
     drop (features keep their NULLs before it, D6)."""
-    clean, _ = clean_members(members(t), MEMBER_SPEC)
+    clean, _ = clean_members(members(t), replace(MEMBER_SPEC, stage=True))
     labelled = add_existence_label(clean, "registration_id", clickers(t))
     full = assemble(labelled, "registration_id", [emails(t), txns(t), slots(t), renewals(t)])
-    return drop_sparse(full, 90.0)
+    return drop_sparse(full, 90.0, stage=True)
 
 
 ASSEMBLED_SQL = f"""WITH {MEMBERS_SQL}, {FILLED_SQL}, {CLEAN_SQL}, {CLICKERS_SQL},

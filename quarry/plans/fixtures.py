@@ -30,8 +30,13 @@ def d(x: dt.date) -> str:
     return f"DATE '{x.isoformat()}'"
 
 
+# Tables whose rows carry long texts processed by regexes row by row.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 class Tables:
-    """Lazy accessor: ``Tables(spark, root).orders`` scans ``orders.parquet``."""
+    """Lazy accessor: ``Tables(spark, root).orders`` scans ``orders.parquet``.
+    Text tables are spread over at least the default parallelism."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -40,7 +45,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return load_table(self.spark, self.root, name)
+        spread = self.spark.sparkContext.defaultParallelism if name in TEXT_TABLES else None
+        return load_table(self.spark, self.root, name, min_partitions=spread)
 
 
 # ---------------------------------------------------------------- members

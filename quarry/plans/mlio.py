@@ -59,7 +59,7 @@ def q45(spark, root):
     """Save a model, load it back and score every labelled document that
     was not used for training (training ids removed by anti join)."""
     t = Tables(spark, root)
-    data = labelled(t)
+    data = materialize(labelled(t), "score-data")
     train = data.filter(is_train(F.col("doc_id")))
     path = save_model(fit_final(train, "logistic_regression", FEATURES), scratch_path(spark, "model"))
     model = load_model(path)
