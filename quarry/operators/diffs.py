@@ -2,8 +2,8 @@
 
 Diffs are rows ``(diff_id, text)``. Parsing is regex ``split`` plus array
 functions inside each row; one row per file comes from ``posexplode``.
-The three levels of the reference splitter are three disjoint branches
-united at the end:
+The three levels of the reference splitter are decided per row in one
+pass (``plan_levels``) and each row emits its own chunks:
 
 1. the whole diff fits the budget -> one chunk ``full_diff_chunk_0.diff``
    (no suffix filter at this level);
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WHITESPACE, base_name, token_count
-from quarry.operators.packing import chunk_texts, pack_chunks
+from quarry.operators.packing import pack_chunks
 
 # Chunk budget and reviewable suffixes of the reference.
 CONTEXT_WINDOW_TOKENS = 100_000
@@ -85,42 +85,68 @@ def is_reviewable(path: Column, suffixes: Sequence[str] = REVIEW_SUFFIXES) -> Co
     return cond
 
 
+def plan_levels(diffs: DataFrame, budget: int = CONTEXT_WINDOW_TOKENS,
+                pattern: str = WHITESPACE, suffixes: Sequence[str] = REVIEW_SUFFIXES) -> DataFrame:
+    """T5 in one pass: one row per diff that fits (``level`` 1, its text in
+    ``whole_text``) and one row per reviewable file of every other diff
+    (``level`` 2 when the file fits, else 3), with the file's hunk arrays.
+
+    Files are exploded only for diffs over the budget; the diff text is
+    never copied onto file rows. Nothing upstream is computed twice.
+    """
+    d = diffs.withColumn("diff_tokens", token_count("text", pattern))
+    big = F.col("diff_tokens") > budget
+    x = d.select("diff_id", F.when(~big, F.col("text")).alias("whole_text"), "diff_tokens",
+                 F.posexplode_outer(F.when(big, F.split(F.col("text"), FILE_SPLIT)))
+                 .alias("file_idx", "file_text"))
+    small = F.col("file_text").isNull()
+    x = x.filter(small | F.col("file_text").startswith("diff --git "))
+    new = F.regexp_extract("file_text", r"(?dm)^\+\+\+ b/(.*)$", 1)
+    old = F.regexp_extract("file_text", r"(?dm)^--- a/(.*)$", 1)
+    git = F.regexp_extract("file_text", r"^diff --git a/(\S+) b/(\S+)", 2)
+    path = F.when(small, F.lit(None)).when(new != "", new).when(git != "", git).otherwise(old)
+    x = x.withColumns({"path": path, "old_path": F.when(old != "", old).otherwise(path)})
+    x = x.filter(small | is_reviewable(F.col("path"), suffixes))
+    x = with_hunks(x, pattern)
+    level = F.when(small, F.lit(1)).when(F.col("file_tokens") <= budget, F.lit(2)).otherwise(F.lit(3))
+    return x.withColumn("level", level)
+
+
 def create_chunks(diffs: DataFrame, budget: int = CONTEXT_WINDOW_TOKENS,
                   pattern: str = WHITESPACE, suffixes: Sequence[str] = REVIEW_SUFFIXES,
                   header_weight: str = "header") -> DataFrame:
     """``(diff_id, level, path, part, chunk_name, text, tokens)``.
 
-    ``header_weight="header"`` weighs each level-3 chunk's header by the
-    header text itself (D19); ``"none"`` gives it weight 0.
+    Each row of ``plan_levels`` builds its own array of chunks (one for
+    levels 1 and 2, the packed parts for level 3), then a single explode
+    produces the output. ``header_weight="header"`` weighs each level-3
+    chunk's header by the header text itself (D19); ``"none"`` gives 0.
+    Level-3 ``tokens`` are the chunk's hunk tokens (header excluded).
     """
-    d = diffs.withColumn("diff_tokens", token_count("text", pattern))
-    whole = d.filter(F.col("diff_tokens") <= budget).select(
-        "diff_id", F.lit(1).alias("level"), F.lit(None).cast("string").alias("path"),
-        F.lit(0).alias("part"), F.lit("full_diff_chunk_0.diff").alias("chunk_name"),
-        "text", F.col("diff_tokens").alias("tokens"))
-    big = d.filter(F.col("diff_tokens") > budget)
-    files = with_hunks(split_files(big).filter(is_reviewable(F.col("path"), suffixes)), pattern)
+    x = plan_levels(diffs, budget, pattern, suffixes)
     header = file_header(F.col("old_path"), F.col("path"))
     name = base_name(F.col("path"))
-    fit = files.filter(F.col("file_tokens") <= budget).select(
-        "diff_id", F.lit(2).alias("level"), "path", F.lit(0).alias("part"),
-        F.concat(name, F.lit(".diff")).alias("chunk_name"),
-        F.concat(header, F.array_join("hunks", "\n")).alias("text"),
-        F.col("file_tokens").alias("tokens"))
     hw = F.col("header_tokens") if header_weight == "header" else F.lit(0)
-    over = files.filter(F.col("file_tokens") > budget).withColumn(
-        "chunks", pack_chunks(F.col("hunk_tokens"), budget, hw, F.col("is_block")))
-    over = over.withColumn("texts", chunk_texts(F.col("hunks"), F.col("chunks")))
-    parts = over.select("diff_id", "path", "old_path",
-                        F.posexplode(F.arrays_zip(F.col("chunks").alias("c"), F.col("texts").alias("t")))
-                        .alias("pos", "z"))
-    split = parts.select(
-        "diff_id", F.lit(3).alias("level"), "path", (F.col("pos") + 1).alias("part"),
-        F.concat(base_name(F.col("path")), F.lit("_part_"), (F.col("pos") + 1).cast("string"),
-                 F.lit(".diff")).alias("chunk_name"),
-        F.concat(file_header(F.col("old_path"), F.col("path")), F.col("z.t")).alias("text"),
-        F.col("z.c.tokens").alias("tokens"))
-    return whole.unionByName(fit).unionByName(split)
+    lvl = F.col("level")
+    packed = F.when(lvl == 3, pack_chunks(F.col("hunk_tokens"), budget, hw, F.col("is_block")))
+    x = x.withColumn("packed", packed)
+
+    def part(c, i):
+        first, n = c["first"] + 1, c["last"] - c["first"] + 1
+        return F.struct((i + 1).alias("part"),
+                        F.concat(name, F.lit("_part_"), (i + 1).cast("string"), F.lit(".diff")).alias("chunk_name"),
+                        F.concat(header, F.array_join(F.slice(F.col("hunks"), first, n), "\n")).alias("text"),
+                        c["tokens"].alias("tokens"))
+
+    one = lambda p, nm, t, tok: F.array(F.struct(F.lit(p).alias("part"), nm.alias("chunk_name"),
+                                                 t.alias("text"), tok.alias("tokens")))
+    chunks = (F.when(lvl == 1, one(0, F.lit("full_diff_chunk_0.diff"), F.col("whole_text"),
+                                   F.col("diff_tokens")))
+               .when(lvl == 2, one(0, F.concat(name, F.lit(".diff")),
+                                   F.concat(header, F.array_join("hunks", "\n")), F.col("file_tokens")))
+               .otherwise(F.transform("packed", part)))
+    out = x.select("diff_id", "level", "path", F.explode(chunks).alias("c"))
+    return out.select("diff_id", "level", "path", "c.part", "c.chunk_name", "c.text", "c.tokens")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

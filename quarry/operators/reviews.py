@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.text import truncate_chars
 from quarry.operators.ranking import ordered_rank
+from quarry.session import ensure_checkpoint_dir
 
 # Limits, skip text, severities and JSON contract of the
 # reference review job.
@@ -233,6 +234,7 @@ def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[st
 
     The number of rounds is ``ceil(log_fan_in(reviews per group))``.
     """
+    ensure_checkpoint_dir(reviews.sparkSession)
     level, finals = 0, None
     cur = reviews.select(*group, F.col(name).alias("__name"), F.col(text).alias("__text"))
     while True:

@@ -313,6 +313,22 @@ def q14(spark, root):
     return not_in(t.part, "p_partkey", sub, "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("q14b_not_in_spark_sql", """
+SELECT p_name FROM part
+WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 50 THEN NULL ELSE l_partkey END
+                        FROM lineitem WHERE l_quantity > 49)""")
+def q14b(spark, root):
+    """S2 + J8 through ``spark.sql`` on registered views: Spark's own
+    null-aware anti join (the subquery side here is small and filtered;
+    ``not_in`` is the form that scales to any subquery size)."""
+    from quarry.sources.tables import register_tables
+    register_tables(spark, root, ("part", "lineitem"))
+    return spark.sql("""
+        SELECT p_name FROM part
+        WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 50 THEN NULL ELSE l_partkey END
+                                FROM lineitem WHERE l_quantity > 49)""")
+
+
 @query("q15_training_removed", f"""
 SELECT c_custkey, c_name FROM customer
 WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE {SPLIT_SQL.format(k='c_custkey')})""")

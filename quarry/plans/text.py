@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quarry.functions.safe import safe_add, safe_divide
 from quarry.functions.dates import parse_day_or_null
 from quarry.functions.text import WORD_PUNCT, base_name, stem, token_count, truncate_tokens
-from quarry.operators.diffs import create_chunks, is_reviewable, split_files, with_hunks
+from quarry.operators.diffs import (create_chunks, is_reviewable, plan_levels, split_files,
+                                    with_hunks)
 from quarry.operators.packing import pack_chunks
 from quarry.operators.reviews import (REVIEW_PROMPT, build_prompts, call_model,
                                       consolidation_batches, findings, parse_reviews,
@@ -148,16 +149,10 @@ UNION ALL
 SELECT 'doc' || doc_id, CASE WHEN file_tokens <= {LEVEL_BUDGET} THEN 2 ELSE 3 END, path,
        CAST(file_tokens AS BIGINT) FROM big""")
 def q36(spark, root):
-    d = diffs(Tables(spark, root)).withColumn("diff_tokens", token_count("text"))
-    whole = d.filter(F.col("diff_tokens") <= LEVEL_BUDGET).select(
-        "diff_id", F.lit(1).alias("level"), F.lit(None).cast("string").alias("path"),
-        F.col("diff_tokens").alias("tokens"))
-    files = with_hunks(split_files(d.filter(F.col("diff_tokens") > LEVEL_BUDGET)))
-    files = files.filter(is_reviewable(F.col("path")))
-    per_file = files.select("diff_id", F.when(F.col("file_tokens") <= LEVEL_BUDGET, F.lit(2))
-                            .otherwise(F.lit(3)).alias("level"), "path",
-                            F.col("file_tokens").alias("tokens"))
-    return whole.unionByName(per_file)
+    x = plan_levels(diffs(Tables(spark, root)), LEVEL_BUDGET)
+    return x.select("diff_id", "level", "path",
+                    F.when(F.col("level") == 1, F.col("diff_tokens"))
+                     .otherwise(F.col("file_tokens")).alias("tokens"))
 
 
 @query("q37_chunk_text", rf"""WITH RECURSIVE {DIFF_LINES_SQL}, {_DIFF_TOKENS_SQL},

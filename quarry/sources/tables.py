@@ -53,11 +53,11 @@ def snapshot_scan(df: DataFrame, ts_col: str, snapshot_day: dt.date,
     column, so the parquet scan receives it as a pushed filter and can
     skip row groups by min/max statistics.
     """
-    lo = dt.datetime.combine(snapshot_day, dt.time())
-    hi = lo + dt.timedelta(days=1)
-    ts = F.col(ts_col)
-    cond = (ts >= F.lit(lo).cast(df.schema[ts_col].dataType)) & \
-           (ts < F.lit(hi).cast(df.schema[ts_col].dataType))
+    # Bounds are built from ISO text cast to the column's own type, so the
+    # day boundaries do not depend on the Python process's time zone.
+    lo, hi = snapshot_day.isoformat(), (snapshot_day + dt.timedelta(days=1)).isoformat()
+    ts, typ = F.col(ts_col), df.schema[ts_col].dataType
+    cond = (ts >= F.lit(lo).cast(typ)) & (ts < F.lit(hi).cast(typ))
     if where is not None:
         cond = cond & where
     return df.filter(cond).drop(*drop)
