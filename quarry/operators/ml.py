@@ -50,12 +50,13 @@ def fold_col(key: Column, folds: int = FOLDS) -> Column:
     return hash_bucket(key, 9, folds).cast("int")
 
 
-def doc_features(docs: DataFrame) -> DataFrame:
-    """Numeric features of a text row (all computed in the JVM)."""
+def doc_features(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Numeric features of a text row (all computed in the JVM), plus the
+    ``keep`` columns."""
     t = F.col("text")
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
     return docs.select(
-        "doc_id",
+        *keep,
         F.length(t).cast("double").alias("n_chars"),
         (F.size(F.split(t, "\n"))).cast("double").alias("n_lines"),
         token_count(t).cast("double").alias("ws_tokens"),

@@ -62,6 +62,11 @@ REVIEW = T.StructType([
     T.StructField("key_recommendations", T.ArrayType(T.StringType())),
 ])
 TOP_KEYS = ("summary", "detailed_findings", "key_recommendations")
+FINDING_KEYS = tuple(f.name for f in FINDING.fields)
+# Each finding re-read as a string map: its key set, for the strict form's
+# "no additional properties" rule.
+_FINDING_MAPS = T.StructType([T.StructField("detailed_findings",
+                                            T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
 REQUIRED = ("file_path", "severity", "line_number", "finding")
 STRICT_REQUIRED = (*REQUIRED, "function_context", "snippet")
 
@@ -142,8 +147,12 @@ def parse_reviews(df: DataFrame, text: str = "response") -> DataFrame:
     t = F.col(text)
     keys = F.json_object_keys(t)
     allowed = F.array(*[F.lit(k) for k in TOP_KEYS])
+    allowed_f = F.array(*[F.lit(k) for k in FINDING_KEYS])
+    extra = F.transform(F.from_json(t, _FINDING_MAPS)["detailed_findings"],
+                        lambda m: F.size(F.array_except(F.map_keys(m), allowed_f)) == 0)
     return df.withColumns({
         "review": F.from_json(t, REVIEW),
+        "finding_keys_ok": extra,
         "is_json": keys.isNotNull(),
         "top_ok": keys.isNotNull() & F.array_contains(keys, "summary")
         & F.array_contains(keys, "detailed_findings") & F.array_contains(keys, "key_recommendations"),
@@ -163,16 +172,19 @@ def finding_valid(f: Column, strict: bool = False) -> Column:
 def findings(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per finding (``finding_idx`` 0-based); a review that is
     not valid JSON keeps one row with NULL finding fields. ``is_strict_valid``
-    also requires ``function_context``, ``snippet`` and no extra top-level
-    key."""
+    also requires ``function_context``, ``snippet`` and no key outside the
+    contract, at the top level or inside the finding."""
+    pairs = F.arrays_zip(F.col("review.detailed_findings").alias("f"),
+                         F.col("finding_keys_ok").alias("k"))
     rows = parsed.select(*keep, "is_json", "top_ok", "strict_top_ok",
-                         F.posexplode_outer(F.when(F.col("is_json"), F.col("review.detailed_findings")))
-                         .alias("finding_idx", "f"))
+                         F.posexplode_outer(F.when(F.col("is_json"), pairs)).alias("finding_idx", "z"))
+    rows = rows.select(*keep, "is_json", "top_ok", "strict_top_ok", "finding_idx",
+                       F.col("z.f").alias("f"), F.coalesce(F.col("z.k"), F.lit(False)).alias("keys_ok"))
     return rows.select(*keep, "finding_idx", "f.*",
                        (F.col("is_json") & F.col("top_ok") & F.col("f").isNotNull()
                         & finding_valid(F.col("f"))).alias("is_valid"),
                        (F.col("is_json") & F.col("top_ok") & F.col("strict_top_ok")
-                        & F.col("f").isNotNull()
+                        & F.col("keys_ok") & F.col("f").isNotNull()
                         & finding_valid(F.col("f"), strict=True)).alias("is_strict_valid"))
 
 

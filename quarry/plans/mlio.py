@@ -24,9 +24,11 @@ from quarry.sources.text import read_text_dir, write_text_files
 
 
 def labelled(t: Tables) -> DataFrame:
-    """Features + ``label`` (double), ``fold`` and class ``weight``."""
-    df = t.labels.select("doc_id", F.col("quality").cast("double").alias("label")) \
-        .join(doc_features(t.documents), "doc_id")
+    """Features + ``label`` (double), ``fold`` and class ``weight``. The
+    join runs first, so text features are computed for labelled rows only."""
+    joined = t.labels.select("doc_id", F.col("quality").cast("double").alias("label")) \
+        .join(t.documents.select("doc_id", "text"), "doc_id")
+    df = doc_features(joined, keep=("doc_id", "label"))
     return with_class_weights(df.withColumn("fold", fold_col(F.col("doc_id"))), "label")
 
 

@@ -246,7 +246,9 @@ def review_json(t: Tables) -> DataFrame:
         F.lit('{"summary": "doc '), did, F.lit('", "detailed_findings": [{"file_path": "doc'), did,
         F.lit('.py", "severity": "'), sev, F.lit('", "line_number": '), (F.col("n_chars") % 97).cast("string"),
         F.lit(', "function_context": "'), F.col("lang"), F.lit('", "finding": "length '),
-        F.col("n_chars").cast("string"), F.lit('", "snippet": "s"}, {"file_path": "doc'), did,
+        F.col("n_chars").cast("string"), F.lit('", "snippet": "s"'),
+        F.when(F.col("lang") == "es", F.lit(', "note": "x"')).otherwise(F.lit("")),
+        F.lit('}, {"file_path": "doc'), did,
         F.lit('.py", "severity": "Low", '),
         F.when(F.col("quality") == 1, F.lit('"line_number": 1, ')).otherwise(F.lit("")),
         F.lit('"finding": "quality '), F.col("quality").cast("string"),
@@ -261,7 +263,8 @@ REVIEW_JSON_SQL = """answers AS (
     '{"summary": "doc ' || l.doc_id || '", "detailed_findings": [{"file_path": "doc' || l.doc_id ||
     '.py", "severity": "' || CASE WHEN l.toxic = 1 THEN 'Severe' WHEN l.quality = 0 THEN 'High' ELSE 'Medium' END ||
     '", "line_number": ' || (d.n_chars % 97) || ', "function_context": "' || d.lang || '", "finding": "length ' ||
-    d.n_chars || '", "snippet": "s"}, {"file_path": "doc' || l.doc_id || '.py", "severity": "Low", ' ||
+    d.n_chars || '", "snippet": "s"' || CASE WHEN d.lang = 'es' THEN ', "note": "x"' ELSE '' END ||
+    '}, {"file_path": "doc' || l.doc_id || '.py", "severity": "Low", ' ||
     CASE WHEN l.quality = 1 THEN '"line_number": 1, ' ELSE '' END || '"finding": "quality ' || l.quality ||
     '", "snippet": "x"}], "key_recommendations": ["r"]' ||
     CASE WHEN d.lang = 'fr' THEN ', "extra": 1' ELSE '' END ||
@@ -269,12 +272,12 @@ REVIEW_JSON_SQL = """answers AS (
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 good AS (SELECT doc_id, response FROM answers WHERE json_valid(response)),
 parsed AS (
-  SELECT doc_id, json_type(response) = 'OBJECT' AS is_json, json_keys(response) AS keys,
+  SELECT doc_id, response, json_type(response) = 'OBJECT' AS is_json, json_keys(response) AS keys,
          json_transform(response,
            '{"summary":"VARCHAR","detailed_findings":[{"file_path":"VARCHAR","severity":"VARCHAR","line_number":"BIGINT","function_context":"VARCHAR","finding":"VARCHAR","snippet":"VARCHAR"}],"key_recommendations":["VARCHAR"]}') AS r
   FROM good
   UNION ALL
-  SELECT doc_id, false, NULL, NULL FROM answers WHERE NOT json_valid(response)),
+  SELECT doc_id, response, false, NULL, NULL FROM answers WHERE NOT json_valid(response)),
 flags AS (
   SELECT *, is_json AND list_contains(keys, 'summary') AND list_contains(keys, 'detailed_findings')
             AND list_contains(keys, 'key_recommendations') AS top_ok,
@@ -282,10 +285,11 @@ flags AS (
   FROM parsed),
 rows AS (
   SELECT doc_id, top_ok, strict_top_ok, unnest(r.detailed_findings) AS f,
+         unnest(json_extract(response, '$.detailed_findings[*]')) AS fj,
          generate_subscripts(r.detailed_findings, 1) - 1 AS finding_idx
   FROM flags WHERE is_json
   UNION ALL
-  SELECT doc_id, false, false, NULL, NULL FROM flags WHERE NOT is_json),
+  SELECT doc_id, false, false, NULL, NULL, NULL FROM flags WHERE NOT is_json),
 found AS (
   SELECT doc_id, CAST(finding_idx AS INTEGER) AS finding_idx, f.file_path AS file_path, f.severity AS severity,
          f.line_number AS line_number, f.function_context AS function_context, f.finding AS finding,
@@ -293,7 +297,10 @@ found AS (
          coalesce(top_ok AND f IS NOT NULL AND f.file_path IS NOT NULL AND f.severity IS NOT NULL
                   AND f.line_number IS NOT NULL AND f.finding IS NOT NULL
                   AND f.severity IN ('Low', 'Medium', 'High', 'Critical'), false) AS is_valid,
-         coalesce(top_ok AND strict_top_ok AND f IS NOT NULL AND f.file_path IS NOT NULL
+         coalesce(top_ok AND strict_top_ok AND f IS NOT NULL
+                  AND len(list_filter(json_keys(fj), lambda k: k NOT IN ('file_path', 'severity', 'line_number',
+                      'function_context', 'finding', 'snippet'))) = 0
+                  AND f.file_path IS NOT NULL
                   AND f.severity IS NOT NULL AND f.line_number IS NOT NULL AND f.finding IS NOT NULL
                   AND f.function_context IS NOT NULL AND f.snippet IS NOT NULL
                   AND f.severity IN ('Low', 'Medium', 'High', 'Critical'), false) AS is_strict_valid

@@ -44,6 +44,9 @@ ANSWERS = [
     (4, json.dumps({"summary": "s", "detailed_findings": [
         {"file_path": "a", "severity": "High", "line_number": 2, "finding": "y",
          "function_context": "f", "snippet": "x"}], "key_recommendations": [], "extra": 1})),
+    (5, json.dumps({"summary": "s", "detailed_findings": [
+        {"file_path": "a", "severity": "High", "line_number": 2, "finding": "y",
+         "function_context": "f", "snippet": "x", "note": "extra"}], "key_recommendations": []})),
 ]
 
 
@@ -52,7 +55,8 @@ def test_contract_validation(spark):
     f = findings(parse_reviews(df), keep=["rid"]).orderBy("rid", "finding_idx").collect()
     got = [(r.rid, r.finding_idx, r.is_valid, r.is_strict_valid) for r in f]
     assert got == [(1, 0, True, False), (1, 1, True, True), (2, 0, False, False),
-                   (2, 1, False, False), (3, None, False, False), (4, 0, True, False)]
+                   (2, 1, False, False), (3, None, False, False), (4, 0, True, False),
+                   (5, 0, True, False)]
 
 
 def test_severity_trim(spark):
