@@ -89,12 +89,14 @@ def build_prompts(df: DataFrame, text: str = "text", template: str = REVIEW_PROM
 
 
 def call_model(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt",
-               keep: Sequence[str] = ("path",)) -> DataFrame:
+               keep: Sequence[str] = ("path",), max_concurrency: int = 1) -> DataFrame:
     """``fn(prompt) -> response`` for every non-NULL prompt.
 
     Output ``(…keep, prompt_md5, response, error)``: ``error`` holds the
     exception text of a failed call (its ``response`` is NULL); NULL
-    prompts pass through with ``response = SKIP_TEXT``.
+    prompts pass through with ``response = SKIP_TEXT``. Calls run inside
+    each task over Arrow batches; ``max_concurrency`` > 1 overlaps the
+    (network-bound) calls of a batch on a thread pool, keeping row order.
     """
     cols = [*keep, prompt]
     schema = T.StructType([df.schema[c] for c in keep] + [
@@ -102,30 +104,33 @@ def call_model(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt",
         T.StructField("response", T.StringType()),
         T.StructField("error", T.StringType())])
 
-    def run(batches):
+    def one(p):
         import hashlib
+        if p is None:
+            return None, SKIP_TEXT, None
+        digest = hashlib.md5(p.encode("utf-8")).hexdigest()
+        try:
+            return digest, fn(p), None
+        except Exception as e:  # noqa: BLE001 - per-row isolation
+            return digest, None, f"{type(e).__name__}: {e}"
 
+    def run(batches):
         import pandas as pd
-        for pdf in batches:
-            out_resp, out_err, out_md5 = [], [], []
-            for p in pdf[prompt]:
-                if p is None:
-                    out_resp.append(SKIP_TEXT)
-                    out_err.append(None)
-                    out_md5.append(None)
-                    continue
-                out_md5.append(hashlib.md5(p.encode("utf-8")).hexdigest())
-                try:
-                    out_resp.append(fn(p))
-                    out_err.append(None)
-                except Exception as e:  # noqa: BLE001 - per-row isolation
-                    out_resp.append(None)
-                    out_err.append(f"{type(e).__name__}: {e}")
-            res = pdf[list(keep)].copy()
-            res["prompt_md5"] = pd.Series(out_md5, dtype=object)
-            res["response"] = pd.Series(out_resp, dtype=object)
-            res["error"] = pd.Series(out_err, dtype=object)
-            yield res
+        pool = None
+        if max_concurrency > 1:
+            from concurrent.futures import ThreadPoolExecutor
+            pool = ThreadPoolExecutor(max_concurrency)
+        try:
+            for pdf in batches:
+                prompts = list(pdf[prompt])
+                outs = list(pool.map(one, prompts)) if pool else [one(p) for p in prompts]
+                res = pdf[list(keep)].copy()
+                for i, c in enumerate(("prompt_md5", "response", "error")):
+                    res[c] = pd.Series([o[i] for o in outs], dtype=object, index=res.index)
+                yield res
+        finally:
+            if pool:
+                pool.shutdown()
 
     return df.select(*cols).mapInPandas(run, schema)
 

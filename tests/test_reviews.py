@@ -5,6 +5,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.reviews import (SKIP_TEXT, build_prompts, call_model, consolidate,
@@ -19,9 +20,10 @@ def sources(spark):
     return spark.createDataFrame(rows, "source string, file_name string, path string, text string")
 
 
-def test_blank_skip_and_error_isolation(spark):
+@pytest.mark.parametrize("threads", [1, 4])
+def test_blank_skip_and_error_isolation(spark, threads):
     res = call_model(build_prompts(sources(spark)), stub_reviewer("!"),
-                     keep=("source", "file_name", "path"))
+                     keep=("source", "file_name", "path"), max_concurrency=threads)
     by_path = {r.path: r for r in res.collect()}
     assert by_path["r1/b.py"].response == SKIP_TEXT and by_path["r1/b.py"].error is None
     assert by_path["r1/c.py"].response is None and "refused" in by_path["r1/c.py"].error
