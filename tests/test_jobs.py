@@ -49,3 +49,48 @@ def test_train_and_score_jobs(spark):
     for rerun in range(2):
         score_job(data, f"{tmp}/model", f"{tmp}/pred", "r1", keep=["doc_id"])
     assert spark.read.parquet(f"{tmp}/pred").count() == data.count()
+
+
+def test_click_dataset_and_predictions(spark):
+    import datetime as dt
+
+    from quarry.operators.clean import CleanSpec
+    from quarry.operators.ml import fit_final, fold_col, save_model, with_class_weights
+    from quarry.plans.jobs import ClickDatasetSpec, click_dataset, predictions_job
+
+    as_of = dt.date(2024, 3, 31)
+    snap_ts = dt.datetime(2024, 3, 1, 8, 30)         # as_of - 30 days
+    rows = []
+    for i in range(40):
+        rows.append((i, snap_ts, 0, "x" if i % 4 else None, i if i % 3 else None,
+                     None if i < 38 else 1, dt.date(2024, 2, 1 + i % 20), dt.date(2024, 1, 1 + i % 20),
+                     "Y" if i % 2 else "N"))
+    rows.append((99, snap_ts - dt.timedelta(days=1), 0, "x", 1, 1, None, None, "Y"))   # other day
+    rows.append((98, snap_ts, 1, "x", 1, 1, None, None, "Y"))                          # bad email
+    snap = spark.createDataFrame(rows, "registration_id long, snapshot_ts timestamp, bad_email int, "
+                                       "segment string, iru_count long, rare long, last_login date, "
+                                       "prior_login date, flag string")
+    clicks = spark.createDataFrame([(i, dt.datetime(2024, 3, 10)) for i in range(0, 40, 5)],
+                                   "reg_id long, event_date timestamp")
+    feat = spark.createDataFrame([(i, i * 2) for i in range(0, 40, 2)], "registration_id long, n long")
+    spec = ClickDatasetSpec(
+        as_of=as_of, key="registration_id", snapshot_ts="snapshot_ts",
+        scan_where=F.col("bad_email") == 0, scan_drop=["bad_email"],
+        clean=CleanSpec(snapshot_day=as_of - dt.timedelta(days=30), last_login="last_login",
+                        prior_login="prior_login", flag_like=("flag",)))
+    out = click_dataset(snap, clicks, [feat], spec, tempfile.mkdtemp(prefix="quarry-ds-") + "/ds")
+    got = out.collect()
+    assert len(got) == 40                                   # one snapshot day, good emails only
+    assert "rare" not in out.columns                        # 95 % NULL -> dropped
+    assert "n" in out.columns                               # 50 % NULL feature kept, NULLs kept
+    assert sum(r.clicked_or_not == "True" for r in got) == 8
+    assert all(r.segment is not None and r.iru_count is not None for r in got)
+
+    data = with_class_weights(out.withColumn("label", (F.col("clicked_or_not") == "True").cast("double"))
+                              .withColumn("fold", fold_col(F.col("registration_id"))), "label")
+    model = save_model(fit_final(data, "logistic_regression", ["iru_count"]),
+                       tempfile.mkdtemp(prefix="quarry-m-") + "/m")
+    trained = data.filter(F.col("registration_id") < 20).select("registration_id")
+    pred = predictions_job(data, trained, "registration_id", model,
+                           tempfile.mkdtemp(prefix="quarry-p-") + "/p")
+    assert pred.count() == 20 and "prediction_score" in pred.columns
