@@ -23,9 +23,11 @@ def distinct_keys_since(events: DataFrame, key: str, ts_col: str, since: dt.date
 
 def add_existence_label(df: DataFrame, key: str, keys: DataFrame,
                         label: str = "clicked_or_not") -> DataFrame:
-    """Left join to a distinct key set; ``'True'`` when matched,
-    ``'False'`` otherwise. The key set is unique, so rows never multiply."""
-    ks = keys.select(F.col(keys.columns[0]).alias("__k"))
+    """Left join to the distinct keys of ``keys``; ``'True'`` when
+    matched, ``'False'`` otherwise. The keys are de-duplicated (map-side
+    first; Catalyst drops the step when the input is already distinct), so
+    rows never multiply."""
+    ks = keys.select(F.col(keys.columns[0]).alias("__k")).distinct()
     j = df.join(ks, df[key] == ks["__k"], "left")
     return j.withColumn(label, F.when(F.col("__k").isNull(), F.lit("False"))
                         .otherwise(F.lit("True"))).drop("__k")

@@ -25,6 +25,28 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a run over ``input_bytes`` on ``total_cores``.
+
+    * scan splits of ``target_partition_bytes`` (256 MB) so each task's input
+      fits an executor core's share of memory;
+    * initial shuffle partitions = max(3 x cores, input / target), so even
+      a full-width shuffle keeps partitions near the target size; AQE then
+      coalesces small ones and splits skewed ones at run time.
+
+    For 100 TB on 1,000 executors x 8 cores this gives 409,600 initial
+    shuffle partitions of about 256 MB.
+    """
+    parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+    }
+
+
 def build_session(master: str = "local[*]", app: str = "quarry",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library's settings."""
