@@ -91,7 +91,7 @@ def q47(spark, root):
     back = spark.read.parquet(f"{base}/contacts")
     write_part(contacts, f"{base}/scored", "run1", 0)
     write_part(contacts, f"{base}/scored", "run1", 0)      # rerun replaces, no duplicates
-    write_part(contacts.limit(0), f"{base}/scored", "run1", 1)
+    write_part(contacts.filter(F.lit(False)), f"{base}/scored", "run1", 1)   # empty part
     staged = materialize(back.groupBy("last_name").count(), "segments")
     steps = [("created_empty", n_empty), ("overwrite_then_append", back.count()),
              ("idempotent_parts", spark.read.parquet(f"{base}/scored").count()),

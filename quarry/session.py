@@ -65,11 +65,16 @@ def build_session(master: str = "local[*]", app: str = "quarry",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (local tests) is a fresh local folder created.
+    On a cluster this setting points at shared storage and is used as is
+    (and it is an error to leave it unset). Only in local mode, when it is
+    unset (tests), is a fresh local folder created.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS / object store); "
+                             "a machine-local folder is not reachable by every executor")
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
