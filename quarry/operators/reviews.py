@@ -272,7 +272,7 @@ def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[st
         rest = done.filter(F.col("__nb") > 1)
         if rest.isEmpty():
             return finals
-        cur = rest.select(*group, F.format_string("summary_%08d", F.col("batch")).alias("__name"),
+        cur = rest.select(*group, F.format_string("summary_%019d", F.col("batch")).alias("__name"),
                           answer.alias("__text"))
 
 
