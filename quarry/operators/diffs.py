@@ -94,7 +94,8 @@ def plan_levels(diffs: DataFrame, budget: int = CONTEXT_WINDOW_TOKENS,
     Files are exploded only for diffs over the budget; the diff text is
     never copied onto file rows. Nothing upstream is computed twice.
     """
-    d = diffs.withColumn("diff_tokens", token_count("text", pattern))
+    # An empty diff yields no chunk at all.
+    d = diffs.filter(F.length("text") > 0).withColumn("diff_tokens", token_count("text", pattern))
     big = F.col("diff_tokens") > budget
     x = d.select("diff_id", F.when(~big, F.col("text")).alias("whole_text"), "diff_tokens",
                  F.posexplode_outer(F.when(big, F.split(F.col("text"), FILE_SPLIT)))

@@ -108,3 +108,9 @@ def test_ordered_rank_handles_a_hot_group(spark):
     exp = df.withColumn("rank", (F.row_number().over(Window.partitionBy("g").orderBy("name")) - 1)
                         .cast("bigint"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_empty_diff_has_no_chunks(spark):
+    df = spark.createDataFrame([("e", ""), ("n", None), ("d", DIFF)], "diff_id string, text string")
+    got = create_chunks(df, budget=10_000).collect()
+    assert [r.diff_id for r in got] == ["d"]

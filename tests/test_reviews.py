@@ -80,6 +80,9 @@ def test_consolidation_batches_and_tree(spark):
                        fan_in=8, max_chars=12).orderBy("source").collect()
     assert [(r.source, r.levels, r.summary, r.was_truncated) for r in summ] == [
         ("s", 2, "summary of 3", False), ("t", 1, "summary of 1", False)]
+    cut = consolidate(df, lambda p: "x" * 20, ["source"], fan_in=8, max_chars=12) \
+        .orderBy("source").collect()
+    assert [(r.summary, r.was_truncated) for r in cut] == [("x" * 12, True), ("x" * 12, True)]
 
 
 def test_text_directory_source(spark):
