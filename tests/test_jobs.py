@@ -94,3 +94,19 @@ def test_click_dataset_and_predictions(spark):
     pred = predictions_job(data, trained, "registration_id", model,
                            tempfile.mkdtemp(prefix="quarry-p-") + "/p")
     assert pred.count() == 20 and "prediction_score" in pred.columns
+
+
+def test_command_line(spark):
+    from quarry.__main__ import main
+
+    src = tempfile.mkdtemp(prefix="quarry-cli-")
+    with open(os.path.join(src, "x.diff"), "w") as fh:
+        fh.write(DIFF)
+    with open(os.path.join(src, "a.py"), "w") as fh:
+        fh.write("print(1)\n")
+    out = tempfile.mkdtemp(prefix="quarry-cli-out-")
+    assert main(["split-diffs", src, f"{out}/chunks", "--budget", "12"]) == 0
+    assert spark.read.parquet(f"{out}/chunks").count() == 2
+    assert main(["review", src, f"{out}/rev", "--model",
+                 "quarry.operators.reviews:stub_reviewer()"]) == 0
+    assert spark.read.parquet(f"{out}/rev/summary").count() == 1
