@@ -37,10 +37,16 @@ class CleanSpec:
 
 
 def fill_values(df: DataFrame, fills: dict[str, object]) -> DataFrame:
-    """C12 as one projection: ``coalesce(col, value)`` for each listed column."""
-    if not fills:
-        return df
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
+    """Fill NULLs per column. Like ``fillna``, a value is applied only
+    to columns of a compatible type (0 into a string or date column is
+    silently skipped). One ``na.fill`` per distinct value; Catalyst folds
+    them into a single projection."""
+    by_value: dict[tuple, list[str]] = {}
+    for c, v in fills.items():
+        by_value.setdefault((type(v).__name__, v), []).append(c)
+    for (_, v), cols in by_value.items():
+        df = df.na.fill(v, subset=cols)
+    return df
 
 
 def fill_by_group(df: DataFrame, spec: CleanSpec) -> tuple[DataFrame, dict[str, list[str]]]:

@@ -80,3 +80,12 @@ def test_column_groups_flag_like_and_dates(spark):
     g = column_groups(df, flag_like=["f"])
     assert g["bool"] == ["f", "b"] and g["string"] == ["a"]
     assert g["date"] == ["d", "t"] and g["numeric"] == ["n"]
+
+
+def test_fill_skips_incompatible_types(spark):
+    from quarry.operators.clean import fill_values
+    df = spark.createDataFrame([(None, None, None)], "n long, s string, d double")
+    r = fill_values(df, {"n": 0, "s": 0, "d": 0}).first()
+    assert (r.n, r.s, r.d) == (0, None, 0.0)
+    r = fill_values(df, {"s": "Others", "n": "Others"}).first()
+    assert (r.n, r.s) == (None, "Others")
