@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +57,7 @@ def click_dataset(snapshot: DataFrame, clicks: DataFrame, features: Sequence[Dat
     day = spec.as_of - dt.timedelta(days=spec.snapshot_lag_days)
     snap = snapshot_scan(snapshot, spec.snapshot_ts, day, where=spec.scan_where,
                          drop=spec.scan_drop)
-    clean, _ = clean_members(snap, spec.clean)
+    clean, _ = clean_members(snap, replace(spec.clean, stage=True))   # profile a staged copy
     clean = clean.drop(spec.snapshot_ts)
     clickers = distinct_keys_since(clicks, spec.click_key, spec.click_ts,
                                    spec.as_of - dt.timedelta(days=spec.label_window_days))
