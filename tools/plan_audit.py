@@ -18,17 +18,25 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     ap.add_argument("--show", action="store_true")
+    ap.add_argument("--markdown", action="store_true")
+    ap.add_argument("--no-broadcast", action="store_true",
+                    help="plan as if every join side were too large to broadcast")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     import __spark_entry__ as entry
     from quarry.session import build_session
-    spark = build_session("local[8]", shuffle_partitions=16,
-                          extra={"spark.sql.adaptive.enabled": "false"})
+    extra = {"spark.sql.adaptive.enabled": "false"}
+    if a.no_broadcast:
+        extra["spark.sql.autoBroadcastJoinThreshold"] = "-1"
+    spark = build_session("local[8]", shuffle_partitions=16, extra=extra)
     pats = {"xchg": r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange RoundRobin",
             "single": r"Exchange SinglePartition", "bhj": r"BroadcastHashJoin", "smj": r"SortMergeJoin",
             "shj": r"ShuffledHashJoin", "bnlj": r"BroadcastNestedLoopJoin", "cart": r"CartesianProduct",
             "py": r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas",
             "win": r"Window \["}
+    if a.markdown:
+        print("| query | " + " | ".join(pats) + " |")
+        print("|" + " --- |" * (len(pats) + 1))
     for name, fn in entry.queries().items():
         if a.names and not any(name.startswith(n) for n in a.names):
             continue
@@ -37,7 +45,10 @@ def main() -> None:
         plan = fn(spark, a.sf)._jdf.queryExecution().executedPlan().toString()
         counts = {k: len(re.findall(v, plan)) for k, v in pats.items()}
         flags = " ".join(f"{k}={v}" for k, v in counts.items() if v)
-        print(f"{name:32s} {flags}")
+        if a.markdown:
+            print("| " + " | ".join([name] + [str(counts[k]) for k in pats]) + " |")
+        else:
+            print(f"{name:32s} {flags}")
         if a.show:
             print(plan)
     spark.stop()
