@@ -23,35 +23,16 @@ def _chunk(first: Column, last: Column, tokens: Column) -> Column:
     return F.array(F.struct(first.alias("first"), last.alias("last"), tokens.alias("tokens")))
 
 
-def pack_chunks(weights: Column, budget: int, header: Column | int = 0,
-                blocks: Column | None = None) -> Column:
-    """Chunk bounds for one row: ``array<struct<first, last, tokens>>`` with
-    0-based inclusive item positions and the chunk's item-token sum.
-
-    ``weights``: ``array<bigint>`` item weights; ``blocks``: optional
-    ``array<boolean>`` of the same length (True = item starts a block);
-    ``header``: weight added to every chunk (D19: the file header).
-    Array appends happen once per *chunk*, not per item, so a row costs
-    O(items + chunks^2) element copies; chunks per row are at most the
-    row's tokens / budget (a few thousand for a 2 GB row at the 100,000
-    token budget).
-    """
-    hdr = header if isinstance(header, Column) else F.lit(header)
-    if blocks is None:
-        items = F.transform(weights, lambda w: F.struct(w.cast("bigint").alias("w"),
-                                                        F.lit(False).alias("b")))
-    else:
-        items = F.transform(weights, lambda w, i: F.struct(
-            w.cast("bigint").alias("w"),
-            F.coalesce(F.element_at(blocks, i + 1), F.lit(False)).alias("b")))
+def _pack_run(weights: Column, budget: int, hdr: Column) -> Column:
+    """Greedy fold over one run of items without block starts."""
     init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"),
                     F.lit(0).cast("bigint").alias("cur"), F.lit(0).alias("n"),
                     F.array().cast(CHUNKS_TYPE).alias("done"))
 
-    def step(acc, x):
+    def step(acc, w):
         i, start, cur, n, done = acc["i"], acc["start"], acc["cur"], acc["n"], acc["done"]
-        w = x["w"]
-        emit = (n > 0) & (x["b"] | (hdr + cur + w > F.lit(budget)))
+        w = w.cast("bigint")
+        emit = (n > 0) & (hdr + cur + w > F.lit(budget))
         return F.struct(
             (i + 1).alias("i"),
             F.when(emit, i).otherwise(start).alias("start"),
@@ -64,7 +45,44 @@ def pack_chunks(weights: Column, budget: int, header: Column | int = 0,
                                                                   acc["cur"]))
                       ).otherwise(acc["done"])
 
-    return F.aggregate(items, init, step, finish)
+    return F.aggregate(weights, init, step, finish)
+
+
+def pack_chunks(weights: Column, budget: int, header: Column | int = 0,
+                blocks: Column | None = None) -> Column:
+    """Chunk bounds for one row: ``array<struct<first, last, tokens>>`` with
+    0-based inclusive item positions and the chunk's item-token sum.
+
+    ``weights``: ``array<bigint>`` item weights; ``blocks``: optional
+    ``array<boolean>`` of the same length (True = item starts a block);
+    ``header``: weight added to every chunk (D19: the file header).
+
+    A block start always closes a non-empty chunk, so the packing state
+    resets there: the items are cut into runs at block starts (array
+    functions, linear) and each run is folded on its own. Array appends
+    happen once per chunk, so a run costs O(items + chunks^2) element
+    copies, where a run's chunks are at most its tokens / budget.
+    """
+    hdr = header if isinstance(header, Column) else F.lit(header)
+    if blocks is None:
+        return _pack_run(weights, budget, hdr)
+    n = F.size(weights)
+    pos = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    starts = F.filter(pos, lambda i: (i > 0) & F.coalesce(F.element_at(blocks, i + 1), F.lit(False)))
+    bounds = F.concat(F.array(F.lit(0)), starts)
+    ends = F.concat(F.slice(bounds, 2, F.greatest(F.size(bounds) - 1, F.lit(0))), F.array(n))
+    # (start, end) pairs are built once per row; the lambda below only reads
+    # its own pair and the weights column, so each run costs its length.
+    runs = F.arrays_zip(bounds.alias("s"), ends.alias("e"))
+
+    def run(r):
+        s, e = r["s"], r["e"]
+        chunks = _pack_run(F.slice(weights, s + 1, e - s), budget, hdr)
+        return F.transform(chunks, lambda c: F.struct((c["first"] + s).alias("first"),
+                                                      (c["last"] + s).alias("last"),
+                                                      c["tokens"].alias("tokens")))
+
+    return F.when(n == 0, F.array().cast(CHUNKS_TYPE)).otherwise(F.flatten(F.transform(runs, run)))
 
 
 def chunk_texts(items: Column, chunks: Column, sep: str = "\n") -> Column:
