@@ -23,29 +23,10 @@ def _chunk(first: Column, last: Column, tokens: Column) -> Column:
     return F.array(F.struct(first.alias("first"), last.alias("last"), tokens.alias("tokens")))
 
 
-def _pack_run(weights: Column, budget: int, hdr: Column) -> Column:
-    """Greedy fold over one run of items without block starts."""
-    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"),
-                    F.lit(0).cast("bigint").alias("cur"), F.lit(0).alias("n"),
-                    F.array().cast(CHUNKS_TYPE).alias("done"))
-
-    def step(acc, w):
-        i, start, cur, n, done = acc["i"], acc["start"], acc["cur"], acc["n"], acc["done"]
-        w = w.cast("bigint")
-        emit = (n > 0) & (hdr + cur + w > F.lit(budget))
-        return F.struct(
-            (i + 1).alias("i"),
-            F.when(emit, i).otherwise(start).alias("start"),
-            F.when(emit, w).otherwise(cur + w).alias("cur"),
-            F.when(emit, F.lit(1)).otherwise(n + 1).alias("n"),
-            F.when(emit, F.concat(done, _chunk(start, i - 1, cur))).otherwise(done).alias("done"))
-
-    def finish(acc):
-        return F.when(acc["n"] > 0, F.concat(acc["done"], _chunk(acc["start"], acc["i"] - 1,
-                                                                  acc["cur"]))
-                      ).otherwise(acc["done"])
-
-    return F.aggregate(weights, init, step, finish)
+# Completed chunks are collected in pages of this many; a full page moves
+# to the page list, so an append copies at most one page (plus the page list).
+PAGE = 256
+PAGES_TYPE = f"array<{CHUNKS_TYPE}>"
 
 
 def pack_chunks(weights: Column, budget: int, header: Column | int = 0,
@@ -57,35 +38,52 @@ def pack_chunks(weights: Column, budget: int, header: Column | int = 0,
     ``array<boolean>`` of the same length (True = item starts a block);
     ``header``: weight added to every chunk (D19: the file header).
 
-    A block start always closes a non-empty chunk, so the packing state
-    resets there: the items are cut into runs at block starts (array
-    functions, linear) and each run is folded on its own. Array appends
-    happen once per chunk, so a run costs O(items + chunks^2) element
-    copies, where a run's chunks are at most its tokens / budget.
+    One ``aggregate`` pass over the zipped ``(weight, block)`` items. The
+    lambdas read only their own element and the accumulator: an outer array
+    referenced inside a lambda would be re-evaluated per element (Catalyst
+    inlines single-use projections). The header limit is computed once into
+    the accumulator. Completed chunks go to pages of ``PAGE``, so the
+    copying stays near linear in the number of chunks.
     """
     hdr = header if isinstance(header, Column) else F.lit(header)
     if blocks is None:
-        return _pack_run(weights, budget, hdr)
-    n = F.size(weights)
-    pos = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    starts = F.filter(pos, lambda i: (i > 0) & F.coalesce(F.element_at(blocks, i + 1), F.lit(False)))
-    bounds = F.concat(F.array(F.lit(0)), starts)
-    ends = F.concat(F.slice(bounds, 2, F.greatest(F.size(bounds) - 1, F.lit(0))), F.array(n))
-    # (start, end) pairs are built once per row; the lambda below only reads
-    # its own pair and the weights column, so each run costs its length.
-    runs = F.arrays_zip(bounds.alias("s"), ends.alias("e"))
-
-    def run(r):
-        s, e = r["s"], r["e"]
-        chunks = _pack_run(F.slice(weights, s + 1, e - s), budget, hdr)
-        return F.transform(chunks, lambda c: F.struct((c["first"] + s).alias("first"),
-                                                      (c["last"] + s).alias("last"),
-                                                      c["tokens"].alias("tokens")))
-
-    return F.when(n == 0, F.array().cast(CHUNKS_TYPE)).otherwise(F.flatten(F.transform(runs, run)))
+        items = F.transform(weights, lambda w: F.struct(w.cast("bigint").alias("w"),
+                                                        F.lit(False).alias("b")))
+    else:
+        items = F.transform(F.arrays_zip(weights.alias("w"), blocks.alias("b")),
+                            lambda z: F.struct(z["w"].cast("bigint").alias("w"),
+                                               F.coalesce(z["b"], F.lit(False)).alias("b")))
+    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"),
+                    F.lit(0).cast("bigint").alias("cur"), F.lit(0).alias("n"),
+                    (F.lit(budget).cast("bigint") - hdr.cast("bigint")).alias("room"),
+                    F.array().cast(CHUNKS_TYPE).alias("page"),
+                    F.array().cast(PAGES_TYPE).alias("pages"))
+
+    def step(acc, x):
+        i, start, cur, n = acc["i"], acc["start"], acc["cur"], acc["n"]
+        w = x["w"]
+        emit = (n > 0) & (x["b"] | (cur + w > acc["room"]))
+        page = F.when(emit, F.concat(acc["page"], _chunk(start, i - 1, cur))).otherwise(acc["page"])
+        full = F.size(page) >= PAGE
+        return F.struct(
+            (i + 1).alias("i"),
+            F.when(emit, i).otherwise(start).alias("start"),
+            F.when(emit, w).otherwise(cur + w).alias("cur"),
+            F.when(emit, F.lit(1)).otherwise(n + 1).alias("n"),
+            acc["room"].alias("room"),
+            F.when(full, F.array().cast(CHUNKS_TYPE)).otherwise(page).alias("page"),
+            F.when(full, F.concat(acc["pages"], F.array(page))).otherwise(acc["pages"]).alias("pages"))
+
+    def finish(acc):
+        last = F.when(acc["n"] > 0, F.concat(acc["page"], _chunk(acc["start"], acc["i"] - 1,
+                                                                  acc["cur"]))).otherwise(acc["page"])
+        return F.flatten(F.concat(acc["pages"], F.array(last)))
+
+    return F.aggregate(items, init, step, finish)
 
 
 def chunk_texts(items: Column, chunks: Column, sep: str = "\n") -> Column:
-    """Join each chunk's items: ``array<string>`` aligned with ``chunks``."""
+    """Join each chunk's items: ``array<string>`` aligned with ``chunks``.
+    ``items`` should be a column of the input (it is read once per chunk)."""
     return F.transform(chunks, lambda c: F.array_join(
         F.slice(items, c["first"] + 1, c["last"] - c["first"] + 1), sep))

@@ -114,3 +114,14 @@ def test_empty_diff_has_no_chunks(spark):
     df = spark.createDataFrame([("e", ""), ("n", None), ("d", DIFF)], "diff_id string, text string")
     got = create_chunks(df, budget=10_000).collect()
     assert [r.diff_id for r in got] == ["d"]
+
+
+def test_long_rows_span_many_pages(spark):
+    from quarry.operators import packing
+    rnd = random.Random(7)
+    n = 4 * packing.PAGE * 5 + 17
+    cases = [([rnd.randint(0, 30) for _ in range(n)], [rnd.random() < 0.1 for _ in range(n)]),
+             ([rnd.randint(0, 30) for _ in range(n)], [False] * n)]
+    got = run_pack(spark, cases, 100, 3)
+    for (w, b), chunks in zip(cases, got):
+        assert len(chunks) > 2 * packing.PAGE and chunks == greedy(w, b, 100, 3)
