@@ -121,18 +121,24 @@ def prior_year_days(df: DataFrame, end: dt.date, date_col: str = "booking_date")
 
 def booking_report(df: DataFrame, start: dt.date, end: dt.date, preset: str = "All Time",
                    years: Iterable[int] | None = None, months: Iterable[int] | None = None,
-                   lead_days: int = 6) -> dict[str, DataFrame]:
+                   lead_days: int = 6, stage: bool = True) -> dict[str, DataFrame]:
     """All datasets of the report, each a lazy ``DataFrame``.
 
     Tab 1 uses ``[start - lead_days, end]``; tab 2 uses the preset window
-    ending at ``end`` plus the optional year / month selection.
+    ending at ``end`` plus the optional year / month selection. With
+    ``stage`` the two filtered, labelled windows are written once under the
+    shared checkpoint folder, so the dozen datasets read those instead of
+    rescanning the whole bookings table each.
     """
     tab1 = label_bookings(booking_range(df, start, end, lead_days))
     s2, e2 = preset_window(preset, end)
     tab2 = label_bookings(year_month_filter(booking_range(df, s2, e2), years, months))
+    if stage:
+        from quarry.sinks.tables import materialize
+        tab1, tab2 = materialize(tab1, "booking-tab1"), materialize(tab2, "booking-tab2")
     out = {
-        "summary": period_summary(booking_range(df, start, end, lead_days)),
-        "periods": distinct_periods(booking_range(df, start, end)),
+        "summary": period_summary(tab1),
+        "periods": distinct_periods(booking_range(tab1, start, end)),
         "presets": preset_totals(df, end),
         "country": distribution(tab1, "country_label"),
         "rvtype": distribution(tab1, "rvtype_label"),

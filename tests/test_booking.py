@@ -47,3 +47,10 @@ def test_report_has_every_dataset(spark):
     assert {"summary", "periods", "presets", "country", "rvtype", "age"} <= set(rep)
     assert rep["summary"].first().n_rows == 4
     assert all(df.columns for df in rep.values())
+
+
+def test_staged_and_unstaged_reports_agree(spark):
+    a = booking_report(bookings(spark), START, END, preset="Last 3 Months", stage=True)
+    b = booking_report(bookings(spark), START, END, preset="Last 3 Months", stage=False)
+    for k in a:
+        assert sorted(map(tuple, a[k].collect())) == sorted(map(tuple, b[k].collect())), k
