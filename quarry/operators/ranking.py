@@ -33,7 +33,10 @@ def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group, *order]
+    # A hash of the whole row breaks ties deterministically, so even a run of
+    # identical (group, order) keys can be split across range partitions.
+    df = df.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    keys = [*group, *order, "__tie"]
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
     s = s.withColumns({"__pid": F.spark_partition_id(),
                        "__row": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))})
@@ -43,4 +46,4 @@ def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str],
     offs = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
     ranked = s.join(offs.select("__pid", *group, "__off", "__first"), ["__pid", *group])
     return ranked.withColumn(out, (F.col("__off") + F.col("__row") - F.col("__first")).cast("bigint")) \
-                 .drop("__pid", "__row", "__off", "__first")
+                 .drop("__pid", "__row", "__off", "__first", "__tie")

@@ -125,3 +125,16 @@ def test_long_rows_span_many_pages(spark):
     got = run_pack(spark, cases, 100, 3)
     for (w, b), chunks in zip(cases, got):
         assert len(chunks) > 2 * packing.PAGE and chunks == greedy(w, b, 100, 3)
+
+
+def test_ordered_rank_splits_identical_keys(spark):
+    rows = [("hot", "same", i) for i in range(4000)] + [("g", "a", 1)]
+    df = spark.createDataFrame(rows, "g string, name string, v int")
+    got = ordered_rank(df, ["g"], ["name"], num_partitions=8)
+    ranks = sorted(r["rank"] for r in got.filter("g = 'hot'").select("rank").collect())
+    assert ranks == list(range(4000))
+    # the hot run was spread over several range partitions
+    parts = df.withColumn("__tie", F.xxhash64("g", "name", "v")) \
+        .repartitionByRange(8, "g", "name", "__tie").filter("g = 'hot'") \
+        .select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
