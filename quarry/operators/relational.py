@@ -58,3 +58,26 @@ def row_difference(a: DataFrame, b: DataFrame, keep_duplicates: bool = False) ->
     """Rows of ``a`` not in ``b`` (``EXCEPT``; ``EXCEPT ALL`` when
     ``keep_duplicates``)."""
     return a.exceptAll(b) if keep_duplicates else a.subtract(b)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for scans)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def lookup_label(df: DataFrame, code: str, dim: DataFrame, dim_key: str, dim_label: str,
+                 out: str, default: str | None = None,
+                 max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """C8 when the code -> label map is a table: a left join on the code.
+
+    The dimension is de-duplicated on its key (a code keeps one label,
+    rows never multiply) and broadcast only when its estimated size is
+    under ``max_broadcast_bytes``; otherwise it is a plain shuffled join
+    and AQE decides at run time.
+    """
+    d = dim.groupBy(F.col(dim_key).alias("__code")).agg(F.min(dim_label).alias("__label"))
+    if estimated_bytes(d) <= max_broadcast_bytes:
+        d = F.broadcast(d)
+    j = df.join(d, df[code] == d["__code"], "left")
+    lab = F.col("__label") if default is None else F.coalesce(F.col("__label"), F.lit(default))
+    return j.withColumn(out, lab).drop("__code", "__label")

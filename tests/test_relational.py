@@ -89,3 +89,23 @@ def test_fill_skips_incompatible_types(spark):
     assert (r.n, r.s, r.d) == (0, None, 0.0)
     r = fill_values(df, {"s": "Others", "n": "Others"}).first()
     assert (r.n, r.s) == (None, "Others")
+
+
+def test_lookup_label_from_a_table(spark):
+    from quarry.operators.relational import lookup_label
+    df = spark.createDataFrame([(1,), (2,), (9,), (None,)], "c int")
+    import tempfile
+    path = tempfile.mkdtemp(prefix="quarry-dim-") + "/dim"
+    spark.createDataFrame([(1, "CANADA"), (2, "USA"), (2, "USA")], "k int, name string") \
+        .write.parquet(path)
+    dim = spark.read.parquet(path)           # file-backed: a real size estimate
+    for limit in (1 << 30, 0):               # broadcast, then forced shuffle join
+        got = lookup_label(df, "c", dim, "k", "name", "country", "OTHERS", max_broadcast_bytes=limit)
+        assert sorted((r.c or -1, r.country) for r in got.collect()) == [
+            (-1, "OTHERS"), (1, "CANADA"), (2, "USA"), (9, "OTHERS")]
+        hinted = "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert hinted == (limit > 0)
+    # an in-memory frame has no size estimate: never broadcast on trust
+    mem = spark.createDataFrame([(1, "CANADA")], "k int, name string")
+    got = lookup_label(df, "c", mem, "k", "name", "country", max_broadcast_bytes=1 << 30)
+    assert "strategy=broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
