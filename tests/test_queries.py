@@ -51,6 +51,8 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "clicked_or_not" in df.columns and "registration_id" in df.columns
+    # the schema is planned from the data (sparse columns dropped): stable across calls
+    assert entry.entry(spark).schema == df.schema
 
 
 def test_every_query_has_a_name_and_oracles_are_a_subset():
