@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ from quarry.llm.common import query, read
 PRETOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 REMEMBERED = 250_000     # pre-tokens a worker remembers, twice: newer and older ones
 SHORT = 48               # of at most so many characters
+ROWS = 256               # texts whose ids are held at once
 
 
 def byte_characters() -> dict[int, str]:
@@ -113,10 +114,11 @@ class Codec:
         class Memory(dict):
             older: dict = {}
 
-            def __missing__(self, piece: str) -> tuple[int, ...]:
+            def __missing__(self, piece: str) -> bytes:
                 ids = self.older.get(piece)
                 if ids is None:
-                    ids = tuple(merge_symbols([codec.byte_id[b] for b in piece.encode()], codec.ranks))
+                    merged = merge_symbols([codec.byte_id[b] for b in piece.encode()], codec.ranks)
+                    ids = array("i", merged).tobytes()
                 if len(piece) <= SHORT:
                     if len(self) >= REMEMBERED:
                         self.older = dict(self)
@@ -126,16 +128,16 @@ class Codec:
 
         self.ids_of = Memory().__getitem__
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.cut is None or not self.cut.search(text):
-            return list(chain.from_iterable(map(self.ids_of, self.pieces(text))))
-        out: list[int] = []
+            return np.frombuffer(b"".join(map(self.ids_of, self.pieces(text))), np.int32)
+        out = []
         for part in self.cut.split(text):
             if part in self.added:
-                out.append(self.added[part])
+                out.append(array("i", [self.added[part]]).tobytes())
             elif part:
-                out.extend(chain.from_iterable(map(self.ids_of, self.pieces(part))))
-        return out
+                out.extend(map(self.ids_of, self.pieces(part)))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -152,6 +154,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _id_lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    flat = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``: the ids of ``text`` (array of int). ``path`` names the
     vocabulary file, which every worker can read."""
@@ -159,14 +173,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
-        for batch in batches:
-            parts, ends = [], [0]
-            for value in batch:
-                ids = np.fromiter(c.encode(value.as_py() or ""), np.int32)
-                parts.append(ids)
-                ends.append(ends[-1] + len(ids))
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        for batch in _slices(batches):
+            yield _id_lists([c.encode(v.as_py() or "") for v in batch])
 
     return df.withColumn(out, run(F.col(f"`{text}`")))
 
@@ -177,22 +185,33 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     @F.arrow_udf(T.StringType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
-        for batch in batches:
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            yield pa.array([c.decode(part.tolist()) for part in np.split(flat, ends[:-1])] if len(batch) else [],
-                           pa.string())
+        for batch in _slices(batches):
+            yield pa.array([c.decode(v.values.to_numpy().tolist()) if v.is_valid else "" for v in batch], pa.string())
 
     return df.withColumn(out, run(F.col(f"`{ids}`")))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "coded") -> DataFrame:
+    """Add ``out``: struct (ids, decoded), encoded and decoded again from the
+    ids in one worker."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = codec(path)
+        for batch in _slices(batches):
+            ids = [c.encode(v.as_py() or "") for v in batch]
+            decoded = pa.array([c.decode(i.tolist()) for i in ids], pa.string())
+            yield pa.StructArray.from_arrays([_id_lists(ids), decoded], ["ids", "decoded"])
+
+    return df.withColumn(out, run(F.col(f"`{text}`")))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document its number of ids and the digests of ids and decoded text."""
-    coded = decode(encode(docs.select("doc_id", "text"), path), path)
-    return coded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs.select("doc_id", "text"), path).select(
+        "doc_id", F.size("coded.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("coded.ids", ","), 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"))
 
 
 @query("op7_bpe_codec")
