@@ -1,4 +1,6 @@
 """Importing this module registers the corpus queries."""
 
+from quarry.llm import op2_cross_polytope  # noqa: F401
+from quarry.llm import op5_exact_topk  # noqa: F401
 from quarry.llm import op7_bpe  # noqa: F401
 from quarry.llm import op8_rendezvous  # noqa: F401

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,24 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this package, once per context: Spark sends
+    them the package's sources as a Python file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="quarry-package-")      # the driver serves it while the context lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+    sc._quarry_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the input folder; also points the session's checkpoints
     at the shared folder of ``spark.checkpoint.dir``."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
