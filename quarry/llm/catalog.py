@@ -2,6 +2,8 @@
 
 from quarry.llm import op1_site_template  # noqa: F401
 from quarry.llm import op2_cross_polytope  # noqa: F401
+from quarry.llm import op3_temperature_mixing  # noqa: F401
+from quarry.llm import op4_merkle_fixity  # noqa: F401
 from quarry.llm import op5_exact_topk  # noqa: F401
 from quarry.llm import op6_lsh_forest  # noqa: F401
 from quarry.llm import op7_bpe  # noqa: F401

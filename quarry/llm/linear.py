@@ -51,7 +51,7 @@ def association(present: np.ndarray, positive: np.ndarray, share: float, prior:
 
 
 def fit(slots: np.ndarray, lengths: np.ndarray, target: np.ndarray, dense: np.ndarray | None = None,
-        rounds: int = 80, rate: float = 0.3, l2: float = 0.1):
+        rounds: int = 80, rate: float = 0.3, l2: float = 0.03):
     """Logistic regression of ``target`` (a probability per window) by full
     gradients with Adam's step sizes. Each slot enters with its association
     with the target as its scale, so slots met by chance stay out. Returns

@@ -15,7 +15,7 @@ weights (``2**18`` floats) are all that goes to the scoring tasks.
 
 The scorer's features are word shapes (letters folded to classes), pairs of
 shapes and repeats of the word before. A document's score is the mean over its
-windows, as junk fills a document.
+words, as junk fills a document.
 
 Cases: null, empty and wordless texts get no votes, score 0 and are rejected;
 very long texts are judged whole; equal texts get equal results; without any
@@ -40,6 +40,7 @@ from quarry.llm.words import distinct_per_doc, doc_chunks, hash_words, shingle_h
 SAMPLE = 8000            # production parameters
 LIMIT = 0.5              # documents below are rejected
 FLOOR = 0.007
+FEW = 8
 
 # Labellers: a measure of the text, up to where they vote good, and from where
 # bad (the other way round where the first number is the larger one).
@@ -173,10 +174,14 @@ class Model:
     bias: float
 
 
-def _mean_score(weights, bias, slots, per_doc):
-    """A text is one window here, of all its words."""
-    return linear.sigmoid(bias + linear.segment_sum(weights[slots].sum(axis=1, dtype=np.float64), per_doc)
-                          / np.maximum(per_doc, 1) / np.sqrt(slots.shape[1]) * 8.0)
+def _mean_score(model: Model, slots, per_doc):
+    """The mean over a text's words, at the scale of a whole window. A few
+    words are little evidence: they are held against ``FEW`` words that say
+    what the share of good documents says."""
+    mean = linear.segment_sum(model.weights[slots].sum(axis=1, dtype=np.float64), per_doc) / np.maximum(per_doc, 1)
+    z = model.bias + mean * np.sqrt(linear.WINDOW / slots.shape[1])
+    prior = np.log(model.share_good / (1 - model.share_good)) if 0 < model.share_good < 1 else 0.0
+    return linear.sigmoid((per_doc * z + FEW * prior) / (per_doc + FEW))
 
 
 def _fit_scorer(posterior: dict[int, float]):
@@ -240,7 +245,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality
                 values, at = np.unique(pattern, return_inverse=True)
                 post = np.array([model.posterior.get(int(v), model.share_good) for v in values])[at]
                 cols[0].append(np.where(per > 0, post, 0.0))
-                cols[1].append(np.where(per > 0, _mean_score(model.weights, model.bias, slots, per), 0.0))
+                cols[1].append(np.where(per > 0, _mean_score(model, slots, per), 0.0))
             post, s = (np.concatenate(c) for c in cols)
             yield pa.StructArray.from_arrays([pa.array(post), pa.array(s), pa.array(s >= LIMIT)],
                                              ["posterior", "score", "kept"])
