@@ -11,11 +11,11 @@ each class and its next ``NEIGHBOURS`` in the order, those of the longest
 common prefixes, are. Candidate pairs so grow with the number of classes,
 never with the square of a group.
 
-Candidates are confirmed on the full sets, in rounds: every class confirms
-its best candidate (met in most trees) in another component, confirmed
-links are contracted, and pairs inside one component are settled. A round takes
-all pairs once they are few. At the end every candidate pair is either confirmed,
-rejected on full sets, or inside one component.
+Candidates are confirmed on the full sets. In each of ``CONTRACTIONS`` rounds every
+class confirms its best candidate (met in most trees) in another component, and
+confirmed links are contracted; pairs inside one component are settled. The
+last round confirms all other pairs, so every candidate pair is either
+confirmed, rejected on full sets, or inside one component.
 
 Two sets at the limit (similarity 0.85) share a tree's region with
 probability 0.52; one of the 24 trees brings them together but for one pair
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import query, read, stage, text_buffers
+from quarry.llm.common import free_name, query, read, stage, text_buffers
 from quarry.llm.components import components
 from quarry.llm.words import distinct_per_doc, doc_chunks, hash_words, mix, shingle_hashes
 
@@ -48,6 +48,7 @@ LEVELS = 3               # deeper cuts, by two values each
 STEP = 7                 # a tree's order starts so many values after the tree's before
 REGION = 8               # a larger region is cut deeper
 NEIGHBOURS = 3
+CONTRACTIONS = 2
 SIMILAR = (85, 100)      # linked if 100 * intersection >= 85 * union
 VALUES = TREES * STEP
 CHUNK = 2 << 20          # bytes of text hashed at once
@@ -98,9 +99,10 @@ def _sign(shingle: int):
                 values = minhash(hashes, sizes)
                 empty = sizes == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n), pa.array(sizes, pa.int64()), pa.array(c0), pa.array(c1),
+                    [batch.column("doc_id").slice(i, n), batch.column("digest").slice(i, n),
+                     pa.array(sizes, pa.int64()), pa.array(c0), pa.array(c1),
                      pa.array([None if e else v.tobytes() for e, v in zip(empty, values)], pa.binary())],
-                    names=["doc_id", "n", "c0", "c1", "signature"])
+                    names=["doc_id", "digest", "n", "c0", "c1", "signature"])
     return run
 
 
@@ -245,42 +247,41 @@ def _class_texts(shingle: int):
     return run
 
 
-def _settle(pairs: DataFrame, texts: DataFrame, similar, shingle: int) -> DataFrame | None:
-    """(node, component) of the classes that confirmed links join; None
-    without candidates. ``pairs``: (u, v, hits) with u < v; ``texts``: (node, text)."""
-    parts = None                                       # (node, component) so far
-    links = None
-    while True:
-        n_pairs, n_nodes = pairs.agg(F.count(F.lit(1)), F.count_distinct("v")).first()
-        if not n_pairs:
-            return parts
-        if n_pairs <= 2 * n_nodes:
-            chosen = pairs
-        else:                                          # the best candidate of each class, the rest waits
-            chosen = pairs.groupBy("v").agg(F.max_by("u", F.struct("hits", F.xxhash64("u"), "u")).alias("u"))
-        chosen = stage(chosen.select("u", "v"), "near-chosen")
+def _settle(pairs: DataFrame, texts: DataFrame, similar, shingle: int) -> DataFrame:
+    """(node, component) of the classes that confirmed links join.
+    ``pairs``: (u, v, hits) with u < v; ``texts``: (node, text)."""
+    links, parts = None, None
+    for last in [False] * CONTRACTIONS + [True]:
+        chosen = pairs.select("u", "v") if last else pairs.groupBy("v").agg(
+            F.max_by("u", F.struct("hits", F.xxhash64("u"), "u")).alias("u"))       # each class's best
         with_a = chosen.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_a")), "u")
         with_b = with_a.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_b")), "v")
         judged = stage(with_b.select("u", "v", "text_a", "text_b").mapInArrow(
             _confirm(similar, shingle), "u bigint, v bigint, linked boolean"), "near-judged")
         new = judged.filter("linked").select("u", "v")
-        links = new if links is None else links.unionByName(new)
-        parts = stage(components(links), "near-parts")
-        if n_pairs <= 2 * n_nodes:
+        # what earlier rounds joined enters as a star, one link a node
+        links = new if parts is None else new.unionByName(
+            parts.filter("node != component").select(F.col("component").alias("u"), F.col("node").alias("v")))
+        parts = components(links)
+        if last:
             return parts
         rest = pairs.join(judged.select("u", "v"), ["u", "v"], "left_anti")
         for side in ("u", "v"):
             rest = rest.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")), side, "left")
         pairs = stage(rest.filter(F.coalesce("u_part", "u") != F.coalesce("v_part", "v")).select("u", "v", "hits"),
                       "near-pairs")
+    return parts
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int] = SIMILAR,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept. ``similar`` is
-    the limit as (numerator, denominator)."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    signed = stage(rows.mapInArrow(_sign(shingle), "doc_id bigint, n bigint, c0 bigint, c1 bigint, signature binary"),
+    """Per document: doc_id, n_shingles, component_id, kept and digest (of
+    the text, to tell rows of one doc_id apart). ``similar`` is the limit as
+    (numerator, denominator)."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("digest"),
+                       text.alias("text"))
+    signed = stage(rows.mapInArrow(_sign(shingle), "doc_id bigint, digest bigint, n bigint, c0 bigint, c1 bigint, signature binary"),
                    "near-signed")
     cls = ["c0", "c1"]
     tree = signed.filter("n > 0").select("c0", "c1", "n", "signature").mapInArrow(
@@ -297,7 +298,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int]
     b = nodes.select(F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("node").alias("b"))
     pairs = stage(pairs.join(a, ["a0", "a1"]).join(b, ["b0", "b1"]).select(
         F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "hits"), "near-pairs")
-    texts = rows.mapInArrow(_class_texts(shingle), "c0 bigint, c1 bigint, text string").join(nodes, cls) \
+    texts = rows.select("text").mapInArrow(_class_texts(shingle), "c0 bigint, c1 bigint, text string").join(nodes, cls) \
         .groupBy("node").agg(F.min("text").alias("text"))
     parts = None if pairs.isEmpty() else _settle(pairs, stage(texts, "near-texts"), similar, shingle)
 
@@ -309,13 +310,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int]
         classes = classes.join(named, cls, "left").select(*cls, F.coalesce("component_id", "least").alias("component_id"))
     else:
         classes = classes.withColumnRenamed("least", "component_id")
-    alone = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    joined = signed.filter("n > 0").select("doc_id", "n", *cls).join(classes, cls).select("doc_id", "n", "component_id")
+    alone = signed.filter("n = 0").select("doc_id", "digest", "n", F.col("doc_id").alias("component_id"))
+    joined = signed.filter("n > 0").select("doc_id", "digest", "n", *cls).join(classes, cls) \
+        .select("doc_id", "digest", "n", "component_id")
     return joined.unionByName(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest
+    doc_id, and of rows repeated whole or in doc_id and text, one. The texts
+    are not shuffled while the rejected ids stay below the broadcast threshold."""
+    judged = stage(near_duplicates(docs, shingle, similar), "near-result")
+    key, digest = (free_name(docs.columns, x) for x in ("key", "digest"))
+    keyed = docs.withColumn(digest, F.xxhash64("text")).withColumn(
+        key, F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col(digest)))
+    row_key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("digest")).alias(key)
+    rejected = stage(judged.filter(~F.col("kept")).select(row_key).distinct(), "near-rejected")
+    repeated = stage(judged.filter("kept").groupBy(row_key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key),
+                     "near-repeated")
+    stays = keyed.join(rejected, key, "left_anti")
+    single = stays.join(repeated, key, "left_anti")
+    return single.unionByName(stays.join(repeated, key, "left_semi").dropDuplicates([key])).drop(key, digest)
 
 
 @query("op6_lsh_forest_dedup")
 def op6_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("digest")
