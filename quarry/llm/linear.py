@@ -12,6 +12,7 @@ import numpy as np
 
 BITS = 18
 WINDOW = 64
+CHUNK = 2048             # windows counted at once
 
 
 def windows(per_doc: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +62,24 @@ def fit(slots: np.ndarray, lengths: np.ndarray, target: np.ndarray, dense: np.nd
     weights = np.zeros(size, np.float32)
     if not n:
         return weights, 0.0, np.zeros(extra.shape[1])
-    flat, rows = slots.ravel(), np.repeat(np.arange(n), lengths * slots.shape[1])
-    pair = np.unique(rows.astype(np.int64) * size + flat)
     share = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
-    scale = association(np.bincount(pair % size, minlength=size).astype(float),
-                        np.bincount(pair % size, target[pair // size], size), share)
+    present, positive = np.zeros(size), np.zeros(size)
+    ends = np.cumsum(lengths)
+    for at in range(0, n, CHUNK):                 # slots of each window once, some windows at a time
+        part = lengths[at:at + CHUNK]
+        own = slots[ends[at] - lengths[at]:ends[at + len(part) - 1]].ravel()
+        pair = np.unique(np.repeat(np.arange(len(part)), part * slots.shape[1]) * size + own)
+        present += np.bincount(pair % size, minlength=size)
+        positive += np.bincount(pair % size, target[at + pair // size], size)
+    scale = association(present, positive, share)
     alive = np.flatnonzero(scale)
-    new = np.full(size, -1)
+    new = np.full(size, -1, np.int32)
     new[alive] = np.arange(k := len(alive))
-    used = new[flat] >= 0
-    flat, rows = new[flat[used]], rows[used]
-    value = (scale[alive])[flat] / np.sqrt(np.maximum(lengths * slots.shape[1], 1))[rows]
+    used = np.flatnonzero(new[slots.ravel()] >= 0)
+    flat = new[slots.ravel()[used]]
+    rows = np.searchsorted(ends * slots.shape[1], used, side="right")
+    del used
+    value = scale[alive][flat] / np.sqrt(np.maximum(lengths * slots.shape[1], 1))[rows]
     theta = np.zeros(k + extra.shape[1] + 1)
     theta[-1] = np.log(share / (1 - share))
     m, v = np.zeros_like(theta), np.zeros_like(theta)

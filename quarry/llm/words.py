@@ -91,13 +91,13 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]
         lo = start[w]
         stop = int(np.searchsorted(end, lo + PIECE, side="right"))
         if stop == w:                      # one word longer than a piece
-            h, at, k = np.uint64(0), lo, 0
+            h, at, k = np.zeros(1, np.uint64), lo, 0
             while at < end[w]:             # fold its pieces, each with its number
                 piece = data[at:min(at + PIECE, end[w])]
-                part = (_ROW[piece] * _POW[:len(piece)]).sum(dtype=np.uint64)
-                h = mix(np.array([h + part + np.uint64(k)], np.uint64))[0]
+                part = (_ROW[piece] * _POW[:len(piece)]).sum(dtype=np.uint64, keepdims=True)
+                h = mix(h + part + np.uint64(k))
                 at, k = at + len(piece), k + 1
-            full[w] = h
+            full[w] = h[0]
             for p, length in zip(pre, prefixes):
                 s = (_ROW[data[lo:lo + length]] * _POW[:length]).sum(dtype=np.uint64)
                 p[w] = mix(np.array([s], np.uint64) + mix(np.array([length], np.uint64)))[0]
@@ -150,7 +150,7 @@ def distinct_per_doc(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), n
 
 
-def doc_chunks(offsets: np.ndarray, most: int = 4 << 20):
+def doc_chunks(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of texts of about ``most`` bytes (one text at least), so that
     temporaries stay bounded whatever the batch size."""
     i, n = 0, len(offsets) - 1
