@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
         known = stage(known.join(held_out, "doc_id").select("doc_id", F.concat("p", F.array("now")).alias("p")),
                       "toxic-held-out")
     last = known.join(rows.select("doc_id", "y"), "doc_id").select(
-        F.element_at("p", -1).alias("p"), F.element_at("y", -1).alias("y")).collect() if len(categories) else []
+        F.try_element_at("p", F.lit(-1)).alias("p"), F.try_element_at("y", F.lit(-1)).alias("y")).collect()
     limit = best_limit(np.array([r["p"] for r in last], float),             # ``sample`` rows at most
                        np.array([np.nan if r["y"] is None else r["y"] for r in last], float))
     chain.limit = float(np.clip(limit, *LIMITS))          # few labels place it badly
