@@ -52,6 +52,7 @@ CONTRACTIONS = 2
 SIMILAR = (85, 100)      # linked if 100 * intersection >= 85 * union
 VALUES = TREES * STEP
 CHUNK = 2 << 20          # bytes of text hashed at once
+FILTER_BITS = 1 << 25    # of the bitmap that spares other texts the shuffle
 
 _rng = np.random.Generator(np.random.PCG64(606))
 _XOR = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
@@ -230,8 +231,22 @@ def _confirm(similar, shingle: int):
     return run
 
 
-def _class_texts(shingle: int):
-    """(c0, c1, text) of every document; a class once per batch."""
+def _candidate_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits, set where a candidate class hashes
+    to. Its size does not depend on the documents."""
+    at = F.pmod("c0", F.lit(FILTER_BITS)) + 1          # Spark's bitmaps count from 1
+    parts = nodes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:                                    # FILTER_BITS / 32768 rows at most
+        first = (r["part"] - 1) * 4096
+        out[first:first + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _class_texts(shingle: int, bits: np.ndarray):
+    """(c0, c1, text) of documents that may belong to a candidate class (all
+    that do, and some others); a class once per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,6 +255,8 @@ def _class_texts(shingle: int):
                 c0[i:i + len(sizes)], c1[i:i + len(sizes)] = _fingerprint(hashes, sizes)
             _, first = np.unique(np.stack([c0, c1], axis=1), axis=0, return_index=True)
             first = np.sort(first)
+            at = c0[first] % FILTER_BITS
+            first = first[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c0[first]), pa.array(c1[first]), batch.column("text").take(pa.array(first))],
                 names=["c0", "c1", "text"])
@@ -298,7 +315,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int]
     b = nodes.select(F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("node").alias("b"))
     pairs = stage(pairs.join(a, ["a0", "a1"]).join(b, ["b0", "b1"]).select(
         F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "hits"), "near-pairs")
-    texts = rows.select("text").mapInArrow(_class_texts(shingle), "c0 bigint, c1 bigint, text string").join(nodes, cls) \
+    texts = rows.select("text").mapInArrow(_class_texts(shingle, _candidate_bits(nodes)), "c0 bigint, c1 bigint, text string").join(nodes, cls) \
         .groupBy("node").agg(F.min("text").alias("text"))
     parts = None if pairs.isEmpty() else _settle(pairs, stage(texts, "near-texts"), similar, shingle)
 
