@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,9 +39,10 @@ def shift_months(day: dt.date, months: int) -> dt.date:
 
 # The date-filter presets of the booking report and the
 # first day of its "All Time" window.
-PRESETS = ("Last Day", "Last 7 Days", "Last 28 Days", "Last 3 Months",
-           "Last 6 Months", "Last 1 Year", "All Time")
 ALL_TIME_START = dt.date(2017, 1, 1)
+# name: (days, months) back from the end, or None for the fixed start
+PRESETS = {"Last Day": (0, 0), "Last 7 Days": (7, 0), "Last 28 Days": (28, 0), "Last 3 Months": (0, 3),
+           "Last 6 Months": (0, 6), "Last 1 Year": (0, 12), "All Time": None}
 
 
 def preset_window(preset: str, end: dt.date) -> tuple[dt.date, dt.date]:
@@ -49,21 +51,13 @@ def preset_window(preset: str, end: dt.date) -> tuple[dt.date, dt.date]:
     Both ends are inclusive, so "Last 7 Days" covers 8 calendar days (D10).
     An unknown preset is an error.
     """
-    if preset == "Last Day":
-        return end, end
-    if preset == "Last 7 Days":
-        return end - dt.timedelta(days=7), end
-    if preset == "Last 28 Days":
-        return end - dt.timedelta(days=28), end
-    if preset == "Last 3 Months":
-        return shift_months(end, -3), end
-    if preset == "Last 6 Months":
-        return shift_months(end, -6), end
-    if preset == "Last 1 Year":
-        return shift_months(end, -12), end
-    if preset == "All Time":
+    if preset not in PRESETS:
+        raise ValueError(f"invalid date filter: {preset!r}")
+    back = PRESETS[preset]
+    if back is None:
         return ALL_TIME_START, end
-    raise ValueError(f"invalid date filter: {preset!r}")
+    days, months = back
+    return shift_months(end, -months) - dt.timedelta(days=days), end
 
 
 def month_name(c: str | Column) -> Column:
@@ -77,5 +71,22 @@ def parse_day_or_null(c: str | Column, fmt: str = "yyyy-MM-dd") -> Column:
 
 
 def same_day_prior_year(day_col: str | Column, end: dt.date) -> Column:
-    """The day is ``end`` or the same day one year before."""
-    return F.to_date(col_(day_col)).isin(end, shift_months(end, -12))
+    """The day is ``end`` or the same day one year before; two half-open
+    day ranges, which reach the scan."""
+    day, next_day = F.to_date(col_(day_col)), dt.timedelta(days=1)
+    in_day = lambda d: (day >= F.lit(d)) & (day < F.lit(d + next_day))
+    return in_day(shift_months(end, -12)) | in_day(end)
+
+
+def month_ranges(years: Iterable[int], months: Iterable[int] | None) -> list[tuple[dt.date, dt.date]]:
+    """The half-open day ranges of the chosen months of the chosen years, in
+    order, neighbours joined."""
+    firsts = [dt.date(y, m, 1) for y in sorted(set(years)) for m in sorted(set(months or range(1, 13))) if 1 <= m <= 12]
+    out: list[tuple[dt.date, dt.date]] = []
+    for first in firsts:
+        end = shift_months(first, 1)
+        if out and out[-1][1] == first:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((first, end))
+    return out

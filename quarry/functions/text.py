@@ -1,15 +1,12 @@
 """Text helpers (C14-C19, C24): token weights, truncation, names.
 
-Token weights are regex counts evaluated in the JVM (D14). A BPE tokenizer
-can be plugged in through ``bpe_token_count`` when its vocabulary files are
-available locally; it runs as an Arrow-batched pandas UDF.
+Token weights are regex counts evaluated in the JVM (D14).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Token patterns. WHITESPACE counts runs of non-blank
 # characters; WORD_PUNCT counts word runs plus single punctuation marks.
@@ -54,17 +51,3 @@ def stem(c: str | Column) -> Column:
 def percent_label(c: str | Column, decimals: int = 2) -> Column:
     """``12.35%`` style label."""
     return F.format_string(f"%.{decimals}f%%", col_(c))
-
-
-def bpe_token_count(encoding_name: str = "cl100k_base"):
-    """Optional BPE weight as a pandas UDF. The encoding files must be
-    present on every executor (no download happens here)."""
-    import pandas as pd
-
-    @F.pandas_udf(T.LongType())
-    def _count(s: pd.Series) -> pd.Series:
-        import tiktoken
-        enc = tiktoken.get_encoding(encoding_name)
-        return s.fillna("").map(lambda t: len(enc.encode(t, disallowed_special=())))
-
-    return _count

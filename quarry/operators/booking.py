@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.codes import age_band, country_label, rvtype_label
-from quarry.functions.dates import PRESETS, month_name, preset_window, same_day_prior_year
+from quarry.functions.dates import (PRESETS, month_name, month_ranges, preset_window,
+                                    same_day_prior_year)
 from quarry.functions.text import percent_label
 
 DAY = dt.timedelta(days=1)
@@ -46,7 +47,7 @@ def distinct_periods(df: DataFrame, date_col: str = "booking_date") -> DataFrame
                      month_name(day).alias("month_name")).distinct()
 
 
-def preset_totals(df: DataFrame, end: dt.date, presets: Sequence[str] = PRESETS,
+def preset_totals(df: DataFrame, end: dt.date, presets: Iterable[str] = tuple(PRESETS),
                   date_col: str = "booking_date", value_col: str = "total_gmv") -> DataFrame:
     """F10 + A12 for many presets in ONE scan.
 
@@ -105,13 +106,16 @@ def metric_by_day(df: DataFrame, dim: str, value: str, how: str = "sum",
 def year_month_filter(df: DataFrame, years: Iterable[int] | None = None,
                       months: Iterable[int] | None = None,
                       date_col: str = "booking_date") -> DataFrame:
-    """F11 (D11): keep the selected years and months; ``None`` = all."""
+    """F11 (D11): keep the selected years and months; ``None`` = all. With
+    years given the months are day ranges, which reach the scan."""
     day = _day(date_col)
     if years is not None:
-        df = df.filter(F.year(day).isin(list(years)))
-    if months is not None:
-        df = df.filter(F.month(day).isin(list(months)))
-    return df
+        ranges = month_ranges(years, months)
+        cond = F.lit(False)
+        for first, end in ranges:
+            cond = cond | ((day >= F.lit(first)) & (day < F.lit(end)))
+        return df.filter(cond)
+    return df if months is None else df.filter(F.month(day).isin(list(months)))
 
 
 def prior_year_days(df: DataFrame, end: dt.date, date_col: str = "booking_date") -> DataFrame:

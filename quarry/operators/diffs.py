@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WHITESPACE, base_name, token_count
 from quarry.operators.packing import pack_chunks
+from quarry.sinks.tables import overwrite
 
 # Chunk budget and reviewable suffixes of the reference.
 CONTEXT_WINDOW_TOKENS = 100_000
@@ -30,10 +31,20 @@ HUNK_SPLIT = r"(?dm)^(?=@@ )"
 BLOCK_START = r"^(class|def)\s+"
 
 
-def file_header(old_path: Column, new_path: Column) -> Column:
-    """The 3-line header of one file's patch (ends with a newline)."""
-    return F.concat(F.lit("diff --git a/"), old_path, F.lit(" b/"), new_path,
-                    F.lit("\n--- a/"), old_path, F.lit("\n+++ b/"), new_path, F.lit("\n"))
+def file_header(file_text: Column) -> Column:
+    """The patch's own header, all lines before its first hunk."""
+    return F.regexp_extract(file_text, r"(?s)\A(.*?)(?:(?<=\n)@@ .*)?\z", 1)
+
+
+def patch_paths(file_text: Column) -> dict[str, Column]:
+    """``path`` and ``old_path`` of a file patch. Only lines before the
+    first hunk name files; ``/dev/null`` names none."""
+    head = file_header(file_text)
+    new = F.regexp_extract(head, r"(?dm)^\+\+\+ b/(.*)$", 1)
+    old = F.regexp_extract(head, r"(?dm)^--- a/(.*)$", 1)
+    git = F.regexp_extract(head, r"^diff --git a/(\S+) b/(\S+)", 2)
+    path = F.when(new != "", new).when(git != "", git).otherwise(old)
+    return {"path": path, "old_path": F.when(old != "", old).otherwise(path)}
 
 
 def split_files(diffs: DataFrame, text: str = "text", keep: Sequence[str] = ("diff_id",)) -> DataFrame:
@@ -41,42 +52,30 @@ def split_files(diffs: DataFrame, text: str = "text", keep: Sequence[str] = ("di
     pieces = diffs.select(*keep, F.posexplode(F.split(F.col(text), FILE_SPLIT))
                           .alias("file_idx", "file_text"))
     pieces = pieces.filter(F.col("file_text").startswith("diff --git "))
-    new = F.regexp_extract("file_text", r"(?dm)^\+\+\+ b/(.*)$", 1)
-    old = F.regexp_extract("file_text", r"(?dm)^--- a/(.*)$", 1)
-    git = F.regexp_extract("file_text", r"^diff --git a/(\S+) b/(\S+)", 2)
-    path = F.when(new != "", new).when(git != "", git).otherwise(old)
-    return pieces.select(*keep, "file_idx", F.when(old != "", old).otherwise(path).alias("old_path"),
-                         path.alias("path"), "file_text")
+    return pieces.withColumns(patch_paths(F.col("file_text"))).select(*keep, "file_idx", "old_path", "path", "file_text")
 
 
-def with_hunks(files: DataFrame, pattern: str = WHITESPACE) -> DataFrame:
+def with_hunks(files: DataFrame, pattern: str = WHITESPACE, where: Column | None = None) -> DataFrame:
     """T2-T4 inside each file row: ``hunks`` (text without the trailing
     newline), ``sections`` (text after the second ``@@``), ``is_block``
-    (section starts with ``class``/``def``), per-hunk ``hunk_tokens``,
-    ``file_tokens`` of the whole patch and ``header_tokens`` of its header.
+    (section starts with ``class``/``def``), per-hunk ``hunk_tokens`` and
+    ``header_tokens`` of the patch's header. Rows for which ``where`` does
+    not hold get NULL arrays and no work.
     """
     parts = F.split(F.col("file_text"), HUNK_SPLIT)
     hunks = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1),
                         lambda h: F.regexp_replace(h, r"\n\z", ""))
-    out = files.withColumn("hunks", hunks)
+    out = files.withColumn("hunks", hunks if where is None else F.when(where, hunks))
     sections = F.transform("hunks", lambda h: F.regexp_extract(h, r"^@@ [^\n]*? @@ ?([^\n]*)", 1))
     out = out.withColumn("sections", sections)
+    header = token_count(file_header(F.col("file_text")), pattern)
     return out.withColumns({
         "is_block": F.transform("sections", lambda s: F.trim(s).rlike(BLOCK_START)),
         "hunk_tokens": F.transform("hunks", lambda h: token_count(h, pattern)),
-        "file_tokens": token_count("file_text", pattern),
-        "header_tokens": token_count(file_header(F.col("old_path"), F.col("path")), pattern),
+        "header_tokens": header if where is None else F.when(where, header),
     })
 
 
-def explode_hunks(files_with_hunks: DataFrame, keep: Sequence[str] = ("diff_id", "path")) -> DataFrame:
-    """One row per hunk: ``(…keep, hunk_idx, section, is_block, text, tokens)``."""
-    z = F.arrays_zip(F.col("hunks").alias("text"), F.col("sections").alias("section"),
-                     F.col("is_block").alias("is_block"), F.col("hunk_tokens").alias("tokens"))
-    return files_with_hunks.select(*keep, F.posexplode(z).alias("hunk_idx", "h")).select(
-        *keep, "hunk_idx", "h.section", "h.is_block", "h.text", "h.tokens")
-
-
 def is_reviewable(path: Column, suffixes: Sequence[str] = REVIEW_SUFFIXES) -> Column:
     """path ends with one of the suffixes."""
     cond = F.lit(False)
@@ -102,15 +101,12 @@ def plan_levels(diffs: DataFrame, budget: int = CONTEXT_WINDOW_TOKENS,
                  .alias("file_idx", "file_text"))
     small = F.col("file_text").isNull()
     x = x.filter(small | F.col("file_text").startswith("diff --git "))
-    new = F.regexp_extract("file_text", r"(?dm)^\+\+\+ b/(.*)$", 1)
-    old = F.regexp_extract("file_text", r"(?dm)^--- a/(.*)$", 1)
-    git = F.regexp_extract("file_text", r"^diff --git a/(\S+) b/(\S+)", 2)
-    path = F.when(small, F.lit(None)).when(new != "", new).when(git != "", git).otherwise(old)
-    x = x.withColumns({"path": path, "old_path": F.when(old != "", old).otherwise(path)})
+    x = x.withColumns(patch_paths(F.col("file_text")))
     x = x.filter(small | is_reviewable(F.col("path"), suffixes))
-    x = with_hunks(x, pattern)
+    x = x.withColumn("file_tokens", token_count("file_text", pattern))
     level = F.when(small, F.lit(1)).when(F.col("file_tokens") <= budget, F.lit(2)).otherwise(F.lit(3))
-    return x.withColumn("level", level)
+    x = x.withColumn("level", level)
+    return with_hunks(x, pattern, where=F.col("level") == 3)     # only split files need their hunks
 
 
 def create_chunks(diffs: DataFrame, budget: int = CONTEXT_WINDOW_TOKENS,
@@ -120,12 +116,14 @@ def create_chunks(diffs: DataFrame, budget: int = CONTEXT_WINDOW_TOKENS,
 
     Each row of ``plan_levels`` builds its own array of chunks (one for
     levels 1 and 2, the packed parts for level 3), then a single explode
-    produces the output. ``header_weight="header"`` weighs each level-3
+    produces the output. A level-2 chunk is the whole file patch as it
+    stands; a level-3 part is the patch's header and some of its hunks.
+    ``header_weight="header"`` weighs each level-3
     chunk's header by the header text itself (D19); ``"none"`` gives 0.
     Level-3 ``tokens`` are the chunk's hunk tokens (header excluded).
     """
     x = plan_levels(diffs, budget, pattern, suffixes)
-    header = file_header(F.col("old_path"), F.col("path"))
+    header = file_header(F.col("file_text"))
     name = base_name(F.col("path"))
     hw = F.col("header_tokens") if header_weight == "header" else F.lit(0)
     lvl = F.col("level")
@@ -144,15 +142,27 @@ def create_chunks(diffs: DataFrame, budget: int = CONTEXT_WINDOW_TOKENS,
     chunks = (F.when(lvl == 1, one(0, F.lit("full_diff_chunk_0.diff"), F.col("whole_text"),
                                    F.col("diff_tokens")))
                .when(lvl == 2, one(0, F.concat(name, F.lit(".diff")),
-                                   F.concat(header, F.array_join("hunks", "\n")), F.col("file_tokens")))
+                                   F.regexp_replace("file_text", r"\n\z", ""), F.col("file_tokens")))
                .otherwise(F.transform("packed", part)))
     out = x.select("diff_id", "level", "path", F.explode(chunks).alias("c"))
     return out.select("diff_id", "level", "path", "c.part", "c.chunk_name", "c.text", "c.tokens")
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """K4: one output directory per diff (``diff_id=…``), chunk name kept as
-    a column; reruns replace only the diffs they contain (dynamic
-    partition overwrite)."""
-    (chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("diff_id").parquet(path))
+def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """K4: the chunks by diff and name (``diff_id`` and ``chunk_name`` stay
+    columns), dealt over ``buckets`` folders by a hash of the diff, each sorted
+    by diff and part, so one diff is found in one folder and the number of
+    folders does not grow with the diffs."""
+    bucket = F.pmod(F.xxhash64("diff_id"), F.lit(buckets)).cast("int")
+    dealt = chunks.withColumn("bucket", bucket).repartition("bucket")
+    overwrite(dealt.sortWithinPartitions("bucket", "diff_id", "path", "part"), path, partition_by=["bucket"])
+
+
+def read_chunks(spark: SparkSession, path: str, diff_id: str | None = None, buckets: int = 64) -> DataFrame:
+    """The written chunks; of one diff only its bucket is read."""
+    chunks = spark.read.parquet(path)
+    if diff_id is not None:
+        wanted = F.lit(diff_id)
+        chunks = chunks.filter((F.col("bucket") == F.pmod(F.xxhash64(wanted), F.lit(buckets)).cast("int"))
+                               & (F.col("diff_id") == wanted))
+    return chunks.drop("bucket")

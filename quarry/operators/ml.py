@@ -1,8 +1,10 @@
 """Training, model comparison, metrics and scoring with Spark ML (M1-M9,
 A14, K7).
 
-* M2 split and M4 folds are hashes of the row key: no shuffle, the same
-  rows on every run, and the same expression runs in SQL.
+* M1: labels are indexed and missing features filled inside the pipeline,
+  so both are stored with the model.
+* M2 splits each class by the order of its keys' hashes; M4 folds are hashes
+  of the row key: the same rows on every run, and the same rule runs in SQL.
 * M3: class imbalance is handled with a weight column (class weights
   from a one-row-per-class count).
 * M5: built-in classifiers are compared by cross-validated ROC AUC; the
@@ -18,18 +20,20 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WORD_PUNCT, token_count
+from quarry.operators.ranking import ordered_rank
 
 # Hold-out share, folds and seed of the reference setup.
 TRAIN_PER_MILLE = 995
 FOLDS = 5
 SEED = 123
+MOST_CLASSES = 100                 # a label column with more values is no class label
+FILLED = "__filled"
 
 
 def hash_bucket(key: Column, start: int, modulo: int) -> Column:
@@ -38,11 +42,19 @@ def hash_bucket(key: Column, start: int, modulo: int) -> Column:
     return h % modulo
 
 
-def is_train(key: Column, per_mille: int = TRAIN_PER_MILLE) -> Column:
-    """M2: about ``per_mille``/1000 of the keys train; the rest is hold-out.
-    Independent of the label, so each class is split in the same ratio in
-    expectation."""
-    return hash_bucket(key, 1, 1000) < per_mille
+def stratified_split(df: DataFrame, key: str, label: str, per_mille: int = TRAIN_PER_MILLE,
+                     out: str = "is_train") -> DataFrame:
+    """M2: add ``out``, true for ``per_mille``/1000 of each class. Of a class
+    of n rows, ``max(1, round(n * (1000 - per_mille) / 1000))`` are held out
+    (none of a single row): those whose keys have the smallest MD5. Ranks
+    come from ``ordered_rank``, so a class is no single task."""
+    hashed = df.withColumn("__md5", F.md5(F.col(key).cast("string")))
+    ranked = ordered_rank(hashed, [label], ["__md5", key], out="__rank")
+    counts = df.groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    held = F.when(F.col("__n") < 2, 0).otherwise(
+        F.greatest(F.lit(1), F.round(F.col("__n") * F.lit((1000 - per_mille) / 1000.0))))
+    return ranked.join(counts, F.col(label).eqNullSafe(F.col("__class"))) \
+        .withColumn(out, F.col("__rank") >= held).drop("__md5", "__rank", "__class", "__n")
 
 
 def fold_col(key: Column, folds: int = FOLDS) -> Column:
@@ -72,11 +84,18 @@ FEATURES = ("n_chars", "n_lines", "ws_tokens", "wp_tokens", "upper_share", "digi
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """M3: weight ``n / (k * n_class)`` per row (one tiny aggregate)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """M3: weight ``n / (k * n_class)`` per row (one tiny aggregate); rows
+    without a label weigh 0. A label with more than ``MOST_CLASSES`` values
+    is refused."""
+    known = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r[label]: r["n"] for r in known.limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} values")
     total, k = sum(counts.values()), len(counts)
+    if not counts:
+        return df.withColumn(out, F.lit(0.0))
     m = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(total / (k * n)))])
-    return df.withColumn(out, F.element_at(m, F.col(label)))
+    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(label)), F.lit(0.0)))
 
 
 def candidates(label: str, weight: str) -> dict[str, object]:
@@ -92,52 +111,57 @@ def candidates(label: str, weight: str) -> dict[str, object]:
     }
 
 
-def right_size(df: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> DataFrame:
-    """Coalesce (no shuffle) to about one partition per ``target_bytes`` of
-    the plan's estimated size. Iterative learners run one job per
-    iteration, so many near-empty partitions only add task overhead; a
-    large training set keeps its parallelism."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    want = max(1, -(-size // target_bytes))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+INDEX = "label_index"
 
 
-def _pipeline(features: Sequence[str], est) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features",
-                                            handleInvalid="keep"), est])
+def _pipeline(features: Sequence[str], label: str, weight: str, name: str) -> Pipeline:
+    """M1: index the label (alphabetical, so False before True and 0 before
+    1), fill missing features with 0, assemble, fit."""
+    index = StringIndexer(inputCol=label, outputCol=INDEX, handleInvalid="error", stringOrderType="alphabetAsc")
+    quoted = [c.replace("`", "``") for c in features]
+    fills = ", ".join(f"coalesce(nanvl(cast(`{c}` AS double), 0D), 0D) AS `{c}{FILLED}`" for c in quoted)
+    return Pipeline(stages=[
+        index, SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"{c}{FILLED}" for c in features], outputCol="features"),
+        candidates(INDEX, weight)[name]])
 
 
 def compare_models(train: DataFrame, features: Sequence[str], label: str = "label",
                    weight: str = "weight", fold: str = "fold",
                    include: Sequence[str] | None = None) -> list[tuple[str, float]]:
-    """M4/M5: cross-validated ROC AUC per candidate, best first.
+    """M4/M5: cross-validated ROC AUC per candidate, best first (ties by name).
 
-    Candidates are cross-validated concurrently (Spark runs jobs submitted
-    from several driver threads side by side); folds of one candidate run
-    in parallel too.
+    One fit per candidate and fold, on one cached frame that all share; the
+    candidates run side by side, as Spark takes jobs from several driver
+    threads. A fold without both classes has no AUC and is left out.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    data = right_size(train)
-    todo = [(n, e) for n, e in candidates(label, weight).items() if not include or n in include]
+    evaluator = BinaryClassificationEvaluator(labelCol=INDEX, metricName="areaUnderROC")
+    data = train.filter(F.col(label).isNotNull()).persist()
+    todo = [n for n in candidates(label, weight) if not include or n in include]
+    classes = data.groupBy(fold).agg(F.count_distinct(label).alias("k")).collect()     # FOLDS rows
+    usable = sorted(r[fold] for r in classes if r["k"] > 1)
 
-    def run(item):
-        name, est = item
-        cv = CrossValidator(estimator=_pipeline(features, est), evaluator=ev,
-                            estimatorParamMaps=ParamGridBuilder().build(), foldCol=fold,
-                            numFolds=FOLDS, parallelism=FOLDS, seed=SEED)
-        return name, float(cv.fit(data).avgMetrics[0])
+    def run(name: str) -> tuple[str, float]:
+        scores = []
+        for f in usable:
+            model = _pipeline(features, label, weight, name).fit(data.filter(F.col(fold) != f))
+            scores.append(evaluator.evaluate(model.transform(data.filter(F.col(fold) == f))))
+        return name, sum(scores) / len(scores) if scores else float("nan")
 
-    with ThreadPoolExecutor(max(1, len(todo))) as pool:
-        scores = list(pool.map(run, todo))
-    return sorted(scores, key=lambda x: -x[1])
+    try:
+        with ThreadPoolExecutor(max(1, len(todo))) as pool:
+            scores = list(pool.map(run, todo))
+    finally:
+        data.unpersist()
+    return sorted(scores, key=lambda x: (-x[1] if x[1] == x[1] else 1.0, x[0]))
 
 
 def fit_final(df: DataFrame, name: str, features: Sequence[str], label: str = "label",
               weight: str = "weight") -> PipelineModel:
-    """M6: refit the chosen candidate on every row given."""
-    return _pipeline(features, candidates(label, weight)[name]).fit(right_size(df))
+    """M6: refit the chosen candidate on every labelled row given."""
+    return _pipeline(features, label, weight, name).fit(df.filter(F.col(label).isNotNull()))
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -152,31 +176,55 @@ def load_model(path: str) -> PipelineModel:
 
 def model_features(model: PipelineModel) -> list[str]:
     """M9: the feature list stored with the model."""
-    return list(model.stages[0].getInputCols())
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    return [c.removesuffix(FILLED) for c in assembler.getInputCols()]
+
+
+def _indexer(model: PipelineModel) -> StringIndexerModel:
+    return next(s for s in model.stages if isinstance(s, StringIndexerModel))
+
+
+def model_labels(model: PipelineModel) -> list[str]:
+    """The label values stored with the model, by index."""
+    return list(_indexer(model).labels)
+
+
+def transform_labelled(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """The model's output for the rows whose label it knows, for ``metrics``."""
+    label = F.col(_indexer(model).getInputCol())
+    return model.transform(df.filter(label.cast("string").isin(model_labels(model))))
 
 
 def score(model: PipelineModel, df: DataFrame, strict: bool = True) -> DataFrame:
-    """M7: add ``prediction_label`` and ``prediction_score`` (probability
-    of class 1); the class-0 score is dropped. With ``strict`` a missing
-    feature column is an error (D18)."""
+    """M7: add ``prediction_label`` (the label's own value) and
+    ``prediction_score`` (probability of the second class); the first
+    class's score is dropped. Missing features score as filled. With
+    ``strict`` a missing feature column is an error (D18)."""
     missing = [c for c in model_features(model) if c not in df.columns]
     if strict and missing:
         raise KeyError(f"feature columns missing for scoring: {missing}")
-    out = model.transform(df)
+    label = _indexer(model).getInputCol()
+    hidden = {label: "__own_label"} if label in df.columns else {}     # labels play no part here
+    out = model.transform(df.withColumnsRenamed(hidden)).withColumnsRenamed({v: k for k, v in hidden.items()})
+    names = F.array(*[F.lit(x) for x in model_labels(model)])
     return out.select(*df.columns,
-                      F.col("prediction").cast("int").cast("string").alias("prediction_label"),
-                      vector_to_array("probability")[1].alias("prediction_score"))
+                      F.get(names, F.col("prediction").cast("int")).alias("prediction_label"),
+                      # a model of one class knows no second one
+                      F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)).alias("prediction_score"))
 
 
-def metrics(pred: DataFrame, label: str = "label", model: str = "", stage: str = "") -> DataFrame:
-    """One row of ROC AUC, accuracy, precision, recall and F1.
+def metrics(pred: DataFrame, label: str = INDEX, model: str = "", stage: str = "") -> DataFrame:
+    """One row of ROC AUC, confusion counts, accuracy, precision,
+    recall and F1 of a fitted pipeline's output, over its labelled rows.
 
     The confusion counts are one aggregate (partial sums per task); the AUC
     comes from Spark's evaluator.
     """
+    # the label's values, where the pipeline's index names them: one class has no AUC
+    values = pred.schema[label].metadata.get("ml_attr", {}).get("vals", ("0", "1"))
     auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                         metricName="areaUnderROC").evaluate(pred) \
-        if "rawPrediction" in pred.columns else None
+        if "rawPrediction" in pred.columns and len(values) > 1 else None
     y, p = F.col(label), F.col("prediction")
     c = pred.agg(F.count(F.lit(1)).alias("n"),
                  F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
@@ -185,6 +233,7 @@ def metrics(pred: DataFrame, label: str = "label", model: str = "", stage: str =
     rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.select(F.lit(model).alias("model"), F.lit(stage).alias("stage"), "n",
                     F.lit(auc).cast("double").alias("auc"),
+                    "tp", "fp", "fn", "tn",
                     F.try_divide(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
                     prec.alias("precision"), rec.alias("recall"),
                     F.try_divide(2 * prec * rec, prec + rec).alias("f1"))

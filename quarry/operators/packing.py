@@ -80,10 +80,3 @@ def pack_chunks(weights: Column, budget: int, header: Column | int = 0,
         return F.flatten(F.concat(acc["pages"], F.array(last)))
 
     return F.aggregate(items, init, step, finish)
-
-
-def chunk_texts(items: Column, chunks: Column, sep: str = "\n") -> Column:
-    """Join each chunk's items: ``array<string>`` aligned with ``chunks``.
-    ``items`` should be a column of the input (it is read once per chunk)."""
-    return F.transform(chunks, lambda c: F.array_join(
-        F.slice(items, c["first"] + 1, c["last"] - c["first"] + 1), sep))

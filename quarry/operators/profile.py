@@ -23,10 +23,11 @@ def _q(name: str) -> str:
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """A1-A3 + P9: long-format ``(feature_name, null_count, missing_pct)``.
+    """A1-A3 + P9: long-format ``(feature_name, null_count, row_count,
+    missing_pct)``.
 
-    ``missing_pct = null_count / rows * 100`` rounded to 4 decimals, NULL
-    for an empty input.
+    ``missing_pct = null_count / rows * 100`` rounded to 4 decimals for
+    display, NULL for an empty input; decisions use the counts.
     """
     cols = list(cols if cols is not None else df.columns)
     aggs = [F.count(F.lit(1)).alias(_ROWS)]
@@ -37,23 +38,24 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     pct = F.try_divide(F.col("null_count").cast("double") * F.lit(100.0),
                        F.col(_ROWS).cast("double"))
     return long.select("feature_name", F.col("null_count").cast("bigint").alias("null_count"),
-                       F.round(pct, 4).alias("missing_pct"))
+                       F.col(_ROWS).cast("bigint").alias("row_count"), F.round(pct, 4).alias("missing_pct"))
 
 
 def top_missing(profile: DataFrame, n: int = 5) -> DataFrame:
     """O1/O2: highest missing share first, name as tie-break, first ``n``."""
-    return profile.orderBy(F.col("missing_pct").desc(), F.col("feature_name").asc()).limit(n)
+    return profile.orderBy(F.col("null_count").desc(), F.col("feature_name").asc()).limit(n)
 
 
 def sparse_columns(profile: DataFrame, threshold: float = 90.0) -> list[str]:
     """names whose missing share is strictly above ``threshold``."""
-    rows = profile.filter(F.col("missing_pct") > threshold).select("feature_name").collect()
+    above = F.col("null_count").cast("double") * 100.0 > F.lit(float(threshold)) * F.col("row_count").cast("double")
+    rows = profile.filter(above).select("feature_name").collect()
     return sorted(r.feature_name for r in rows)
 
 
 def complete_columns(profile: DataFrame) -> list[str]:
-    """names with no missing value."""
-    rows = profile.filter(F.col("missing_pct") == 0).select("feature_name").collect()
+    """names with no missing value (of an empty input none is complete)."""
+    rows = profile.filter((F.col("null_count") == 0) & (F.col("row_count") > 0)).select("feature_name").collect()
     return sorted(r.feature_name for r in rows)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
+from quarry.sinks.tables import materialize
 
 _ROW_BITS = (1 << 33) - 1   # monotonically_increasing_id keeps the row index in the low 33 bits
 
@@ -43,7 +44,14 @@ def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str],
     stats = s.groupBy("__pid", *group).agg(F.count(F.lit(1)).alias("__cnt"),
                                            F.min("__row").alias("__first"))
     before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
-    ranked = s.join(offs.select("__pid", *group, "__off", "__first"), ["__pid", *group])
-    return ranked.withColumn(out, (F.col("__off") + F.col("__row") - F.col("__first")).cast("bigint")) \
-                 .drop("__pid", "__row", "__off", "__first", "__tie")
+    offs = stats.select(F.col("__pid").alias("__opid"), "__first",
+                        F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
+                        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)])
+    # Staged: the planner then sees the real size of these few rows (one per
+    # partition and group) and needs no second shuffle of the ranked rows.
+    offs = materialize(offs, "rank-offsets")
+    same = F.col("__pid") == F.col("__opid")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))      # a NULL group is a group
+    ranked = s.join(offs, same)
+    return ranked.select(*df.columns[:-1], (F.col("__off") + F.col("__row") - F.col("__first")).cast("bigint").alias(out))

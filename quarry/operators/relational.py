@@ -25,26 +25,18 @@ def not_in(df: DataFrame, key: str, sub: DataFrame, sub_key: str) -> DataFrame:
     * otherwise rows with a non-NULL key absent from the subquery.
 
     Spark plans ``NOT IN`` as a null-aware anti join that must broadcast
-    the whole subquery, or else falls back to a nested-loop join. Here one
-    small aggregate job (row and NULL counts, a single row) decides the
-    case on the driver, and the general case is a plain shuffled
-    ``left_anti`` join that works at any subquery size.
+    the whole subquery, or else falls back to a nested-loop join. This is
+    one lazy plan instead: the distinct keys (one shuffle, NULL among them)
+    feed a plain ``left_anti`` join and a scalar subquery of one row that
+    says whether the subquery is empty or holds a NULL; Spark reuses their
+    common exchange.
     """
-    stats = sub.agg(F.count(F.lit(1)).alias("n"),
-                    F.count_if(F.col(sub_key).isNull()).alias("nulls")).first()
-    if stats["n"] == 0:
-        return df
-    if stats["nulls"] > 0:
-        return df.filter(F.lit(False))
     keys = sub.select(F.col(sub_key).alias("__nin")).distinct()
-    return (df.filter(F.col(key).isNotNull())
-              .join(keys, F.col(key) == keys["__nin"], "left_anti"))
-
-
-def not_in_sql(df: DataFrame, key: str, sub: DataFrame, sub_key: str) -> DataFrame:
-    """J8 through Spark's own ``NOT IN`` (null-aware anti join). Only
-    suitable when the subquery is small enough to broadcast."""
-    return df.where(~F.col(key).isin(sub.select(sub_key)))
+    facts = keys.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                              F.count_if(F.col("__nin").isNull()).alias("nulls")).alias("f"))
+    left = df.withColumn("__f", facts.scalar())
+    left = left.filter((F.col("__f.n") == 0) | ((F.col("__f.nulls") == 0) & F.col(key).isNotNull())).drop("__f")
+    return left.join(keys, F.col(key) == keys["__nin"], "left_anti")
 
 
 def remove_keys(df: DataFrame, key: str, used: DataFrame, used_key: str | None = None) -> DataFrame:
@@ -60,24 +52,15 @@ def row_difference(a: DataFrame, b: DataFrame, keep_duplicates: bool = False) ->
     return a.exceptAll(b) if keep_duplicates else a.subtract(b)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def lookup_label(df: DataFrame, code: str, dim: DataFrame, dim_key: str, dim_label: str,
-                 out: str, default: str | None = None,
-                 max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+                 out: str, default: str | None = None) -> DataFrame:
     """C8 when the code -> label map is a table: a left join on the code.
 
-    The dimension is de-duplicated on its key (a code keeps one label,
-    rows never multiply) and broadcast only when its estimated size is
-    under ``max_broadcast_bytes``; otherwise it is a plain shuffled join
-    and AQE decides at run time.
+    A code has one label: of several the smallest counts, so rows never
+    multiply. Spark's own threshold decides whether the dimension is
+    broadcast.
     """
     d = dim.groupBy(F.col(dim_key).alias("__code")).agg(F.min(dim_label).alias("__label"))
-    if estimated_bytes(d) <= max_broadcast_bytes:
-        d = F.broadcast(d)
     j = df.join(d, df[code] == d["__code"], "left")
     lab = F.col("__label") if default is None else F.coalesce(F.col("__label"), F.lit(default))
     return j.withColumn(out, lab).drop("__code", "__label")

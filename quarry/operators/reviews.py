@@ -27,6 +27,9 @@ SKIP_TEXT = "No code found in file, skipping review."
 SEVERITIES = ("Low", "Medium", "High", "Critical")
 PLACEHOLDER = "{PY_CONTENT}"
 SUMMARY_PLACEHOLDER = "{ALL_REVIEWS_CONTENT}"
+# Fixed value: the text that stands for a review that failed.
+ERROR_TEXT = "ERROR: Could not generate review for this file. Reason: "
+REVIEW_HEADING = "=== change under review ==="
 
 # Own prompt wording; the placeholder contract is what matters.
 REVIEW_PROMPT = """Review the following code diff as a senior reviewer.
@@ -35,7 +38,7 @@ High or Critical, cite the new line number, and keep the whole answer under
 65,000 characters, dropping Low findings first if needed.
 Answer as JSON with keys summary, detailed_findings, key_recommendations.
 
-# CODE DIFF TO REVIEW
+=== change under review ===
 
 {PY_CONTENT}
 """
@@ -43,7 +46,7 @@ SUMMARY_PROMPT = """Consolidate the individual code reviews below into one
 summary: merge repeated issues, keep file names and line numbers, put High
 and Critical findings first, stay under 65,000 characters.
 
-# INDIVIDUAL CODE REVIEWS TO CONSOLIDATE
+=== reviews, one block per file ===
 
 {ALL_REVIEWS_CONTENT}
 """
@@ -51,7 +54,7 @@ and Critical findings first, stay under 65,000 characters.
 FINDING = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("severity", T.StringType()),
-    T.StructField("line_number", T.LongType()),
+    T.StructField("line_number", T.DoubleType()),      # JSON number: 12 and 12.0 are the same
     T.StructField("function_context", T.StringType()),
     T.StructField("finding", T.StringType()),
     T.StructField("snippet", T.StringType()),
@@ -63,17 +66,18 @@ REVIEW = T.StructType([
 ])
 TOP_KEYS = ("summary", "detailed_findings", "key_recommendations")
 FINDING_KEYS = tuple(f.name for f in FINDING.fields)
-# Each finding re-read as a string map: its key set, for the strict form's
-# "no additional properties" rule.
-_FINDING_MAPS = T.StructType([T.StructField("detailed_findings",
-                                            T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
+# Top-level values as raw JSON texts, whatever their type, and each finding
+# as a map of raw texts: for the type checks and for the strict form's "no
+# additional properties" rule.
+_RAW = T.MapType(T.StringType(), T.StringType())
+_FINDING_MAPS = T.StructType([T.StructField("detailed_findings", T.ArrayType(_RAW))])
 REQUIRED = ("file_path", "severity", "line_number", "finding")
 STRICT_REQUIRED = (*REQUIRED, "function_context", "snippet")
 
 
 def is_blank(text: Column) -> Column:
-    """empty or whitespace-only source."""
-    return F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", F.lit(True))
+    """empty or whitespace-only source (any Unicode white space)."""
+    return ~F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def build_prompts(df: DataFrame, text: str = "text", template: str = REVIEW_PROMPT,
@@ -146,11 +150,15 @@ def parse_reviews(df: DataFrame, text: str = "response") -> DataFrame:
     """Parse the JSON answer and flag contract violations.
 
     Adds ``review`` (struct), ``is_json`` (well-formed object),
-    ``top_ok`` (required top-level keys present) and ``strict_top_ok`` (no
-    key outside the contract).
+    ``top_ok`` (required top-level keys present, with values of the
+    contract's types) and ``strict_top_ok`` (no key outside the contract).
     """
     t = F.col(text)
     keys = F.json_object_keys(t)
+    kind = lambda key: F.schema_of_variant(F.try_variant_get(F.try_parse_json(t), "$." + key, "variant"))
+    typed = (kind("summary") == "STRING") & kind("detailed_findings").startswith("ARRAY<") \
+        & kind("key_recommendations").startswith("ARRAY<") & F.coalesce(
+            ~F.exists(F.from_json(t, REVIEW)["key_recommendations"], lambda r: r.isNull()), F.lit(False))
     allowed = F.array(*[F.lit(k) for k in TOP_KEYS])
     allowed_f = F.array(*[F.lit(k) for k in FINDING_KEYS])
     extra = F.transform(F.from_json(t, _FINDING_MAPS)["detailed_findings"],
@@ -159,33 +167,36 @@ def parse_reviews(df: DataFrame, text: str = "response") -> DataFrame:
         "review": F.from_json(t, REVIEW),
         "finding_keys_ok": extra,
         "is_json": keys.isNotNull(),
-        "top_ok": keys.isNotNull() & F.array_contains(keys, "summary")
-        & F.array_contains(keys, "detailed_findings") & F.array_contains(keys, "key_recommendations"),
+        "top_ok": keys.isNotNull() & F.coalesce(typed, F.lit(False)),
         "strict_top_ok": keys.isNotNull() & (F.size(F.array_except(keys, allowed)) == 0),
     })
 
 
 def finding_valid(f: Column, strict: bool = False) -> Column:
-    """Required fields present and severity in the enum."""
+    """Required fields present, an integral line number and severity in the enum."""
     need = STRICT_REQUIRED if strict else REQUIRED
     ok = F.lit(True)
     for k in need:
         ok = ok & f[k].isNotNull()
-    return ok & f["severity"].isin(*SEVERITIES)
+    return ok & f["severity"].isin(*SEVERITIES) & (f["line_number"] == F.floor(f["line_number"]))
 
 
 def findings(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per finding (``finding_idx`` 0-based); a review that is
-    not valid JSON keeps one row with NULL finding fields. ``is_strict_valid``
+    not valid JSON keeps one row with NULL finding fields, a review without
+    findings has no row. A line number that is no integer is NULL. ``is_strict_valid``
     also requires ``function_context``, ``snippet`` and no key outside the
     contract, at the top level or inside the finding."""
     pairs = F.arrays_zip(F.col("review.detailed_findings").alias("f"),
                          F.col("finding_keys_ok").alias("k"))
     rows = parsed.select(*keep, "is_json", "top_ok", "strict_top_ok",
-                         F.posexplode_outer(F.when(F.col("is_json"), pairs)).alias("finding_idx", "z"))
+                         F.posexplode_outer(F.when(F.col("is_json"), pairs)).alias("finding_idx", "z")) \
+        .filter(F.col("finding_idx").isNotNull() | ~F.col("is_json"))
     rows = rows.select(*keep, "is_json", "top_ok", "strict_top_ok", "finding_idx",
                        F.col("z.f").alias("f"), F.coalesce(F.col("z.k"), F.lit(False)).alias("keys_ok"))
-    return rows.select(*keep, "finding_idx", "f.*",
+    line = F.when(F.col("f.line_number") == F.floor("f.line_number"), F.col("f.line_number")).try_cast("bigint")
+    fields = [line.alias(c) if c == "line_number" else F.col(f"f.{c}") for c in FINDING_KEYS]
+    return rows.select(*keep, "finding_idx", *fields,
                        (F.col("is_json") & F.col("top_ok") & F.col("f").isNotNull()
                         & finding_valid(F.col("f"))).alias("is_valid"),
                        (F.col("is_json") & F.col("top_ok") & F.col("strict_top_ok")
@@ -249,8 +260,11 @@ def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[st
     reviews are summarised, then batches of those summaries, until one
     remains per group; the result is cut to ``max_chars`` (C16).
 
-    The number of rounds is ``ceil(log_fan_in(reviews per group))``.
+    The number of rounds is ``ceil(log_fan_in(reviews per group))``, so
+    ``fan_in`` is 2 at least. A NULL group has its summary like any other.
     """
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more: one review per batch never ends in one summary")
     ensure_checkpoint_dir(reviews.sparkSession)
     level, finals = 0, None
     cur = reviews.select(*group, F.col(name).alias("__name"), F.col(text).alias("__text"))
@@ -262,14 +276,17 @@ def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[st
         # Each round's answers are checkpointed to the shared folder: the
         # model is not called again when a later stage is recomputed.
         done = call_model(b, fn, "prompt", keep=[*group, "batch"]).checkpoint(eager=True)
-        sizes = done.groupBy(*group).agg(F.count(F.lit(1)).alias("__nb"))
-        done = done.join(sizes, list(group))
+        # Batches are numbered without gaps from 0: a group with a batch 1 has several.
+        more = done.filter(F.col("batch") == 1).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)])
+        several = F.lit(True)
+        for i, g in enumerate(group):
+            several = several & F.col(g).eqNullSafe(F.col(f"__g{i}"))
         answer = F.coalesce("response", "error")
-        fin = done.filter(F.col("__nb") == 1).select(
+        fin = done.filter(F.col("batch") == 0).join(more, several, "left_anti").select(
             *group, F.lit(level).alias("levels"), truncate_chars(answer, max_chars).alias("summary"),
             (F.length(answer) > max_chars).alias("was_truncated"))
         finals = fin if finals is None else finals.unionByName(fin)
-        rest = done.filter(F.col("__nb") > 1)
+        rest = done.join(more, several, "left_semi")
         if rest.isEmpty():
             return finals
         cur = rest.select(*group, F.format_string("summary_%019d", F.col("batch")).alias("__name"),
@@ -282,7 +299,7 @@ def stub_reviewer(fail_marker: str = "!") -> Callable[[str], str]:
     code containing ``fail_marker``."""
 
     def review(prompt: str) -> str:
-        code = prompt.split("# CODE DIFF TO REVIEW\n\n", 1)[-1]
+        code = prompt.split(REVIEW_HEADING + "\n\n", 1)[-1]
         if fail_marker and fail_marker in code:
             raise ValueError("model refused the input")
         lines = code.count("\n")

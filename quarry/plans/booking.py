@@ -1,4 +1,4 @@
-"""Booking-report queries on the test tables (q18-q31).
+"""Booking-report queries on the test tables (q18-q31, q54).
 
 Bookings = orders joined to customers (see ``fixtures.bookings``); tab 1
 covers ``[BOOK_START - 6 days, BOOK_END]``, tab 2 the "Last 3 Months"
@@ -7,6 +7,8 @@ preset ending at ``BOOK_END``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quarry.functions.codes import AGE_BANDS, COUNTRY_LABELS, RVTYPE_LABELS
@@ -146,3 +148,16 @@ def q31(spark, root):
                                           F.round(F.sum("total_gmv"), 2).alias("gmv"))
 
 
+
+
+# q54: the presets where "All Time" holds rows -------------------------------
+LATE_END = dt.date(2020, 3, 31)
+_LATE_SQL = _preset_sql().replace(d(BOOK_END), d(LATE_END)).replace("FROM bookings", "FROM late")
+
+
+@query("q54_presets_all_time", f"""WITH {BOOKINGS_SQL},
+late AS (SELECT * REPLACE (CAST(booking_date + INTERVAL 20 YEAR AS DATE) AS booking_date) FROM bookings)
+{_LATE_SQL}""")
+def q54(spark, root):
+    b = bookings(Tables(spark, root))
+    return preset_totals(b.withColumn("booking_date", F.add_months("booking_date", 240)), LATE_END)

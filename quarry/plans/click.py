@@ -84,13 +84,13 @@ def _profile_sql(cols, src):
 
 @query("q03_null_profile", f"WITH {MEMBERS_SQL}\n{_profile_sql(MEMBER_COLUMNS, 'members')}")
 def q03(spark, root):
-    return null_profile(members(Tables(spark, root)))
+    return null_profile(members(Tables(spark, root))).drop("row_count")
 
 
 @query("q03b_profile_top5", f"""WITH {MEMBERS_SQL}, p AS ({_profile_sql(MEMBER_COLUMNS, 'members')})
-SELECT * FROM p ORDER BY missing_pct DESC, feature_name ASC LIMIT 5""")
+SELECT * FROM p ORDER BY null_count DESC, feature_name ASC LIMIT 5""")
 def q03b(spark, root):
-    return top_missing(null_profile(members(Tables(spark, root))), 5)
+    return top_missing(null_profile(members(Tables(spark, root))), 5).drop("row_count")
 
 
 # q04 ---------------------------------------------------------------------
@@ -226,31 +226,32 @@ def retried_users(t: Tables, day: dt.date) -> DataFrame:
 
 def renewals(t: Tables) -> DataFrame:
     li, o, p = t.lineitem, t.orders, t.part
-    dos = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
-        F.col("o_custkey").alias("registration_id"), F.col("l_partkey").alias("sku_id"),
-        F.col("l_orderkey").alias("trans_id"), F.col("l_shipdate").alias("start_date"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("last_renewed_date"),
-        F.when(F.col("l_returnflag") == "R", F.col("o_orderdate")).alias("cancelled_date"),
-        "l_quantity", "o_orderstatus")
-    dos = dos.filter(
-        F.col("last_renewed_date").isNotNull() & (F.col("l_quantity") > 5)
-        & (F.col("o_orderstatus") != "P")
-        & (F.col("cancelled_date").isNull()
-           | (F.to_date("cancelled_date") == F.to_date("start_date"))))
     sku = p.select(F.col("p_partkey").alias("sku_id"), F.col("p_size").alias("term_length"))
+    # Everything that the part decides comes first, on lineitem alone; the
+    # orders join then shuffles what is left, once.
     product = p.select(F.col("p_brand").alias("display_name")).distinct()
     branded = (p.join(product, p["p_brand"] == product["display_name"])
                 .filter(F.col("display_name").isin(*RENEWAL_BRANDS)).select("p_partkey"))
     typed = p.filter(F.col("p_size") <= RENEWAL_MAX_SIZE).select("p_partkey")
-    classic = dos.join(sku, "sku_id").filter(F.to_date("start_date") < F.lit(O_ASOF))
-    classic = in_subquery(classic, "sku_id", branded, "p_partkey")
-    classic = in_subquery(classic, "sku_id", typed, "p_partkey")
+    skus = in_subquery(in_subquery(sku, "sku_id", branded, "p_partkey"), "sku_id", typed, "p_partkey")
+    lines = li.select(
+        F.col("l_partkey").alias("sku_id"), F.col("l_orderkey").alias("trans_id"),
+        F.col("l_shipdate").alias("start_date"), "l_quantity", "l_returnflag",
+        F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("last_renewed_date"))
+    lines = lines.filter(F.col("last_renewed_date").isNotNull() & (F.col("l_quantity") > 5)
+                         & (F.to_date("start_date") < F.lit(O_ASOF)))
+    classic = lines.join(skus, "sku_id").join(o, F.col("trans_id") == o["o_orderkey"]).select(
+        F.col("o_custkey").alias("registration_id"), "term_length", "trans_id", "start_date", "o_orderstatus",
+        F.when(F.col("l_returnflag") == "R", F.col("o_orderdate")).alias("cancelled_date"))
+    classic = classic.filter(
+        (F.col("o_orderstatus") != "P")
+        & (F.col("cancelled_date").isNull() | (F.to_date("cancelled_date") == F.to_date("start_date"))))
     keys = [F.col("registration_id"), F.col("term_length"),
             F.to_date("start_date").alias("start_date"), F.lit("renewals").alias("transaction_type")]
     classic = distinct_count_by(classic, keys, "trans_id", "transactions")
 
     ev = t.events.filter((F.col("event_type") == "purchase") & (F.col("value") > 1))
-    ev = ev.withColumn("sku_id", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    ev = ev.withColumn("sku_id", F.regexp_extract("props", "[0-9]+", 0).try_cast("bigint"))
     shop = ev.join(sku, "sku_id")
     shop = not_in(shop, "user_id", retried_users(t, E_ASOF - DAY), "user_id")
     shop = shop.filter(F.to_date("ts") < F.lit(E_ASOF)).withColumnRenamed("user_id", "registration_id")
@@ -315,18 +316,27 @@ def q14(spark, root):
 
 @query("q14b_not_in_spark_sql", """
 SELECT p_name FROM part
-WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 50 THEN NULL ELSE l_partkey END
+WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity >= 50 AND l_discount > 0.2 THEN NULL ELSE l_partkey END
+                        FROM lineitem WHERE l_quantity > 49)
+UNION ALL
+SELECT 'with a NULL key: ' || count(*) FROM part
+WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity >= 50 THEN NULL ELSE l_partkey END
                         FROM lineitem WHERE l_quantity > 49)""")
 def q14b(spark, root):
-    """S2 + J8 through ``spark.sql`` on registered views: Spark's own
-    null-aware anti join (the subquery side here is small and filtered;
-    ``not_in`` is the form that scales to any subquery size)."""
+    """S2 + J8 as SQL on registered views, without and with a NULL key: NOT
+    EXISTS plans as a shuffled anti join, and a scalar subquery adds the NULL
+    rule, so nothing needs a broadcast."""
     from quarry.sources.tables import register_tables
     register_tables(spark, root, ("part", "lineitem"))
-    return spark.sql("""
-        SELECT p_name FROM part
-        WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 50 THEN NULL ELSE l_partkey END
-                                FROM lineitem WHERE l_quantity > 49)""")
+
+    def not_in_keys(condition: str, result: str) -> str:
+        keys = f"SELECT CASE WHEN {condition} THEN NULL ELSE l_partkey END AS k FROM lineitem WHERE l_quantity > 49"
+        return f"""SELECT {result} FROM part
+            WHERE NOT EXISTS (SELECT 1 FROM ({keys}) s WHERE s.k = p_partkey)
+              AND (SELECT count_if(k IS NULL) = 0 FROM ({keys}) s)"""
+
+    return spark.sql(not_in_keys("l_quantity >= 50 AND l_discount > 0.2", "p_name") + "\nUNION ALL\n"
+                     + not_in_keys("l_quantity >= 50", "concat('with a NULL key: ', count(*)) AS p_name"))
 
 
 @query("q15_training_removed", f"""

@@ -15,16 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.clean import CleanSpec, clean_members
-from quarry.operators.diffs import create_chunks, write_chunks
+from quarry.operators.diffs import create_chunks, read_chunks, write_chunks
 from quarry.operators.features import assemble
 from quarry.operators.label import add_existence_label, distinct_keys_since, label_counts
-from quarry.operators.ml import (compare_models, fit_final, fold_col, is_train, load_model,
-                                 metrics, save_model, score, with_class_weights)
+from quarry.operators.ml import (compare_models, fit_final, fold_col, load_model, metrics,
+                                 save_model, score, stratified_split, transform_labelled,
+                                 with_class_weights)
 from quarry.operators.profile import drop_sparse
 from quarry.operators.relational import remove_keys
-from quarry.operators.reviews import (build_prompts, call_model, consolidate, parse_reviews,
-                                      split_status)
-from quarry.sinks.tables import materialize, overwrite, write_part
+from quarry.operators.reviews import (ERROR_TEXT, build_prompts, call_model, consolidate, findings,
+                                      parse_reviews, split_status, trim_by_severity)
+from quarry.sinks.tables import materialize, overwrite, staged_scope, write_part
 from quarry.sources.tables import part_filter, snapshot_scan
 from quarry.sources.text import read_diffs, read_text_dir
 
@@ -49,10 +50,13 @@ class ClickDatasetSpec:
 
 def click_dataset(snapshot: DataFrame, clicks: DataFrame, features: Sequence[DataFrame],
                   spec: ClickDatasetSpec, out_path: str | None = None) -> DataFrame:
-    """Snapshot scan -> clean -> click label -> staged table -> feature
-    joins -> second sparsity drop (features keep their NULLs, D6) -> write.
+    """Snapshot scan -> clean -> click label -> feature joins -> second
+    sparsity drop (features keep their NULLs, D6) -> write.
 
-    ``features`` are per-key aggregates already keyed by ``spec.key``.
+    ``features`` are per-key aggregates already keyed by ``spec.key``. The
+    snapshot and the assembled table are staged once each, for the profile
+    and the select that follows it; the result is a read of ``out_path``, or
+    of the staged table.
     """
     day = spec.as_of - dt.timedelta(days=spec.snapshot_lag_days)
     snap = snapshot_scan(snapshot, spec.snapshot_ts, day, where=spec.scan_where,
@@ -61,11 +65,12 @@ def click_dataset(snapshot: DataFrame, clicks: DataFrame, features: Sequence[Dat
     clean = clean.drop(spec.snapshot_ts)
     clickers = distinct_keys_since(clicks, spec.click_key, spec.click_ts,
                                    spec.as_of - dt.timedelta(days=spec.label_window_days))
-    labelled = materialize(add_existence_label(clean, spec.key, clickers, spec.label), "dataset")
+    labelled = add_existence_label(clean, spec.key, clickers, spec.label)
     full, _ = drop_sparse(assemble(labelled, spec.key, features), spec.sparse_threshold, stage=True)
-    if out_path:
-        overwrite(full, out_path)
-    return full
+    if not out_path:
+        return full
+    overwrite(full, out_path)
+    return snapshot.sparkSession.read.parquet(out_path)
 
 
 def label_distribution(dataset: DataFrame, label: str = "clicked_or_not") -> DataFrame:
@@ -74,24 +79,32 @@ def label_distribution(dataset: DataFrame, label: str = "clicked_or_not") -> Dat
 
 def train_job(spark: SparkSession, data: DataFrame, key: str, label: str,
               features: Sequence[str], model_path: str, metrics_path: str | None = None,
-              include: Sequence[str] | None = None) -> tuple[str, DataFrame]:
-    """Model development: hash split (99.5 % train), 5 hash folds, class
-    weights, compare candidates by CV AUC, refit the best on all rows,
-    save the model, write a metrics table (CV rows + hold-out row)."""
-    d = data.withColumn("label", F.col(label).cast("double")) if label != "label" else data
-    d = with_class_weights(d.withColumn("fold", fold_col(F.col(key))), "label")
-    d = materialize(d, "train")
-    train = d.filter(is_train(F.col(key)))
-    ranked = compare_models(train, features, include=include)
-    best = ranked[0][0]
-    holdout = metrics(fit_final(train, best, features).transform(d.filter(~is_train(F.col(key)))),
-                      model=best, stage="holdout")
-    save_model(fit_final(d, best, features), model_path)
-    cv = spark.createDataFrame([(n, "cv", a) for n, a in ranked], "model string, stage string, auc double")
-    table = cv.unionByName(holdout, allowMissingColumns=True)
-    if metrics_path:
-        overwrite(table, metrics_path)
-    return best, table
+              include: Sequence[str] | None = None,
+              trained_ids_path: str | None = None) -> tuple[str, DataFrame]:
+    """Model development: stratified split (99.5 % train), 5 hash folds,
+    class weights, compare candidates by CV AUC, refit the best on all rows,
+    save the model, write a metrics table (CV rows, train and hold-out row)
+    and the ids of the training split. Any label with two values will do;
+    rows without a label are left out."""
+    with staged_scope(spark):
+        d = data.filter(F.col(label).isNotNull()).withColumn("fold", fold_col(F.col(key)))
+        d = materialize(stratified_split(with_class_weights(d, label), key, label), "train")
+        train, hold = d.filter("is_train"), d.filter("NOT is_train")
+        ranked = compare_models(train, features, label=label, include=include)
+        best = ranked[0][0]
+        fitted = fit_final(train, best, features, label=label)
+        save_model(fit_final(d, best, features, label=label), model_path)
+        cv = spark.createDataFrame([(n, "cv", a) for n, a in ranked], "model string, stage string, auc double")
+        table = cv
+        for part, stage in ((train, "train"), (hold, "holdout")):
+            table = table.unionByName(metrics(transform_labelled(fitted, part), model=best, stage=stage), allowMissingColumns=True)
+        if trained_ids_path:
+            overwrite(train.select(key), trained_ids_path)
+        if metrics_path:
+            overwrite(table, metrics_path)
+            return best, spark.read.parquet(metrics_path)
+        rows = table.collect()                            # a row per candidate and two more
+        return best, spark.createDataFrame(rows, table.schema)
 
 
 def score_job(table: DataFrame, model_path: str, target_path: str, run_id: str,
@@ -99,50 +112,81 @@ def score_job(table: DataFrame, model_path: str, target_path: str, run_id: str,
               num_parts: int | None = None, part: int = 0) -> DataFrame:
     """Chunk scoring: score the whole table in one distributed pass (or one
     hash part of it) and write under ``run_id``/``part`` so a rerun replaces
-    instead of duplicating (D16)."""
+    instead of duplicating (D16). Returns a read of what was written."""
     if num_parts:
         table = part_filter(table, key, num_parts, part)
     scored = score(load_model(model_path), table)
     if keep:
         scored = scored.select(*keep, "prediction_label", "prediction_score")
     write_part(scored, target_path, run_id, part)
-    return scored
+    return table.sparkSession.read.parquet(f"{target_path.rstrip('/')}/run_id={run_id}/part={part}")
 
 
 def predictions_job(dataset: DataFrame, trained_ids: DataFrame, key: str, model_path: str,
-                    out_path: str, drop: Sequence[str] = ()) -> DataFrame:
-    """Score every dataset row whose key was not used for training
-    and write the predictions."""
-    to_score = remove_keys(dataset, key, trained_ids, key).drop(*drop)
-    scored = score(load_model(model_path), to_score)
-    overwrite(scored, out_path)
-    return scored
+                    out_path: str, drop: Sequence[str] = (), metrics_path: str | None = None) -> DataFrame:
+    """Score every dataset row whose key was not used for training (D5) and
+    write the predictions, and with ``metrics_path`` the metrics of the
+    model on the training rows and on the scored rows (M8). Returns a read
+    of the predictions."""
+    model = load_model(model_path)
+    to_score = remove_keys(dataset, key, trained_ids, key)
+    overwrite(score(model, to_score.drop(*drop)), out_path)
+    if metrics_path:
+        ids = trained_ids.select(F.col(key).alias("__used")).distinct()
+        used = dataset.join(ids, F.col(key) == F.col("__used"), "left_semi")
+        table = metrics(transform_labelled(model, used), model=model_path, stage="train").unionByName(
+            metrics(transform_labelled(model, to_score), model=model_path, stage="test"))
+        overwrite(table, metrics_path)
+    return dataset.sparkSession.read.parquet(out_path)
 
 
 def split_diffs_job(spark: SparkSession, diff_dir: str, out_path: str,
                     budget: int = 100_000) -> DataFrame:
-    """Diff splitter: every ``*.diff`` file in a folder -> chunks, one
-    output folder per diff."""
-    chunks = create_chunks(read_diffs(spark, diff_dir), budget)
-    write_chunks(chunks, out_path)
-    return chunks
+    """Diff splitter: every ``*.diff`` file in a folder -> chunks, written by
+    diff. Returns a read of what was written."""
+    write_chunks(create_chunks(read_diffs(spark, diff_dir), budget), out_path)
+    return read_chunks(spark, out_path)
+
+
+def review_tables(results: DataFrame, keep: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of model answers ``(…keep, response, error)``:
+    ``reviews``, ``review_errors`` (failed calls and answers against the
+    contract), ``findings`` (valid ones) and ``top_findings`` (those that fit
+    the answer limit, most severe first). Skipped files are reviews without
+    findings."""
+    ok, bad = split_status(results)
+    parsed = parse_reviews(ok)
+    found = findings(parsed.filter(F.col("prompt_md5").isNotNull()), keep=list(keep))
+    valid = found.filter("is_valid").drop("is_valid")
+    broken = parsed.filter(F.col("prompt_md5").isNotNull() & ~(F.col("is_json") & F.col("top_ok"))).select(
+        *keep, F.col("response"), F.lit("the answer is not a review by the contract").alias("error"))
+    odd = found.filter(~F.col("is_valid") & F.col("finding_idx").isNotNull()).select(
+        *keep, F.lit(None).cast("string").alias("response"),
+        F.format_string("finding %d is not valid by the contract", "finding_idx").alias("error"))
+    errors = bad.select(*keep, "response", "error").unionByName(broken).unionByName(odd)
+    return {"reviews": ok, "review_errors": errors, "findings": valid,
+            "top_findings": trim_by_severity(valid, list(keep))}
 
 
 def review_job(spark: SparkSession, src_dir: str, out_path: str, model: Callable[[str], str],
                group: str = "run", fan_in: int = 8) -> dict[str, DataFrame]:
     """Reviewer: every ``.py``/``.sql`` file of a folder -> prompt -> model
     (per partition, failures isolated) -> reviews / errors / findings
-    tables -> consolidated summary (tree of summaries, cut to 65,000)."""
-    src = read_text_dir(spark, src_dir).withColumn(group, F.lit(src_dir))
-    results = call_model(build_prompts(src), model, keep=(group, "file_name", "path"))
-    results = materialize(results, "reviews")          # model answers are never recomputed
-    ok, bad = split_status(results)
-    parsed = parse_reviews(ok)
-    answers = results.withColumn("response", F.coalesce(
-        F.col("response"),
-        F.concat(F.lit("ERROR: Could not generate review for this file. Reason: "), F.col("error"))))
-    summary = consolidate(answers, model, [group], name="file_name", text="response", fan_in=fan_in)
-    out = {"reviews": ok, "review_errors": bad, "parsed": parsed.drop("review"), "summary": summary}
-    for name, df in out.items():
-        overwrite(df, f"{out_path.rstrip('/')}/{name}")
-    return out
+    tables -> consolidated summary (tree of summaries, cut to 65,000). A file
+    that cannot be read is an error row. Returns reads of the tables."""
+    keep = (group, "file_name", "path")
+    with staged_scope(spark):
+        src = read_text_dir(spark, src_dir).withColumn(group, F.lit(src_dir))
+        good = src.filter(F.col("read_error").isNull())
+        unread = src.filter(F.col("read_error").isNotNull()).select(
+            *keep, F.lit(None).cast("string").alias("prompt_md5"), F.lit(None).cast("string").alias("response"),
+            F.col("read_error").alias("error"))
+        results = call_model(build_prompts(good), model, keep=keep).unionByName(unread)
+        results = materialize(results, "reviews")      # model answers are never recomputed
+        answers = results.withColumn("response", F.coalesce(
+            F.col("response"), F.concat(F.lit(ERROR_TEXT), F.col("error"))))
+        out = review_tables(results, keep)
+        out["summary"] = consolidate(answers, model, [group], name="file_name", text="response", fan_in=fan_in)
+        for name, df in out.items():
+            overwrite(df, f"{out_path.rstrip('/')}/{name}")
+    return {name: spark.read.parquet(f"{out_path.rstrip('/')}/{name}") for name in out}

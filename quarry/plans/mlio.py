@@ -1,4 +1,4 @@
-"""Model training / scoring and table / file round trips (q44-q45, q47-q48).
+"""Model training / scoring and table / file round trips (q44-q45, q47-q49, q53).
 
 Training data: ``labels.quality`` as the target with numeric features of
 the labelled document (``documents``).
@@ -6,77 +6,151 @@ the labelled document (``documents``).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.diffs import is_reviewable
+from quarry.operators.diffs import create_chunks, is_reviewable, read_chunks, write_chunks
 from quarry.operators.ml import (FEATURES, compare_models, doc_features, fit_final, fold_col,
-                                 is_train, load_model, metrics, save_model, score,
+                                 load_model, metrics, save_model, score, stratified_split,
                                  with_class_weights)
 from quarry.operators.relational import remove_keys
-from quarry.plans.fixtures import Tables
+from quarry.plans.click import ASSEMBLED_SQL, MEMBER_SPEC, emails, renewals, slots, txns
+from quarry.plans.fixtures import DIFF_LINES_SQL, E_ASOF, H, Tables, diffs, members
+from quarry.plans.jobs import ClickDatasetSpec, click_dataset, predictions_job, train_job
 from quarry.plans.registry import query
-from quarry.plans.text import SOURCE_FILES_SQL, source_files
+from quarry.plans.text import LEVEL_BUDGET, SOURCE_FILES_SQL, source_files, stratified_sql
 from quarry.session import scratch_path
 from quarry.sinks.tables import append, materialize, overwrite, write_part
-from quarry.sources.tables import CONTACT_SCHEMA, create_table
-from quarry.sources.text import read_text_dir, write_text_files
+from quarry.sources.tables import CONTACT_SCHEMA, create_table, part_filter
+from quarry.sources.text import read_diffs, read_text_dir, write_text_files
 
 
 def labelled(t: Tables) -> DataFrame:
-    """Features + ``label`` (double), ``fold`` and class ``weight``. The
-    join runs first, so text features are computed for labelled rows only."""
+    """Features + ``label``, ``fold``, class ``weight`` and the split
+    ``is_train``. The join runs first, so text features are computed for
+    labelled rows only."""
     joined = t.labels.select("doc_id", F.col("quality").cast("double").alias("label")) \
         .join(t.documents.select("doc_id", "text"), "doc_id")
-    df = doc_features(joined, keep=("doc_id", "label"))
-    return with_class_weights(df.withColumn("fold", fold_col(F.col("doc_id"))), "label")
+    df = doc_features(joined, keep=("doc_id", "label")).withColumn("fold", fold_col(F.col("doc_id")))
+    return stratified_split(with_class_weights(df, "label"), "doc_id", "label")
+
+
+def facts(spark, **named) -> DataFrame:
+    """Rows (fact, n) from one-row frames ``(n)``."""
+    out = None
+    for fact, df in named.items():
+        row = df.select(F.lit(fact).alias("fact"), F.col("n").cast("bigint").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def rows(df: DataFrame, where=None) -> DataFrame:
+    return (df if where is None else df.filter(where)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q44_train_metrics")
+_LABELLED_SQL = f"""labelled AS (SELECT l.doc_id, quality FROM labels l JOIN documents USING (doc_id)),
+split AS ({stratified_sql('labelled', 'doc_id', 'quality')})"""
+
+
+@query("q44_train_metrics", f"""WITH {_LABELLED_SQL}
+SELECT 'families compared' AS fact, CAST(3 AS BIGINT) AS n
+UNION ALL SELECT 'scores from 0 to 1, best first', 3
+UNION ALL SELECT 'train rows in confusion counts', count(*) FROM split WHERE is_train
+UNION ALL SELECT 'holdout rows in confusion counts', count(*) FROM split WHERE NOT is_train
+UNION ALL SELECT 'final rows in confusion counts', count(*) FROM split""")
 def q44(spark, root):
     """Compare candidates by 5-fold AUC on the training split, refit the
-    best on every row, report CV, training and hold-out metrics."""
+    best on every row, and measure it: what holds of the metrics tables
+    whatever the models learn."""
     data = materialize(labelled(Tables(spark, root)), "train-data")
-    train = data.filter(is_train(F.col("doc_id")))
-    hold = data.filter(~is_train(F.col("doc_id")))
+    train, hold = data.filter("is_train"), data.filter("NOT is_train")
     ranked = compare_models(train, FEATURES)
     best = ranked[0][0]
-    fitted = fit_final(train, best, FEATURES)
-    final = fit_final(data, best, FEATURES)
-    rows = [spark.createDataFrame([(n, "cv", auc)], "model string, stage string, auc double")
-            for n, auc in ranked]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    out = out.unionByName(metrics(fitted.transform(train), model=best, stage="train"),
-                          allowMissingColumns=True)
-    out = out.unionByName(metrics(fitted.transform(hold), model=best, stage="holdout"),
-                          allowMissingColumns=True)
-    return out.unionByName(metrics(final.transform(data), model=best, stage="final"),
-                           allowMissingColumns=True)
-
-
-@query("q45_score")
+    fitted, final = fit_final(train, best, FEATURES), fit_final(data, best, FEATURES)
+    cv = spark.createDataFrame(ranked, "model string, auc double")
+    inside = F.col("auc").between(0.0, 1.0) & (F.col("auc") <= ranked[0][1])
+    total = lambda pred, stage: metrics(pred, model=best, stage=stage).filter(
+        (F.col("n") == F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")) & F.col("auc").between(0.0, 1.0))
+    return facts(spark, **{
+        "families compared": cv.agg(F.count_distinct("model").alias("n")),
+        "scores from 0 to 1, best first": rows(cv, inside),
+        "train rows in confusion counts": total(fitted.transform(train), "train"),
+        "holdout rows in confusion counts": total(fitted.transform(hold), "holdout"),
+        "final rows in confusion counts": total(final.transform(data), "final")})
+
+
+@query("q45_score", f"""WITH {_LABELLED_SQL}
+SELECT doc_id, true AS in_range, true AS label_agrees, true AS reloaded_equal, CAST(1 AS BIGINT) AS parts
+FROM split WHERE NOT is_train""")
 def q45(spark, root):
     """Save a model, load it back and score every labelled document that
-    was not used for training (training ids removed by anti join)."""
-    t = Tables(spark, root)
-    data = materialize(labelled(t), "score-data")
-    train = data.filter(is_train(F.col("doc_id")))
-    path = save_model(fit_final(train, "logistic_regression", FEATURES), scratch_path(spark, "model"))
-    model = load_model(path)
+    was not used for training (training ids removed by anti join), part by
+    part (S4): each row in one part, with a score from 0 to 1, a label that
+    agrees with it, and the score of the model before it was saved."""
+    data = materialize(labelled(Tables(spark, root)), "score-data")
+    train = data.filter("is_train")
+    model = fit_final(train, "logistic_regression", FEATURES)
+    loaded = load_model(save_model(model, scratch_path(spark, "model")))
     to_score = remove_keys(data, "doc_id", train.select("doc_id"))
-    return score(model, to_score).select("doc_id", "label", "prediction_label", "prediction_score")
+    before = score(model, to_score).select("doc_id", F.col("prediction_score").alias("before"))
+    parts = None
+    for p in range(4):
+        part = score(loaded, part_filter(to_score, "doc_id", 4, p)).withColumn("part", F.lit(p))
+        parts = part if parts is None else parts.unionByName(part)
+    s = F.col("prediction_score")
+    label = F.when(s > 0.5, "1.0").otherwise("0.0")
+    return parts.join(before, "doc_id").groupBy("doc_id").agg(
+        F.bool_and(s.between(0.0, 1.0)).alias("in_range"),
+        F.bool_and((F.col("prediction_label") == label) | (s == 0.5)).alias("label_agrees"),
+        F.bool_and(s == F.col("before")).alias("reloaded_equal"), F.count_distinct("part").alias("parts"))
+
+
+@query("q49_click_train_score", f"""{ASSEMBLED_SQL},
+dataset AS (SELECT registration_id, clicked_or_not FROM assembled),
+split AS ({stratified_sql('dataset', 'registration_id', 'clicked_or_not')})
+SELECT 'dataset rows' AS fact, count(*) AS n FROM split
+UNION ALL SELECT 'trained ids', count(*) FROM split WHERE is_train
+UNION ALL SELECT 'scored rows', count(*) FROM split WHERE NOT is_train
+UNION ALL SELECT 'scores from 0 to 1', count(*) FROM split WHERE NOT is_train
+UNION ALL SELECT 'labels of the dataset', count(*) FROM split WHERE NOT is_train
+UNION ALL SELECT 'training metrics rows', CAST(3 AS BIGINT)
+UNION ALL SELECT 'rows in the test metrics', count(*) FROM split""")
+def q49(spark, root):
+    """The click dataset as it stands (NULL features, label 'True' / 'False')
+    through training and scoring, with their tables."""
+    t = Tables(spark, root)
+    base = scratch_path(spark, "click")
+    # the members of one snapshot: the scan's day is the same for all
+    snapshot = members(t).withColumn("snapshot_ts", F.lit((E_ASOF - H * dt.timedelta(days=1)).isoformat()).cast("timestamp"))
+    spec = ClickDatasetSpec(as_of=E_ASOF, key="registration_id", snapshot_ts="snapshot_ts", clean=MEMBER_SPEC,
+                            snapshot_lag_days=H, click_key="user_id", click_ts="ts", label_window_days=H)
+    clicks = t.events.filter(F.col("event_type") == "click")
+    data = click_dataset(snapshot, clicks, [emails(t), txns(t), slots(t), renewals(t)], spec, f"{base}/dataset")
+    numeric = [c for c, kind in data.dtypes if kind in ("bigint", "int", "double") and c != "registration_id"]
+    train_job(spark, data, "registration_id", "clicked_or_not", numeric, f"{base}/model", f"{base}/metrics",
+              include=["logistic_regression"], trained_ids_path=f"{base}/trained")
+    trained = spark.read.parquet(f"{base}/trained")
+    scored = predictions_job(data, trained, "registration_id", f"{base}/model", f"{base}/predictions",
+                             metrics_path=f"{base}/prediction-metrics")
+    return facts(spark, **{
+        "dataset rows": rows(data), "trained ids": rows(trained), "scored rows": rows(scored),
+        "scores from 0 to 1": rows(scored, F.col("prediction_score").between(0.0, 1.0)),
+        "labels of the dataset": rows(scored, F.col("prediction_label").isin("True", "False")),
+        "training metrics rows": rows(spark.read.parquet(f"{base}/metrics")),
+        "rows in the test metrics": spark.read.parquet(f"{base}/prediction-metrics").agg(F.sum("n").alias("n"))})
 
 
 @query("q47_table_roundtrip", """
-SELECT 'created_empty' AS step, CAST(0 AS BIGINT) AS n_rows
-UNION ALL SELECT 'overwrite_then_append', count(*) FROM customer
-UNION ALL SELECT 'idempotent_parts', count(*) FROM customer
-UNION ALL SELECT 'staged_segments', count(DISTINCT c_mktsegment) FROM customer""")
+SELECT step, c_custkey AS id FROM customer, (VALUES ('overwritten, then appended'), ('part, written twice')) v(step)
+UNION ALL SELECT 'part, written again without rows', -1
+UNION ALL SELECT 'partitions replaced', c_custkey FROM customer WHERE c_nationkey < 10
+UNION ALL SELECT 'staged', min(c_custkey) FROM customer GROUP BY c_mktsegment""")
 def q47(spark, root):
     """Fixed-schema table creation, overwrite, append, idempotent part
-    writes and a staged re-read; returns the row count of each step."""
+    writes, a partitioned overwrite and a staged re-read: the rows that each
+    step leaves (and id -1 for the part that was emptied)."""
     c = Tables(spark, root).customer
     base = scratch_path(spark, "roundtrip")
     contacts = c.select(
@@ -84,30 +158,70 @@ def q47(spark, root):
         F.col("c_custkey").alias("phone_num"), F.lit(None).cast("string").alias("address"),
         F.lit(None).cast("string").alias("city"), F.col("c_nationkey").cast("bigint").alias("zipcode"),
         F.lit(None).cast("string").alias("country"), F.col("c_custkey").cast("string").alias("account_num"))
-    empty = create_table(spark, f"{base}/contacts", CONTACT_SCHEMA)
-    n_empty = empty.count()
+    create_table(spark, f"{base}/contacts", CONTACT_SCHEMA)
     overwrite(contacts.filter(F.col("zipcode") < 10), f"{base}/contacts")
     append(contacts.filter(F.col("zipcode") >= 10), f"{base}/contacts")
     back = spark.read.parquet(f"{base}/contacts")
-    write_part(contacts, f"{base}/scored", "run1", 0)
-    write_part(contacts, f"{base}/scored", "run1", 0)      # rerun replaces, no duplicates
-    write_part(contacts.filter(F.lit(False)), f"{base}/scored", "run1", 1)   # empty part
-    staged = materialize(back.groupBy("last_name").count(), "segments")
-    steps = [("created_empty", n_empty), ("overwrite_then_append", back.count()),
-             ("idempotent_parts", spark.read.parquet(f"{base}/scored").count()),
-             ("staged_segments", staged.count())]
-    return spark.createDataFrame(steps, "step string, n_rows bigint")
-
-
-@query("q48_text_directory", f"""WITH {SOURCE_FILES_SQL}
-SELECT file_name, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5
-FROM source_files WHERE path LIKE '%.py' OR path LIKE '%.sql'""")
+    for df, part in ((contacts, 0), (contacts, 0), (contacts, 1), (contacts.filter(F.lit(False)), 1)):
+        write_part(df, f"{base}/scored", "run1", part)          # a rerun replaces, also with nothing
+    scored = spark.read.parquet(f"{base}/scored")
+    emptied = scored.filter("part = 1").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("part, written again without rows").alias("step"), (F.col("n") - 1).alias("id"))
+    overwrite(contacts, f"{base}/by-zip", partition_by=["zipcode"])
+    overwrite(contacts.filter(F.col("zipcode") < 10), f"{base}/by-zip", partition_by=["zipcode"])
+    staged = materialize(back.groupBy("last_name").agg(F.min("phone_num").alias("phone_num")), "segments")
+    out = emptied
+    for step, df in (("overwritten, then appended", back), ("part, written twice", scored.filter("part = 0")),
+                     ("partitions replaced", spark.read.parquet(f"{base}/by-zip")), ("staged", staged)):
+        out = out.unionByName(df.select(F.lit(step).alias("step"), F.col("phone_num").alias("id")))
+    return out
+
+
+ODD_NAMES = ("with space", "per%20cent", "ümlaut", "__init__", "plus+and#hash")
+
+
+@query("q48_text_directory", f"""WITH {SOURCE_FILES_SQL},
+odd AS (SELECT unnest({list(ODD_NAMES)}) AS stem)
+SELECT file_name, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5, false AS bad
+FROM source_files WHERE path LIKE '%.py' OR path LIKE '%.sql'
+UNION ALL SELECT stem || '.py', CAST(length(text) AS BIGINT), md5(text), false FROM odd, documents WHERE doc_id = 1
+UNION ALL SELECT 'empty ' || stem || '.sql', 0, md5(''), false FROM odd
+UNION ALL SELECT 'bad.py', NULL, NULL, true""")
 def q48(spark, root):
-    """Documents written one file each (.py / .sql / .md) under a folder
-    per source, read back as whole files filtered by suffix."""
+    """Documents written one file each (.py / .sql / .md) under a folder per
+    source, with odd names, empty files and one file of bad bytes among them,
+    read back as whole files filtered by suffix."""
+    t = Tables(spark, root)
     base = scratch_path(spark, "sources")
-    written = write_text_files(source_files(Tables(spark, root)), base)
-    written.agg(F.sum("bytes")).collect()          # run the write
-    files = read_text_dir(spark, base, suffixes=(".py", ".sql"), recursive=True)
-    return files.filter(is_reviewable(F.col("file_name"))).select(
-        "file_name", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+    odd = F.explode(F.array(*[F.lit(x) for x in ODD_NAMES])).alias("stem")
+    one = t.documents.filter(F.col("doc_id") == 1).select(odd, "text")
+    files = source_files(t).select("path", F.col("text").cast("binary").alias("data"))
+    files = files.unionByName(one.select(F.concat(F.lit("odd/"), "stem", F.lit(".py")).alias("path"),
+                                         F.col("text").cast("binary").alias("data")))
+    files = files.unionByName(one.select(F.concat(F.lit("odd/empty "), "stem", F.lit(".sql")).alias("path"),
+                                         F.lit(b"").alias("data")))
+    files = files.unionByName(one.limit(1).select(F.lit("odd/bad.py").alias("path"), F.unhex(F.lit("66FF00FE")).alias("data")))
+    write_text_files(files, base, text="data").agg(F.sum("bytes")).collect()          # run the write
+    back = read_text_dir(spark, base, suffixes=(".py", ".sql"), recursive=True)
+    return back.filter(is_reviewable(F.col("file_name"))).select(
+        "file_name", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"),
+        F.col("read_error").isNotNull().alias("bad"))
+
+
+@query("q53_diff_folder", rf"""WITH {DIFF_LINES_SQL},
+d AS (SELECT doc_id, sum(len(regexp_extract_all(hunk, '\S+'))) + 8 * count(DISTINCT file_idx) AS tokens FROM diff_hunks GROUP BY 1)
+SELECT 'doc' || doc_id || '.diff' AS diff_id, tokens <= {LEVEL_BUDGET} AS whole,
+       CASE WHEN tokens <= {LEVEL_BUDGET} THEN CAST(tokens AS BIGINT) END AS tokens
+FROM d WHERE (tokens <= {LEVEL_BUDGET} OR EXISTS (SELECT 1 FROM diff_hunks h WHERE h.doc_id = d.doc_id
+  AND (h.path LIKE '%.py' OR h.path LIKE '%.sql')))""")
+def q53(spark, root):
+    """Every document's diff written as a file, the folder read
+    as diffs, split, written by diff and read back."""
+    base = scratch_path(spark, "diffs")
+    files = diffs(Tables(spark, root)).select(
+        F.concat("diff_id", F.lit(".diff")).alias("path"), "text")
+    write_text_files(files, f"{base}/in").agg(F.sum("bytes")).collect()
+    write_chunks(create_chunks(read_diffs(spark, f"{base}/in"), LEVEL_BUDGET), f"{base}/out")
+    return read_chunks(spark, f"{base}/out").groupBy("diff_id").agg(
+        F.bool_and(F.col("level") == 1).alias("whole"),
+        F.max(F.when(F.col("level") == 1, F.col("tokens"))).alias("tokens"))

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from quarry.functions.dates import parse_day_or_null
 from quarry.functions.safe import safe_add, safe_divide
-from quarry.functions.text import WORD_PUNCT, base_name, stem, token_count, truncate_tokens
+from quarry.functions.text import (WORD_PUNCT, base_name, stem, token_count, truncate_chars,
+                                   truncate_tokens)
 from quarry.operators.diffs import (create_chunks, is_reviewable, plan_levels, split_files,
                                     with_hunks)
+from quarry.operators.ml import fold_col, stratified_split
 from quarry.operators.packing import pack_chunks
-from quarry.operators.reviews import (REVIEW_PROMPT, build_prompts, call_model,
-                                      consolidation_batches, findings, parse_reviews,
-                                      stub_reviewer, trim_by_severity)
-from quarry.plans.click import SPLIT_SQL, split_is_train
+from quarry.operators.reviews import (ERROR_TEXT, REVIEW_PROMPT, build_prompts, call_model,
+                                      consolidate, consolidation_batches, findings,
+                                      parse_reviews, stub_reviewer, trim_by_severity)
+from quarry.plans.jobs import review_tables
 from quarry.plans.fixtures import DIFF_EXTS, DIFF_LINES_SQL, FILE_LINES, Tables, diffs
 from quarry.plans.registry import query
 
@@ -237,14 +239,20 @@ def q46(spark, root):
 def review_json(t: Tables) -> DataFrame:
     """A JSON answer per labelled document, with contract violations built
     in: unknown severity (toxic), missing ``line_number`` (quality 0), an
-    extra top-level key (fr) and a cut-off answer (toxic and de)."""
+    extra top-level key (fr) and a cut-off answer (toxic and de). By doc_id
+    modulo 11: no findings (0), a line number ``n.0`` (1), a null summary (2)
+    and a text for the recommendations (3)."""
     j = t.labels.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id")
     did = F.col("doc_id").cast("string")
+    case = F.col("doc_id") % 11
     sev = (F.when(F.col("toxic") == 1, "Severe").when(F.col("quality") == 0, "High")
             .otherwise("Medium"))
     txt = F.concat(
-        F.lit('{"summary": "doc '), did, F.lit('", "detailed_findings": [{"file_path": "doc'), did,
+        F.when(case == 2, F.lit('{"summary": null')).otherwise(F.concat(F.lit('{"summary": "doc '), did, F.lit('"'))),
+        F.lit(', "detailed_findings": ['), F.when(case == 0, F.lit("")).otherwise(F.concat(
+        F.lit('{"file_path": "doc'), did,
         F.lit('.py", "severity": "'), sev, F.lit('", "line_number": '), (F.col("n_chars") % 97).cast("string"),
+        F.when(case == 1, F.lit(".0")).otherwise(F.lit("")),
         F.lit(', "function_context": "'), F.col("lang"), F.lit('", "finding": "length '),
         F.col("n_chars").cast("string"), F.lit('", "snippet": "s"'),
         F.when(F.col("lang") == "es", F.lit(', "note": "x"')).otherwise(F.lit("")),
@@ -252,7 +260,8 @@ def review_json(t: Tables) -> DataFrame:
         F.lit('.py", "severity": "Low", '),
         F.when(F.col("quality") == 1, F.lit('"line_number": 1, ')).otherwise(F.lit("")),
         F.lit('"finding": "quality '), F.col("quality").cast("string"),
-        F.lit('", "snippet": "x"}], "key_recommendations": ["r"]'),
+        F.lit('", "snippet": "x"}'))), F.lit('], "key_recommendations": '),
+        F.when(case == 3, F.lit('"oops"')).otherwise(F.lit('["r"]')),
         F.when(F.col("lang") == "fr", F.lit(', "extra": 1')).otherwise(F.lit("")),
         F.when((F.col("toxic") == 1) & (F.col("lang") == "de"), F.lit("")).otherwise(F.lit("}")))
     return j.select("doc_id", txt.alias("response"))
@@ -260,13 +269,15 @@ def review_json(t: Tables) -> DataFrame:
 
 REVIEW_JSON_SQL = """answers AS (
   SELECT l.doc_id,
-    '{"summary": "doc ' || l.doc_id || '", "detailed_findings": [{"file_path": "doc' || l.doc_id ||
+    CASE WHEN l.doc_id % 11 = 2 THEN '{"summary": null' ELSE '{"summary": "doc ' || l.doc_id || '"' END ||
+    ', "detailed_findings": [' || CASE WHEN l.doc_id % 11 = 0 THEN '' ELSE '{"file_path": "doc' || l.doc_id ||
     '.py", "severity": "' || CASE WHEN l.toxic = 1 THEN 'Severe' WHEN l.quality = 0 THEN 'High' ELSE 'Medium' END ||
-    '", "line_number": ' || (d.n_chars % 97) || ', "function_context": "' || d.lang || '", "finding": "length ' ||
+    '", "line_number": ' || (d.n_chars % 97) || CASE WHEN l.doc_id % 11 = 1 THEN '.0' ELSE '' END || ', "function_context": "' || d.lang || '", "finding": "length ' ||
     d.n_chars || '", "snippet": "s"' || CASE WHEN d.lang = 'es' THEN ', "note": "x"' ELSE '' END ||
     '}, {"file_path": "doc' || l.doc_id || '.py", "severity": "Low", ' ||
     CASE WHEN l.quality = 1 THEN '"line_number": 1, ' ELSE '' END || '"finding": "quality ' || l.quality ||
-    '", "snippet": "x"}], "key_recommendations": ["r"]' ||
+    '", "snippet": "x"}' END || '], "key_recommendations": ' ||
+    CASE WHEN l.doc_id % 11 = 3 THEN '"oops"' ELSE '["r"]' END ||
     CASE WHEN d.lang = 'fr' THEN ', "extra": 1' ELSE '' END ||
     CASE WHEN l.toxic = 1 AND d.lang = 'de' THEN '' ELSE '}' END AS response
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
@@ -274,13 +285,15 @@ good AS (SELECT doc_id, response FROM answers WHERE json_valid(response)),
 parsed AS (
   SELECT doc_id, response, json_type(response) = 'OBJECT' AS is_json, json_keys(response) AS keys,
          json_transform(response,
-           '{"summary":"VARCHAR","detailed_findings":[{"file_path":"VARCHAR","severity":"VARCHAR","line_number":"BIGINT","function_context":"VARCHAR","finding":"VARCHAR","snippet":"VARCHAR"}],"key_recommendations":["VARCHAR"]}') AS r
+           '{"summary":"VARCHAR","detailed_findings":[{"file_path":"VARCHAR","severity":"VARCHAR","line_number":"DOUBLE","function_context":"VARCHAR","finding":"VARCHAR","snippet":"VARCHAR"}],"key_recommendations":["VARCHAR"]}') AS r
   FROM good
   UNION ALL
   SELECT doc_id, response, false, NULL, NULL FROM answers WHERE NOT json_valid(response)),
 flags AS (
   SELECT *, is_json AND list_contains(keys, 'summary') AND list_contains(keys, 'detailed_findings')
-            AND list_contains(keys, 'key_recommendations') AS top_ok,
+            AND list_contains(keys, 'key_recommendations')
+            AND json_type(response, '$.summary') = 'VARCHAR' AND json_type(response, '$.detailed_findings') = 'ARRAY'
+            AND json_type(response, '$.key_recommendations') = 'ARRAY' AS top_ok,
          is_json AND len(list_filter(keys, lambda k: k NOT IN ('summary', 'detailed_findings', 'key_recommendations'))) = 0 AS strict_top_ok
   FROM parsed),
 rows AS (
@@ -292,7 +305,7 @@ rows AS (
   SELECT doc_id, false, false, NULL, NULL, NULL FROM flags WHERE NOT is_json),
 found AS (
   SELECT doc_id, CAST(finding_idx AS INTEGER) AS finding_idx, f.file_path AS file_path, f.severity AS severity,
-         f.line_number AS line_number, f.function_context AS function_context, f.finding AS finding,
+         CAST(f.line_number AS BIGINT) AS line_number, f.function_context AS function_context, f.finding AS finding,
          f.snippet AS snippet,
          coalesce(top_ok AND f IS NOT NULL AND f.file_path IS NOT NULL AND f.severity IS NOT NULL
                   AND f.line_number IS NOT NULL AND f.finding IS NOT NULL
@@ -337,7 +350,7 @@ def q40(spark, root):
 texts AS (
   SELECT source, file_name,
          '--- Review for ' || file_name || ' ---' || chr(10) ||
-         coalesce(response, 'ERROR: Could not generate review for this file. Reason: ' || error) || chr(10) AS block,
+         coalesce(response, '{ERROR_TEXT}' || error) || chr(10) AS block,
          row_number() OVER (PARTITION BY source ORDER BY file_name) - 1 AS pos
   FROM stub)
 SELECT source, CAST(pos // {FAN_IN} AS BIGINT) AS batch, count(*) AS n_reviews,
@@ -348,7 +361,7 @@ def q41(spark, root):
     r = stub_results(Tables(spark, root))
     r = r.withColumn("text", F.coalesce(
         F.col("response"),
-        F.concat(F.lit("ERROR: Could not generate review for this file. Reason: "), F.col("error"))))
+        F.concat(F.lit(ERROR_TEXT), F.col("error"))))
     b = consolidation_batches(r, ["source"], "file_name", "text", FAN_IN)
     return b.select("source", "batch", "n_reviews", F.length("text").cast("bigint").alias("n_chars"),
                     F.md5("text").alias("text_md5"))
@@ -382,23 +395,79 @@ def q42(spark, root):
 
 
 # q43 ---------------------------------------------------------------------
-def fold_of(key) -> F.Column:
-    """M4: 5 stable folds from a second slice of the key's md5."""
-    return (F.conv(F.substring(F.md5(key.cast("string")), 9, 8), 16, 10).cast("bigint") % 5).cast("int")
+FOLD_SQL = "CAST((('0x' || substr(md5(CAST({k} AS VARCHAR)), 9, 8))::BIGINT % 5) AS INTEGER)"
 
 
-FOLD_SQL = "CAST((('0x' || substr(md5(CAST({k} AS VARCHAR)), 9, 8))::BIGINT % 5) AS INTEGER)"
+def stratified_sql(source: str, key: str, label: str) -> str:
+    """The stratified split as SQL: all columns of ``source`` and ``is_train``."""
+    return f"""SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5(CAST({key} AS VARCHAR)), {key}) - 1 >=
+    CASE WHEN count(*) OVER (PARTITION BY {label}) < 2 THEN 0
+         ELSE greatest(1, round(count(*) OVER (PARTITION BY {label}) * 0.005)) END AS is_train FROM {source}"""
 
 
 @query("q43_split_folds", f"""
 SELECT quality, split, fold, count(*) AS n FROM (
-  SELECT quality,
-         CASE WHEN {SPLIT_SQL.format(k='doc_id')} THEN 'train' ELSE 'holdout' END AS split,
-         CASE WHEN {SPLIT_SQL.format(k='doc_id')} THEN {FOLD_SQL.format(k='doc_id')} END AS fold
-  FROM labels) GROUP BY 1, 2, 3""")
+  SELECT quality, CASE WHEN is_train THEN 'train' ELSE 'holdout' END AS split,
+         CASE WHEN is_train THEN {FOLD_SQL.format(k='doc_id')} END AS fold
+  FROM ({stratified_sql('labels', 'doc_id', 'quality')})) GROUP BY 1, 2, 3""")
 def q43(spark, root):
-    lab = Tables(spark, root).labels
-    train = split_is_train(F.col("doc_id"))
-    return lab.select("quality", F.when(train, "train").otherwise("holdout").alias("split"),
-                      F.when(train, fold_of(F.col("doc_id"))).alias("fold")) \
+    lab = stratified_split(Tables(spark, root).labels, "doc_id", "quality")
+    return lab.select("quality", F.when(F.col("is_train"), "train").otherwise("holdout").alias("split"),
+                      F.when(F.col("is_train"), fold_col(F.col("doc_id"))).alias("fold")) \
               .groupBy("quality", "split", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# q50-q53: outputs of the text jobs ------------------------------------------
+@query("q50_review_tables", f"""WITH {SOURCE_FILES_SQL}, {STUB_SQL}, {REVIEW_JSON_SQL},
+calls AS (SELECT 'stub' AS run, path AS name, response IS NULL AS failed FROM stub)
+SELECT 'reviews' AS table_name, count(*) AS n FROM calls WHERE NOT failed
+UNION ALL SELECT 'review_errors', count(*) FROM calls WHERE failed
+UNION ALL SELECT 'findings', CAST(0 AS BIGINT)
+UNION ALL SELECT 'top_findings', CAST(0 AS BIGINT)
+UNION ALL SELECT 'answers: reviews', count(*) FROM answers
+UNION ALL SELECT 'answers: review_errors', (SELECT count(*) FROM flags WHERE NOT (is_json AND top_ok))
+   + (SELECT count(*) FROM found WHERE NOT is_valid AND finding_idx IS NOT NULL)
+UNION ALL SELECT 'answers: findings', count(*) FROM found WHERE is_valid
+UNION ALL SELECT 'answers: top_findings', count(*) FROM found WHERE is_valid""")
+def q50(spark, root):
+    """K5: the tables of the review job, from the stub's answers (which have
+    no findings) and from answers with violations built in."""
+    t = Tables(spark, root)
+    made = review_json(t).select("doc_id", F.md5("response").alias("prompt_md5"), "response",
+                                 F.lit(None).cast("string").alias("error"))
+    out = None
+    for prefix, tables in (("", review_tables(stub_results(t), ["source", "file_name", "path"])),
+                           ("answers: ", review_tables(made, ["doc_id"]))):
+        for name, df in tables.items():
+            row = df.agg(F.lit(prefix + name).alias("table_name"), F.count(F.lit(1)).alias("n"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("q51_consolidate_tree", f"""WITH {SOURCE_FILES_SQL},
+n AS (SELECT CASE WHEN source = 'src1' THEN NULL ELSE source END AS source, count(*) AS n FROM source_files GROUP BY 1)
+SELECT source, CASE WHEN n <= {FAN_IN} THEN 1 WHEN n <= {FAN_IN ** 2} THEN 2 WHEN n <= {FAN_IN ** 3} THEN 3
+                    WHEN n <= {FAN_IN ** 4} THEN 4 ELSE 5 END AS levels,
+       'summary of ' || ((n - 1) // {FAN_IN} ** (CASE WHEN n <= {FAN_IN} THEN 0 WHEN n <= {FAN_IN ** 2} THEN 1
+         WHEN n <= {FAN_IN ** 3} THEN 2 WHEN n <= {FAN_IN ** 4} THEN 3 ELSE 4 END) + 1)::BIGINT AS summary,
+       false AS was_truncated
+FROM n""")
+def q51(spark, root):
+    """One summary per group (a NULL group among them), as a tree; the
+    model stand-in says how many blocks it was given."""
+    files = source_files(Tables(spark, root)).select(
+        F.nullif(F.col("source"), F.lit("src1")).alias("source"), "file_name", F.lit("fine").alias("response"))
+
+    def count_blocks(prompt: str) -> str:
+        return f"summary of {prompt.count('--- Review for ')}"
+
+    return consolidate(files, count_blocks, ["source"], fan_in=FAN_IN)
+
+
+@query("q52_truncate_chars", """
+SELECT doc_id, CAST(length(left(text, 1000)) AS BIGINT) AS n_chars, md5(left(text, 1000)) AS head_md5 FROM documents""")
+def q52(spark, root):
+    """The character cut of the final summary, here at 1,000."""
+    d = Tables(spark, root).documents
+    head = truncate_chars("text", 1000)
+    return d.select("doc_id", F.length(head).cast("bigint").alias("n_chars"), F.md5(head).alias("head_md5"))

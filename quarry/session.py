@@ -19,7 +19,6 @@ BASE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -72,7 +71,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):      # local-cluster[...] is a cluster
             raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS / object store); "
                              "a machine-local folder is not reachable by every executor")
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")

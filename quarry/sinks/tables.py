@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quarry.session import scratch_path
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """K1: replace the table at ``path``."""
-    w = df.write.mode("overwrite")
+    """K1: replace the table at ``path``, all its partitions included."""
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -26,11 +27,11 @@ def append(df: DataFrame, path: str) -> None:
 
 def write_part(df: DataFrame, path: str, run_id: str, part: int = 0) -> None:
     """K2 with D16: rows land under ``run_id=…/part=…`` and a rerun of the
-    same run and part replaces exactly that partition (dynamic partition
-    overwrite), so retries never duplicate rows."""
-    (df.withColumns({"run_id": F.lit(run_id), "part": F.lit(part)})
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("run_id", "part").parquet(path))
+    same run and part replaces exactly that partition, with nothing if it
+    has no rows, so retries never duplicate and never leave old rows."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run_id):
+        raise ValueError("run_id names a folder: letters, digits, dot, dash and underscore only")
+    df.drop("run_id", "part").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}/part={int(part)}")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -41,9 +42,25 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    for staged in _SCOPES:
+        staged.append(path)
     return spark.read.parquet(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    """K1/K2 on a catalog table."""
-    df.write.mode(mode).saveAsTable(name)
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def staged_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what was staged inside when the block ends. For jobs whose
+    results are written before that; not for a frame that is still lazy."""
+    staged: list[str] = []
+    _SCOPES.append(staged)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(staged)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in staged:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)

@@ -15,20 +15,17 @@ TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 def load_table(spark: SparkSession, root: str, name: str,
-               min_partitions: int | None = None) -> DataFrame:
+               spread: int | None = None) -> DataFrame:
     """Scan one parquet table ``<root>/<name>.parquet`` (all columns;
     Catalyst prunes to what the plan uses).
 
-    ``min_partitions``: for CPU-heavy row-local work (regexes over long
-    texts), spread a scan that yields fewer splits than that over
-    ``min_partitions`` tasks. A large table already has many splits, so
-    on a cluster this adds no shuffle; it only matters for a small file
-    stored as one row group.
+    ``spread``: deal the rows over so many partitions first. For CPU-heavy
+    row-local work (regexes over long texts) on a small file stored as one
+    row group; it shuffles the texts, so it is the caller's choice and off
+    by default.
     """
     df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(min_partitions)
-    return df
+    return df.repartition(spread) if spread else df
 
 
 def register_tables(spark: SparkSession, root: str,

@@ -2,79 +2,131 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system: a path without one
+    belongs to the session's default file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def _arrow_uri(path: str) -> str:
+    """``file:/x`` as ``pyarrow.fs`` wants it."""
+    scheme, _, rest = path.partition(":")
+    return path if rest.startswith("//") else f"{scheme}://{rest}"
+
+
+def unscanned_files(spark: SparkSession, path: str, suffixes: Iterable[str],
+                    recursive: bool) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files with one of ``suffixes`` that Spark's file
+    scans leave out: empty ones, and names that start with ``_`` or ``.``
+    (``__init__.py``). The listing is read as a stream, as file-status paths."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    listing = fs.listFiles(p, recursive)
+    while listing.hasNext():
+        status = listing.next()
+        name = status.getPath().getName()
+        hidden = name.startswith(("_", "."))
+        if name.endswith(tuple(suffixes)) and (hidden or status.getLen() == 0):
+            yield status.getPath().toString(), status.getLen()
+
+
+def _read_whole(batches):
+    import pyarrow as pa
+    from pyarrow import fs
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        data = []
+        for path in paths:
+            scheme, _, rest = path.partition(":")
+            # only the scheme and authority go through the URI parser: names may hold any character
+            if rest.startswith("//"):
+                authority, slash, inside = rest[2:].partition("/")
+                filesystem, _ = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+                target = slash + inside if scheme in ("file", "hdfs", "viewfs") else f"{authority}/{inside}"
+            else:
+                filesystem, target = fs.FileSystem.from_uri(f"{scheme}:///")[0], rest
+            with filesystem.open_input_stream(target) as f:
+                data.append(f.read())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(data, pa.binary())],
+                                         names=["path", "content"])
 
 
 def read_text_dir(spark: SparkSession, path: str,
                   suffixes: Iterable[str] = (".py", ".sql"),
                   recursive: bool = False) -> DataFrame:
     """Every file under ``path`` whose name ends with one of
-    ``suffixes``, one row per file: ``(file_name, path, text)``.
+    ``suffixes``, one row per file: ``(file_name, path, text, read_error)``.
 
-    Uses the ``binaryFile`` source: one row per file *including empty
-    files* (the whole-text reader skips 0-byte files, which must still get
-    their "no code" review), content decoded as UTF-8 in the JVM. The
-    suffix test runs as a glob on file names during listing, so unwanted
-    files are never opened.
+    Uses the ``binaryFile`` source, decoded in the JVM. A file that is not
+    valid UTF-8 has a NULL text and says so in ``read_error``; it does not
+    stop the others. The suffix test runs as a glob during listing, so
+    unwanted files are never opened. Files that Spark's scans leave out
+    (empty ones, names like ``__init__.py``) come from a streamed listing;
+    only these few paths are held, and read by the executors.
     """
+    suffixes = list(suffixes)
     exts = [s.lstrip(".") for s in suffixes]
     glob = "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    df = reader.load(path)
-    scanned = df.select(
-        F.regexp_extract(F.col("path"), r"([^/]*)$", 1).alias("file_name"),
-        F.col("path"),
-        F.decode(F.col("content"), "UTF-8").alias("text"),
-    )
-    # The scan skips 0-byte files; the file index (already held by the
-    # driver for planning) still lists them. Add them back with "".
-    listed = df.inputFiles()
-    if not listed:
-        return scanned
-    norm = lambda c: F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
-    all_files = spark.createDataFrame([(p,) for p in listed], "path string")
-    empty = all_files.join(scanned.select(norm(F.col("path")).alias("__p")),
-                           norm(all_files["path"]) == F.col("__p"), "left_anti")
-    empty = empty.select(F.regexp_extract(F.col("path"), r"([^/]*)$", 1).alias("file_name"),
-                         norm(F.col("path")).alias("path"), F.lit("").alias("text"))
-    return scanned.unionByName(empty)
+    files = reader.load(path).select("path", "content")
+    rest = list(unscanned_files(spark, path, suffixes, recursive))
+    empty = [(p, bytearray()) for p, size in rest if not size]
+    hidden = [(p,) for p, size in rest if size]
+    if empty:
+        files = files.unionByName(spark.createDataFrame(empty, FILE))
+    if hidden:
+        files = files.unionByName(spark.createDataFrame(hidden, "path string").mapInArrow(_read_whole, FILE))
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    return files.select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "path",
+        F.when(valid, text).alias("text"),
+        F.when(~valid, F.lit("the file is not valid UTF-8")).alias("read_error"))
 
 
 def read_diffs(spark: SparkSession, path: str, suffix: str = ".diff") -> DataFrame:
-    """Many diff files at once, ``diff_id`` = file name."""
+    """Many diff files at once, ``diff_id`` = file name. A file that is
+    not valid UTF-8 stops the job: its chunks could not be trusted."""
     df = read_text_dir(spark, path, suffixes=(suffix,))
-    return df.select(F.col("file_name").alias("diff_id"), "text")
+    text = F.when(F.col("read_error").isNull(), F.col("text")).otherwise(
+        F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("read_error"))))
+    return df.select(F.col("file_name").alias("diff_id"), text.alias("text"))
 
 
-def write_text_files(df: DataFrame, root: str, rel_path: str = "path", text: str = "text") -> DataFrame:
-    """Write each row's text to ``<root>/<rel_path>`` (UTF-8), from the
-    executors, through ``pyarrow.fs`` (local, HDFS or object stores).
+def write_text_files(df: DataFrame, root: str, rel_path: str = "path", text: str | Column = "text") -> DataFrame:
+    """Write each row's text (UTF-8) or bytes to ``<root>/<rel_path>`` from
+    the executors, through ``pyarrow.fs`` (local, HDFS or object stores).
     Returns ``(rel_path, bytes)`` rows once the write has run (lazy)."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField(rel_path, T.StringType()),
                            T.StructField("bytes", T.LongType())])
-    base = root.rstrip("/")
+    base = _arrow_uri(qualified(df.sparkSession, root.rstrip("/")))
 
     def write(batches):
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
-        uri = base if "://" in base else "file://" + base
-        filesystem, prefix = fs.FileSystem.from_uri(uri)
-        for pdf in batches:
+        filesystem, prefix = fs.FileSystem.from_uri(base)
+        for batch in batches:
             sizes = []
-            for p, t in zip(pdf[rel_path], pdf[text]):
-                data = (t or "").encode("utf-8")
+            for p, data in zip(batch.column(rel_path).to_pylist(), batch.column("data").to_pylist()):
                 target = f"{prefix}/{p}"
                 filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 with filesystem.open_output_stream(target) as out:
-                    out.write(data)
-                sizes.append(len(data))
-            yield pd.DataFrame({rel_path: pdf[rel_path], "bytes": pd.Series(sizes, dtype="int64")})
+                    out.write(data or b"")
+                sizes.append(len(data or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(rel_path), pa.array(sizes, pa.int64())],
+                                             names=[rel_path, "bytes"])
 
-    return df.select(rel_path, text).mapInPandas(write, schema)
+    data = (F.col(text) if isinstance(text, str) else text).cast("binary").alias("data")
+    return df.select(rel_path, data).mapInArrow(write, schema)

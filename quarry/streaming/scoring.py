@@ -37,9 +37,7 @@ def score_new_parts(spark: SparkSession, model_path: str, source_dir: str,
         scored = score(model, batch)
         if keep:
             scored = scored.select(*keep, "prediction_label", "prediction_score")
-        (scored.withColumn("batch_id", F.lit(batch_id))
-               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(out_dir))
+        scored.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -33,10 +33,36 @@ def test_review_job(spark):
             fh.write(text)
     out = review_job(spark, src, tempfile.mkdtemp(prefix="quarry-rev-out-"), stub_reviewer("!"), fan_in=2)
     assert out["reviews"].count() == 3 and out["review_errors"].count() == 1
+    assert out["findings"].count() == 0 and out["top_findings"].count() == 0
     s = out["summary"].collect()
     assert len(s) == 1 and s[0].levels == 2
 
 
+def test_review_job_with_findings_and_unreadable_files(spark):
+    src = tempfile.mkdtemp(prefix="quarry-rev-src-")
+    for name, data in [("a b%20.py", b"x = 1"), ("__init__.py", b"y = 2"), ("bad.py", b"f\xff\x00"), ("odd.sql", b"select 2")]:
+        with open(os.path.join(src, name), "wb") as fh:
+            fh.write(data)
+
+    def model(prompt):
+        import json
+        if "select" in prompt:
+            return '{"summary": null, "detailed_findings": [], "key_recommendations": "oops"}'
+        found = [{"file_path": "f", "severity": s, "line_number": n, "finding": "text"} for s, n in
+                 (("Low", 3.0), ("Critical", 4), ("Awful", 5), ("High", 1.5))]
+        return json.dumps({"summary": "s", "detailed_findings": found, "key_recommendations": []})
+
+    out = review_job(spark, src, tempfile.mkdtemp(prefix="quarry-rev-out-"), model)
+    assert sorted(r.file_name for r in out["reviews"].collect()) == ["__init__.py", "a b%20.py", "odd.sql"]
+    found = out["findings"].collect()
+    assert sorted((r.file_name, r.severity, r.line_number) for r in found) == [
+        (f, s, n) for f in ("__init__.py", "a b%20.py") for s, n in (("Critical", 4), ("Low", 3))]
+    assert out["top_findings"].count() == 4
+    errors = sorted((r.file_name, r.error) for r in out["review_errors"].collect())
+    assert [e[0] for e in errors] == ["__init__.py", "__init__.py", "a b%20.py", "a b%20.py", "bad.py", "odd.sql"]
+    assert "UTF-8" in errors[4][1] and out["summary"].count() == 1
+
+
 def test_train_and_score_jobs(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     labels = spark.read.parquet(f"{SF001}/labels.parquet")
@@ -45,7 +71,7 @@ def test_train_and_score_jobs(spark):
     tmp = tempfile.mkdtemp(prefix="quarry-train-")
     best, table = train_job(spark, data, "doc_id", "quality", FEATURES, f"{tmp}/model",
                             f"{tmp}/metrics", include=["logistic_regression"])
-    assert best == "logistic_regression" and table.count() == 2
+    assert best == "logistic_regression" and [r.stage for r in table.orderBy("stage").collect()] == ["cv", "holdout", "train"]
     for rerun in range(2):
         score_job(data, f"{tmp}/model", f"{tmp}/pred", "r1", keep=["doc_id"])
     assert spark.read.parquet(f"{tmp}/pred").count() == data.count()
@@ -55,7 +81,6 @@ def test_click_dataset_and_predictions(spark):
     import datetime as dt
 
     from quarry.operators.clean import CleanSpec
-    from quarry.operators.ml import fit_final, fold_col, save_model, with_class_weights
     from quarry.plans.jobs import ClickDatasetSpec, click_dataset, predictions_job
 
     as_of = dt.date(2024, 3, 31)
@@ -86,14 +111,17 @@ def test_click_dataset_and_predictions(spark):
     assert sum(r.clicked_or_not == "True" for r in got) == 8
     assert all(r.segment is not None and r.iru_count is not None for r in got)
 
-    data = with_class_weights(out.withColumn("label", (F.col("clicked_or_not") == "True").cast("double"))
-                              .withColumn("fold", fold_col(F.col("registration_id"))), "label")
-    model = save_model(fit_final(data, "logistic_regression", ["iru_count"]),
-                       tempfile.mkdtemp(prefix="quarry-m-") + "/m")
-    trained = data.filter(F.col("registration_id") < 20).select("registration_id")
-    pred = predictions_job(data, trained, "registration_id", model,
-                           tempfile.mkdtemp(prefix="quarry-p-") + "/p")
-    assert pred.count() == 20 and "prediction_score" in pred.columns
+    # the dataset as it is: a 'True' / 'False' label and a feature with NULLs
+    tmp = tempfile.mkdtemp(prefix="quarry-m-")
+    best, table = train_job(spark, out, "registration_id", "clicked_or_not", ["iru_count", "n"], f"{tmp}/m",
+                            include=["logistic_regression"], trained_ids_path=f"{tmp}/ids")
+    assert {r.stage for r in table.collect()} == {"cv", "train", "holdout"}
+    trained = spark.read.parquet(f"{tmp}/ids")
+    assert trained.count() == 38                            # one of each class is held out
+    pred = predictions_job(out, trained, "registration_id", f"{tmp}/m", f"{tmp}/p", metrics_path=f"{tmp}/pm")
+    rows = pred.collect()
+    assert len(rows) == 2 and all(0 <= r.prediction_score <= 1 and r.prediction_label in ("True", "False") for r in rows)
+    assert sorted((r.stage, r.n) for r in spark.read.parquet(f"{tmp}/pm").collect()) == [("test", 2), ("train", 38)]
 
 
 def test_command_line(spark):

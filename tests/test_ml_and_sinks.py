@@ -5,8 +5,9 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators.ml import (compare_models, fit_final, fold_col, is_train, load_model,
-                                 metrics, save_model, score, with_class_weights)
+from quarry.operators.ml import (compare_models, fit_final, fold_col, load_model, metrics,
+                                 model_features, model_labels, save_model, score,
+                                 stratified_split, with_class_weights)
 from quarry.session import scratch_path
 from quarry.sinks.tables import append, materialize, overwrite, write_part
 from quarry.sources.tables import CONTACT_SCHEMA, create_table, part_filter, snapshot_scan
@@ -19,16 +20,37 @@ def separable(spark, n=300):
 
 
 def test_split_and_folds_are_stable(spark):
-    df = spark.range(2000).withColumnRenamed("id", "k")
-    a = df.select(is_train(F.col("k")).alias("t"), fold_col(F.col("k")).alias("f")).collect()
-    b = df.select(is_train(F.col("k")).alias("t"), fold_col(F.col("k")).alias("f")).collect()
-    assert a == b
-    share = sum(r.t for r in a) / len(a)
-    assert 0.985 < share < 1.0
-    counts = [sum(1 for r in a if r.f == k) for k in range(5)]
+    df = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "rare").when(
+        F.col("id") == 1, None).when(F.col("id") == 3, "single").otherwise("usual").alias("y"))
+    pick = lambda: {r.k: (r.y, r.is_train, r.f) for r in stratified_split(df, "k", "y").withColumn(
+        "f", fold_col(F.col("k"))).collect()}
+    a = pick()
+    assert a == pick() and len(a) == 2000
+    held = {}
+    for y, train, _ in a.values():
+        held[y] = held.get(y, 0) + (not train)
+    assert held == {"rare": 1, "usual": 9, None: 0, "single": 0}      # 0.5 % of 200 and of 1,798
+    counts = [sum(1 for _, _, f in a.values() if f == k) for k in range(5)]
     assert min(counts) > 300
 
 
+def test_missing_labels_and_features(spark):
+    rows = [(i, None if i % 11 == 0 else ("True" if i % 2 else "False"), None if i % 7 == 0 else float(i % 2) * 4,
+             float("nan") if i % 5 == 0 else 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, y string, `x 1` double, x2 double")
+    weighted = with_class_weights(df, "y").withColumn("fold", fold_col(F.col("id")))
+    assert weighted.filter("y IS NULL").select("weight").distinct().collect()[0][0] == 0.0
+    ranked = compare_models(weighted, ["x 1", "x2"], label="y", include=["logistic_regression"])
+    assert ranked[0][1] > 0.8
+    model = fit_final(weighted, "logistic_regression", ["x 1", "x2"], label="y")
+    assert model_features(model) == ["x 1", "x2"] and model_labels(model) == ["False", "True"]
+    out = score(model, df).collect()
+    assert len(out) == 200 and all(0.0 <= r.prediction_score <= 1.0 for r in out)
+    assert {r.prediction_label for r in out} <= {"True", "False"}
+    with pytest.raises(ValueError):
+        with_class_weights(df, "id")
+
+
 def test_compare_fit_score(spark):
     df = separable(spark)
     ranked = compare_models(df, ["x1", "x2"], include=["logistic_regression", "random_forest"])
@@ -40,7 +62,7 @@ def test_compare_fit_score(spark):
     assert out.columns == df.columns + ["prediction_label", "prediction_score"]
     assert dict(out.dtypes)["prediction_score"] == "double"
     m = metrics(loaded.transform(df)).first()
-    assert m.auc > 0.9 and m.accuracy > 0.9
+    assert m.auc > 0.9 and m.accuracy > 0.9 and m.tp + m.fp + m.fn + m.tn == m.n == 300
     with pytest.raises(KeyError):
         score(loaded, df.drop("x2"))
 
@@ -57,6 +79,14 @@ def test_sinks_roundtrip(spark):
     write_part(df, f"{base}/p", "r1", 0)
     write_part(df.limit(3), f"{base}/p", "r1", 1)
     assert spark.read.parquet(f"{base}/p").count() == 13
+    write_part(df.limit(0), f"{base}/p", "r1", 1)               # an empty rerun replaces too
+    assert spark.read.parquet(f"{base}/p").count() == 10
+    with pytest.raises(ValueError):
+        write_part(df, f"{base}/p", "a/b")
+    kinds = df.withColumn("kind", F.col("k") % 3)
+    overwrite(kinds, f"{base}/q", partition_by=["kind"])
+    overwrite(kinds.filter("kind = 1"), f"{base}/q", partition_by=["kind"])
+    assert [r.kind for r in spark.read.parquet(f"{base}/q").select("kind").distinct().collect()] == [1]
     assert materialize(df.filter("k > 4")).count() == 5
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.operators.profile import null_profile
-from quarry.operators.relational import not_in, not_in_sql
+from quarry.operators.relational import not_in
 
 
 def sql_not_in(x, sub):
@@ -30,7 +30,6 @@ def test_not_in_matches_sql_rules(spark, left, sub):
     sq = spark.createDataFrame([(k,) for k in sub], "k int")
     want = sorted(i for i, k in enumerate(left) if sql_not_in(k, sub) is True)
     assert sorted(r.id for r in not_in(df, "k", sq, "k").collect()) == want
-    assert sorted(r.id for r in not_in_sql(df, "k", sq, "k").collect()) == want
 
 
 @settings(max_examples=6, deadline=None)

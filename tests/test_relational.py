@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.operators.profile import column_groups, drop_sparse, null_profile, top_missing
-from quarry.operators.relational import (in_subquery, not_in, not_in_sql, remove_keys,
+from quarry.operators.relational import (in_subquery, not_in, remove_keys,
                                          row_difference)
 
 PRODUCTS = [(1, "a"), (2, "b"), (3, "c"), (None, "n")]
@@ -24,19 +24,16 @@ def names(df):
 def test_not_in_without_null_keys(spark):
     sub = items(spark, [(1, 9), (1, 7), (2, 1)]).filter(F.col("qty") > 5)
     assert names(not_in(products(spark), "pid", sub, "pid")) == ["b", "c"]
-    assert names(not_in_sql(products(spark), "pid", sub, "pid")) == ["b", "c"]
 
 
 def test_not_in_with_a_null_key_is_empty(spark):
     sub = items(spark, [(1, 9), (None, 7)])
     assert names(not_in(products(spark), "pid", sub, "pid")) == []
-    assert names(not_in_sql(products(spark), "pid", sub, "pid")) == []
 
 
 def test_not_in_empty_subquery_keeps_everything(spark):
     sub = items(spark, [(1, 1)]).filter(F.col("qty") > 5)
     assert names(not_in(products(spark), "pid", sub, "pid")) == ["a", "b", "c", "n"]
-    assert names(not_in_sql(products(spark), "pid", sub, "pid")) == ["a", "b", "c", "n"]
 
 
 def test_anti_plus_semi_is_whole_for_non_null_keys(spark):
@@ -98,14 +95,20 @@ def test_lookup_label_from_a_table(spark):
     path = tempfile.mkdtemp(prefix="quarry-dim-") + "/dim"
     spark.createDataFrame([(1, "CANADA"), (2, "USA"), (2, "USA")], "k int, name string") \
         .write.parquet(path)
-    dim = spark.read.parquet(path)           # file-backed: a real size estimate
-    for limit in (1 << 30, 0):               # broadcast, then forced shuffle join
-        got = lookup_label(df, "c", dim, "k", "name", "country", "OTHERS", max_broadcast_bytes=limit)
-        assert sorted((r.c or -1, r.country) for r in got.collect()) == [
-            (-1, "OTHERS"), (1, "CANADA"), (2, "USA"), (9, "OTHERS")]
-        hinted = "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
-        assert hinted == (limit > 0)
-    # an in-memory frame has no size estimate: never broadcast on trust
-    mem = spark.createDataFrame([(1, "CANADA")], "k int, name string")
-    got = lookup_label(df, "c", mem, "k", "name", "country", max_broadcast_bytes=1 << 30)
+    dim = spark.read.parquet(path)
+    got = lookup_label(df, "c", dim, "k", "name", "country", "OTHERS")
+    assert sorted((r.c or -1, r.country) for r in got.collect()) == [
+        (-1, "OTHERS"), (1, "CANADA"), (2, "USA"), (9, "OTHERS")]
     assert "strategy=broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_not_in_reads_its_subquery_once_and_broadcasts_on_size_alone(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sub = items(spark, [(1, 9), (2, 7)])
+        df = not_in(products(spark), "pid", sub, "pid")
+        assert names(df) == ["c"]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -85,6 +85,36 @@ def test_consolidation_batches_and_tree(spark):
     assert [(r.summary, r.was_truncated) for r in cut] == [("x" * 12, True), ("x" * 12, True)]
 
 
+def test_contract_types_and_empty_findings(spark):
+    rows = [(1, '{"summary": "s", "detailed_findings": [], "key_recommendations": []}'),
+            (2, '{"summary": "s", "detailed_findings": [{"file_path": "a", "severity": "Low", "line_number": 12.0, '
+                '"finding": "f"}], "key_recommendations": ["r"]}'),
+            (3, '{"summary": null, "detailed_findings": [], "key_recommendations": []}'),
+            (4, '{"summary": "s", "detailed_findings": [], "key_recommendations": "oops"}'),
+            (5, '{"summary": "s", "detailed_findings": {}, "key_recommendations": []}'), (6, "[1]"), (7, "nonsense"), (8, None)]
+    parsed = parse_reviews(spark.createDataFrame(rows, "rid int, response string"))
+    assert {r.rid: (bool(r.is_json), r.top_ok) for r in parsed.collect()} == {
+        1: (True, True), 2: (True, True), 3: (True, False), 4: (True, False), 5: (True, False),
+        6: (False, False), 7: (False, False), 8: (False, False)}
+    got = {(r.rid, r.finding_idx, r.line_number, r.is_valid) for r in findings(parsed, ["rid"]).collect()}
+    assert got == {(2, 0, 12, True), (6, None, None, False), (7, None, None, False), (8, None, None, False)}
+
+
+def test_null_groups_and_fan_in(spark):
+    rows = [(None, "a.py", "x"), (None, "b.py", "y"), ("g", "c.py", "z"), (None, "d.py", "w")]
+    df = spark.createDataFrame(rows, "source string, file_name string, response string")
+    got = {r.source: (r.levels, r.summary) for r in consolidate(
+        df, lambda p: str(p.count("--- Review for ")), ["source"], fan_in=2).collect()}
+    assert got == {None: (2, "2"), "g": (1, "1")}
+    with pytest.raises(ValueError):
+        consolidate(df, str, ["source"], fan_in=1)
+
+
+def test_unicode_blanks_are_blank(spark):
+    df = spark.createDataFrame([("\u00a0\u2003\n",), ("\u00a0x",), (None,), ("",)], "text string")
+    assert [r.is_blank for r in build_prompts(df).collect()] == [True, False, True, True]
+
+
 def test_text_directory_source(spark):
     d = tempfile.mkdtemp(prefix="quarry-src-")
     for name, text in [("a.py", "print(1)\n"), ("b.sql", "select 1;"), ("c.md", "# no"), ("e.py", "")]:
