@@ -11,6 +11,14 @@ each class and its next ``NEIGHBOURS`` in the order, those of the longest
 common prefixes, are. Candidate pairs so grow with the number of classes,
 never with the square of a group.
 
+A large region can still hide a link: a class on the fringe of many near
+copies may be similar to few of them, none of them next to it in any order.
+So large regions that share classes are joined to clusters, and in each
+cluster every class outside the largest component is compared with all
+classes of other components, on full sets, in blocks of bounded size that
+send back confirmed links only. (A block counts the shared shingles of one
+class with all of its members at once.)
+
 Candidates are confirmed on the full sets. In each of ``CONTRACTIONS`` rounds every
 class confirms its best candidate (met in most trees) in another component, and
 confirmed links are contracted; pairs inside one component are settled. The
@@ -19,8 +27,7 @@ confirmed, rejected on full sets, or inside one component.
 
 Two sets at the limit (similarity 0.85) share a tree's region with
 probability 0.52; one of the 24 trees brings them together but for one pair
-in 10**7. Where regions are cut, closer pairs stay together longer, and the
-next neighbours link across cuts.
+in 10**7.
 
 Cases: null text and text without words have an empty set and are linked with
 nothing (component: itself); fewer words than a shingle count as one shingle;
@@ -40,6 +47,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import free_name, query, read, stage, text_buffers
 from quarry.llm.components import components
+from quarry.llm.vectors import blocks_of, spread
 from quarry.llm.words import distinct_per_doc, doc_chunks, hash_words, mix, shingle_hashes
 
 TREES = 24               # production parameters
@@ -52,6 +60,7 @@ CONTRACTIONS = 2
 SIMILAR = (85, 100)      # linked if 100 * intersection >= 85 * union
 VALUES = TREES * STEP
 CHUNK = 2 << 20          # bytes of text hashed at once
+BLOCK = 1024             # classes of a block
 FILTER_BITS = 1 << 25    # of the bitmap that spares other texts the shuffle
 
 _rng = np.random.Generator(np.random.PCG64(606))
@@ -134,8 +143,9 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=[*ORDER, "c0", "c1", "n"])
 
 
-def _pairs_of(cols: dict[str, np.ndarray], similar) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate rows (i, j) of sorted rows of whole regions."""
+def _pairs_of(cols: dict[str, np.ndarray], similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate rows (i, j) of sorted rows of whole regions, and the rows of
+    large regions."""
     n_rows = len(cols["region"])
     same = np.ones(n_rows, bool)               # as the row before, so far down the order
     cells, cell_size = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
@@ -149,7 +159,7 @@ def _pairs_of(cols: dict[str, np.ndarray], similar) -> tuple[np.ndarray, np.ndar
         cell_size = np.where(cut, size, cell_size)
         cut = cut & (size > REGION)
         if level == 0:
-            regions = ids
+            regions, large = ids, np.flatnonzero(cut)
         if not cut.any():
             break
     out = []
@@ -162,29 +172,36 @@ def _pairs_of(cols: dict[str, np.ndarray], similar) -> tuple[np.ndarray, np.ndar
         if d <= NEIGHBOURS:
             take |= regions[:-d] == regions[d:]
         i = i[take]
-        small, large = np.minimum(cols["n"][i], cols["n"][i + d]), np.maximum(cols["n"][i], cols["n"][i + d])
-        fits = similar[1] * small >= similar[0] * large
+        fewer, more = np.minimum(cols["n"][i], cols["n"][i + d]), np.maximum(cols["n"][i], cols["n"][i + d])
+        fits = similar[1] * fewer >= similar[0] * more
         out.append((i[fits], i[fits] + d))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+    i, j = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+    return i, j, large
 
 
 def _candidates(similar, most: int = 1 << 18):
-    """Sorted tree rows to candidate pairs. A region larger than ``most`` rows
-    passes in pieces that overlap by the neighbours."""
+    """Sorted tree rows to candidate pairs (a, b) and, with their region, the
+    classes (a) of large regions. A region larger than ``most`` rows passes in
+    pieces that overlap by the neighbours."""
     names = [*ORDER, "c0", "c1", "n"]
 
     def emit(cols):
         fresh = np.ones(len(cols["n"]), bool)          # a class once per place
         fresh[1:] = np.any([cols[x][1:] != cols[x][:-1] for x in names], axis=0)
         cols = {k: v[fresh] for k, v in cols.items()}
-        i, j = _pairs_of(cols, similar)
+        if not len(cols["n"]):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["a0", "a1", "b0", "b1", "region"])
+        i, j, large = _pairs_of(cols, similar)
         a0, a1, b0, b1 = cols["c0"][i], cols["c1"][i], cols["c0"][j], cols["c1"][j]
         swap = (a0 > b0) | ((a0 == b0) & (a1 > b1))
         a0, b0 = np.where(swap, b0, a0), np.where(swap, a0, b0)
         a1, b1 = np.where(swap, b1, a1), np.where(swap, a1, b1)
         differ = (a0 != b0) | (a1 != b1)
-        return pa.RecordBatch.from_arrays([pa.array(x[differ]) for x in (a0, a1, b0, b1)],
-                                          names=["a0", "a1", "b0", "b1"])
+        pairs, none = [x[differ] for x in (a0, a1, b0, b1)], np.zeros(len(large), np.int64)
+        sides = [np.concatenate(x) for x in zip(pairs, (cols["c0"][large], cols["c1"][large], none, none))]
+        region = pa.array(np.concatenate([np.zeros(len(pairs[0]), np.int64), cols["region"][large]]),
+                          mask=np.arange(len(sides[0])) < len(pairs[0]))
+        return pa.RecordBatch.from_arrays([*map(pa.array, sides), region], names=["a0", "a1", "b0", "b1", "region"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {x: np.empty(0, np.int64) for x in names}
@@ -290,6 +307,67 @@ def _settle(pairs: DataFrame, texts: DataFrame, similar, shingle: int) -> DataFr
     return parts
 
 
+def _shared(similar, shingle: int):
+    """Confirmed links (u, v) between the asking classes of a block and its
+    members in other components, one for each asking class and component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks = table["asks"].to_numpy()
+        node, part = table["node"].to_numpy(), table["part"].to_numpy()
+        found = [None] * len(node)
+        for i, hashes, sizes in shingle_sets(table["text"].combine_chunks(), shingle):
+            ends = np.cumsum(sizes)
+            for k in range(len(sizes)):
+                found[i + k] = hashes[ends[k] - sizes[k]:ends[k]]
+        members = np.flatnonzero(~asks)
+        out = []
+        if len(members) and asks.any():
+            size = np.array([len(found[m]) for m in members])
+            flat = np.concatenate([found[m] for m in members])
+            owner = np.repeat(np.arange(len(members)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for q in np.flatnonzero(asks):
+                own = found[q]
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                width = hi - lo
+                hit = np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                common = np.bincount(owner[hit], minlength=len(members))
+                linked = (similar[1] * common >= similar[0] * (len(own) + size - common)) & (part[members] != part[q])
+                _, first = np.unique(part[members[linked]], return_index=True)
+                out += [(node[q], v) for v in node[members[linked]][first]]
+        u, v = (np.array(x, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+        return pa.table({"u": u, "v": v})
+
+    return run
+
+
+def _fringe(dense: DataFrame, parts: DataFrame, texts: DataFrame, similar, shingle: int) -> DataFrame:
+    """Confirmed links (u, v) that large regions still hide. ``dense``:
+    (region, node); ``parts``: (node, component) so far."""
+    least = dense.groupBy("region").agg(F.min("node").alias("v"))
+    clusters = components(dense.join(least, "region").select(F.col("node").alias("u"), "v")) \
+        .select("node", F.col("component").alias("cluster"))
+    members = stage(clusters.join(parts, "node", "left").select(
+        "cluster", "node", F.coalesce("component", "node").alias("part")), "near-members")
+    sizes = members.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
+        F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("largest"))
+    sizes = stage(sizes.filter(F.col("all") > F.col("most")).select(
+        "cluster", "largest", blocks_of(F.col("all"), BLOCK).alias("blocks"),
+        blocks_of(F.col("all") - F.col("most"), BLOCK).alias("ask_blocks")), "near-clusters")
+    known = members.join(sizes, "cluster").join(texts, "node")
+    sides = []
+    for asks in (False, True):
+        rows = known.filter(F.col("part") != F.col("largest")) if asks else known
+        own, other = ("ask_blocks", "blocks") if asks else ("blocks", "ask_blocks")
+        names = ("ask_block", "block") if asks else ("block", "ask_block")
+        sides.append(spread(rows, "node", F.col(own), F.col(other), *names).select(
+            "cluster", "block", "ask_block", "node", "part", "text", F.lit(asks).alias("asks")))
+    return sides[0].unionByName(sides[1]).groupBy("cluster", "block", "ask_block").applyInArrow(
+        _shared(similar, shingle), "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int] = SIMILAR,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept and digest (of
@@ -304,12 +382,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int]
     tree = signed.filter("n > 0").select("c0", "c1", "n", "signature").mapInArrow(
         _tree_rows, ", ".join(f"{x} bigint" for x in [*ORDER, "c0", "c1", "n"]))
     pairs = (tree.repartition("region").sortWithinPartitions(*ORDER, "c0", "c1")
-             .mapInArrow(_candidates(similar), "a0 bigint, a1 bigint, b0 bigint, b1 bigint")
-             .groupBy("a0", "a1", "b0", "b1").agg(F.count(F.lit(1)).alias("hits")))
-    pairs = stage(pairs, "near-candidates")
+             .mapInArrow(_candidates(similar), "a0 bigint, a1 bigint, b0 bigint, b1 bigint, region bigint"))
+    found = stage(pairs, "near-found")
+    pairs = stage(found.filter("region IS NULL").groupBy("a0", "a1", "b0", "b1").agg(F.count(F.lit(1)).alias("hits")),
+                  "near-candidates")
+    dense = found.filter("region IS NOT NULL").select("region", F.col("a0").alias("c0"), F.col("a1").alias("c1"))
     # candidate classes get numbers of their own: their links are long pairs
     nodes = pairs.select(F.col("a0").alias("c0"), F.col("a1").alias("c1")).unionByName(
-        pairs.select(F.col("b0").alias("c0"), F.col("b1").alias("c1"))).distinct()
+        pairs.select(F.col("b0").alias("c0"), F.col("b1").alias("c1"))).unionByName(dense.select("c0", "c1")).distinct()
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     a = nodes.select(F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("node").alias("a"))
     b = nodes.select(F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("node").alias("b"))
@@ -317,7 +397,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int]
         F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "hits"), "near-pairs")
     texts = rows.select("text").mapInArrow(_class_texts(shingle, _candidate_bits(nodes)), "c0 bigint, c1 bigint, text string").join(nodes, cls) \
         .groupBy("node").agg(F.min("text").alias("text"))
-    parts = None if pairs.isEmpty() else _settle(pairs, stage(texts, "near-texts"), similar, shingle)
+    parts = None
+    if not nodes.isEmpty():
+        texts = stage(texts, "near-texts")
+        parts = stage(_settle(pairs, texts, similar, shingle), "near-parts")
+        hidden = stage(_fringe(stage(dense.join(nodes, cls).select("region", "node"), "near-dense"), parts, texts,
+                               similar, shingle), "near-hidden")
+        if not hidden.isEmpty():
+            parts = components(hidden.unionByName(parts.filter("node != component").select(
+                F.col("component").alias("u"), F.col("node").alias("v"))))
 
     classes = signed.filter("n > 0").groupBy(*cls).agg(F.min("doc_id").alias("least"))
     if parts is not None:
