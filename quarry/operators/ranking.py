@@ -24,8 +24,10 @@ _ROW_BITS = (1 << 33) - 1   # monotonically_increasing_id keeps the row index in
 
 
 def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                 out: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """Add ``out``: 0-based position of the row within ``group`` by ``order``.
+                 out: str = "rank", num_partitions: int | None = None,
+                 total: str | None = None) -> DataFrame:
+    """Add ``out``: 0-based position of the row within ``group`` by ``order``,
+    and with ``total`` the group's number of rows.
 
     The range-partitioned, sorted data is checkpointed to the shared
     checkpoint folder so partition ids and row positions are stable when a
@@ -46,6 +48,7 @@ def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str],
     before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select(F.col("__pid").alias("__opid"), "__first",
                         F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
+                        F.sum("__cnt").over(Window.partitionBy(*group)).alias("__all"),
                         *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)])
     # Staged: the planner then sees the real size of these few rows (one per
     # partition and group) and needs no second shuffle of the ranked rows.
@@ -54,4 +57,7 @@ def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str],
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))      # a NULL group is a group
     ranked = s.join(offs, same)
-    return ranked.select(*df.columns[:-1], (F.col("__off") + F.col("__row") - F.col("__first")).cast("bigint").alias(out))
+    added = [(F.col("__off") + F.col("__row") - F.col("__first")).cast("bigint").alias(out)]
+    if total:
+        added.append(F.col("__all").cast("bigint").alias(total))
+    return ranked.select(*df.columns[:-1], *added)

@@ -243,13 +243,13 @@ def consolidation_batches(reviews: DataFrame, group: Sequence[str], name: str, t
     batch holds at most ``fan_in`` answers, each bounded by the answer
     limit, so the collected list per batch is bounded.
     """
-    r = ordered_rank(reviews.select(*group, name, text), group, [name], out="__pos")
+    r = ordered_rank(reviews.select(*group, name, text), group, [name], out="__pos", total="__all")
     r = r.withColumn("batch", F.floor(F.col("__pos") / fan_in).cast("bigint"))
     g = r.groupBy(*group, "batch").agg(
         F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("p"),
                                              review_block(F.col(name), F.col(text)).alias("t"))))
-        .alias("items"))
-    return g.select(*group, "batch", F.size("items").cast("bigint").alias("n_reviews"),
+        .alias("items"), F.max("__all").alias("group_reviews"))
+    return g.select(*group, "batch", F.size("items").cast("bigint").alias("n_reviews"), "group_reviews",
                     F.array_join(F.transform("items", lambda x: x["t"]), "\n").alias("text"))
 
 
@@ -275,18 +275,14 @@ def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[st
                                              F.col("text")))
         # Each round's answers are checkpointed to the shared folder: the
         # model is not called again when a later stage is recomputed.
-        done = call_model(b, fn, "prompt", keep=[*group, "batch"]).checkpoint(eager=True)
-        # Batches are numbered without gaps from 0: a group with a batch 1 has several.
-        more = done.filter(F.col("batch") == 1).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)])
-        several = F.lit(True)
-        for i, g in enumerate(group):
-            several = several & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+        done = call_model(b, fn, "prompt", keep=[*group, "batch", "group_reviews"]).checkpoint(eager=True)
+        several = F.col("group_reviews") > fan_in        # more than one batch
         answer = F.coalesce("response", "error")
-        fin = done.filter(F.col("batch") == 0).join(more, several, "left_anti").select(
+        fin = done.filter(~several).select(
             *group, F.lit(level).alias("levels"), truncate_chars(answer, max_chars).alias("summary"),
             (F.length(answer) > max_chars).alias("was_truncated"))
         finals = fin if finals is None else finals.unionByName(fin)
-        rest = done.join(more, several, "left_semi")
+        rest = done.filter(several)
         if rest.isEmpty():
             return finals
         cur = rest.select(*group, F.format_string("summary_%019d", F.col("batch")).alias("__name"),

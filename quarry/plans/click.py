@@ -12,11 +12,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.clean import CleanSpec, clean_members, fill_by_group
+from quarry.operators.clean import CleanSpec, clean_members, drop_columns, fill_by_group
 from quarry.operators.features import (assemble, count_by_key, count_in_window,
                                        distinct_count_by, sum_over_union)
 from quarry.operators.label import add_existence_label, distinct_keys_since, label_counts
-from quarry.operators.profile import drop_sparse, null_profile, top_missing
+from quarry.operators.profile import complete_columns, drop_sparse, null_profile, top_missing
 from quarry.operators.relational import in_subquery, not_in, remove_keys, row_difference
 from quarry.plans.fixtures import (E_ASOF, H, MEMBER_COLUMNS, MEMBERS_SQL, O_ASOF, Tables, d,
                                    members)
@@ -93,6 +93,19 @@ def q03b(spark, root):
     return top_missing(null_profile(members(Tables(spark, root))), 5).drop("row_count")
 
 
+# q56 ---------------------------------------------------------------------
+COMPLETE = [c for c in MEMBER_COLUMNS[:5] + ["is_building"]]
+
+
+@query("q56_complete_columns", f"WITH {MEMBERS_SQL}\nSELECT {', '.join(COMPLETE)} FROM members")
+def q56(spark, root):
+    """Keep the columns without any missing value, by a strict
+    drop of the others."""
+    m = members(Tables(spark, root))
+    complete = set(complete_columns(null_profile(m)))
+    return drop_columns(m, [c for c in m.columns if c not in complete], strict=True)
+
+
 # q04 ---------------------------------------------------------------------
 _KEPT = [c for c in MEMBER_COLUMNS if c != "recent_click_count"]
 

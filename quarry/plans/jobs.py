@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.clean import CleanSpec, clean_members
+from quarry.operators.clean import CleanSpec, clean_members, drop_columns
 from quarry.operators.diffs import create_chunks, read_chunks, write_chunks
 from quarry.operators.features import assemble
 from quarry.operators.label import add_existence_label, distinct_keys_since, label_counts
@@ -58,6 +58,10 @@ def click_dataset(snapshot: DataFrame, clicks: DataFrame, features: Sequence[Dat
     and the select that follows it; the result is a read of ``out_path``, or
     of the staged table.
     """
+    if out_path:
+        with staged_scope(snapshot.sparkSession):
+            overwrite(click_dataset(snapshot, clicks, features, spec), out_path)
+        return snapshot.sparkSession.read.parquet(out_path)
     day = spec.as_of - dt.timedelta(days=spec.snapshot_lag_days)
     snap = snapshot_scan(snapshot, spec.snapshot_ts, day, where=spec.scan_where,
                          drop=spec.scan_drop)
@@ -67,10 +71,7 @@ def click_dataset(snapshot: DataFrame, clicks: DataFrame, features: Sequence[Dat
                                    spec.as_of - dt.timedelta(days=spec.label_window_days))
     labelled = add_existence_label(clean, spec.key, clickers, spec.label)
     full, _ = drop_sparse(assemble(labelled, spec.key, features), spec.sparse_threshold, stage=True)
-    if not out_path:
-        return full
-    overwrite(full, out_path)
-    return snapshot.sparkSession.read.parquet(out_path)
+    return full
 
 
 def label_distribution(dataset: DataFrame, label: str = "clicked_or_not") -> DataFrame:
@@ -130,7 +131,7 @@ def predictions_job(dataset: DataFrame, trained_ids: DataFrame, key: str, model_
     of the predictions."""
     model = load_model(model_path)
     to_score = remove_keys(dataset, key, trained_ids, key)
-    overwrite(score(model, to_score.drop(*drop)), out_path)
+    overwrite(score(model, drop_columns(to_score, drop, strict=True)), out_path)
     if metrics_path:
         ids = trained_ids.select(F.col(key).alias("__used")).distinct()
         used = dataset.join(ids, F.col(key) == F.col("__used"), "left_semi")

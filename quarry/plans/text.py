@@ -196,6 +196,34 @@ def q37(spark, root):
                     F.md5("text").alias("text_md5"))
 
 
+# q55 ---------------------------------------------------------------------
+PATCH_BUDGET = 40
+
+
+@query("q55_whole_patches", f"""
+WITH p AS (SELECT doc_id, md5(text) AS h FROM documents),
+patches AS (
+  SELECT doc_id, 'new.py' AS path, 'diff --git a/old.py b/new.py\nsimilarity index 90%\nrename from old.py\nrename to new.py\n'
+    || '--- a/old.py\n+++ b/new.py\n@@ -1 +1 @@ def f():\n-x\n+' || h AS text FROM p
+  UNION ALL SELECT doc_id, 'run.sql', 'diff --git a/run.sql b/run.sql\nold mode 100644\nnew mode 100755' FROM p
+  UNION ALL SELECT doc_id, 'gone.py', 'diff --git a/gone.py b/gone.py\ndeleted file mode 100644\n--- a/gone.py\n+++ /dev/null\n'
+    || '@@ -1,2 +0,0 @@\n-' || h || '\n-y' FROM p)
+SELECT 'doc' || doc_id AS diff_id, 2 AS level, path, path || '.diff' AS chunk_name, md5(text) AS text_md5 FROM patches""")
+def q55(spark, root):
+    """T5-T8 on a rename, a mode change and a deletion for every document:
+    each chunk is the whole patch."""
+    h = F.md5("text")
+    text = F.concat(
+        F.lit("diff --git a/old.py b/new.py\nsimilarity index 90%\nrename from old.py\nrename to new.py\n"
+              "--- a/old.py\n+++ b/new.py\n@@ -1 +1 @@ def f():\n-x\n+"), h,
+        F.lit("\ndiff --git a/run.sql b/run.sql\nold mode 100644\nnew mode 100755\n"
+              "diff --git a/gone.py b/gone.py\ndeleted file mode 100644\n--- a/gone.py\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-"), h,
+        F.lit("\n-y\n"))
+    docs = Tables(spark, root).documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("diff_id"),
+                                                text.alias("text"))
+    return create_chunks(docs, PATCH_BUDGET).select("diff_id", "level", "path", "chunk_name", F.md5("text").alias("text_md5"))
+
+
 # q38 ---------------------------------------------------------------------
 @query("q38_prompt_build", f"""WITH {SOURCE_FILES_SQL}
 SELECT path, trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS is_blank,
