@@ -67,6 +67,27 @@ def test_made_groups(spark, seed):
     assert result(near.near_duplicates(table(spark, rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [1024, 50])
+def test_fringe_of_a_large_region(spark, monkeypatch, block):
+    """Many near copies of one text, some of them similar to few others, and
+    texts that only share a passage with each other."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 220):
+        copy = list(base)
+        for at in rng.sample(range(2, 98), rng.choice([1, 1, 2, 3, 4, 5])):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    rows += [(300 + i, " ".join(base[:80] + [word() for _ in range(20)])) for i in range(60)]
+    rng.shuffle(rows)
+    expected = brute(rows)
+    assert len({r[2] for r in expected}) > 50
+    assert result(near.near_duplicates(table(spark, rows))) == expected
+
+
 def test_five_words_and_other_limit(spark):
     rows = made(9, 12)
     assert result(near.near_duplicates(table(spark, rows), 5, (80, 100))) == brute(rows, 5, (80, 100))
