@@ -133,15 +133,17 @@ def compare_models(train: DataFrame, features: Sequence[str], label: str = "labe
 
     One fit per candidate and fold, on one cached frame that all share; the
     candidates run side by side, as Spark takes jobs from several driver
-    threads. A fold without both classes has no AUC and is left out.
+    threads. A fold without both classes, in it or beside it, has no AUC and
+    is left out.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     evaluator = BinaryClassificationEvaluator(labelCol=INDEX, metricName="areaUnderROC")
     data = train.filter(F.col(label).isNotNull()).persist()
     todo = [n for n in candidates(label, weight) if not include or n in include]
-    classes = data.groupBy(fold).agg(F.count_distinct(label).alias("k")).collect()     # FOLDS rows
-    usable = sorted(r[fold] for r in classes if r["k"] > 1)
+    held = {(r[fold], r[label]) for r in data.select(fold, label).distinct().collect()}   # folds x classes
+    folds = sorted({f for f, _ in held})
+    usable = [f for f in folds if len({y for g, y in held if g == f}) > 1 and len({y for g, y in held if g != f}) > 1]
 
     def run(name: str) -> tuple[str, float]:
         scores = []
