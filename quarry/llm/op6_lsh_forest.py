@@ -56,7 +56,7 @@ LEVELS = 3               # deeper cuts, by two values each
 STEP = 7                 # a tree's order starts so many values after the tree's before
 REGION = 8               # a larger region is cut deeper
 NEIGHBOURS = 3
-CONTRACTIONS = 2
+CONTRACTIONS = 1
 SIMILAR = (85, 100)      # linked if 100 * intersection >= 85 * union
 VALUES = TREES * STEP
 CHUNK = 2 << 20          # bytes of text hashed at once
