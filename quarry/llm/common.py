@@ -75,14 +75,13 @@ def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     in them; a null row is empty. No copy of the text is made."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    if not pa.types.is_large_string(arr.type):
-        arr = arr.cast(pa.large_string())
     if arr.null_count:
         arr = arr.fill_null("")
     n = len(arr)
     _, offs, data = arr.buffers()
     if n == 0:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(offs, np.int64, count=arr.offset + n + 1)[arr.offset:]
+    kind = np.int64 if pa.types.is_large_string(arr.type) else np.int32
+    off = np.frombuffer(offs, kind, count=arr.offset + n + 1)[arr.offset:].astype(np.int64)
     byts = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     return byts[off[0]:off[-1]], off - off[0]

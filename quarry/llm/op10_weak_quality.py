@@ -37,7 +37,7 @@ from quarry.llm import linear
 from quarry.llm.common import query, read, stage, text_buffers
 from quarry.llm.words import distinct_per_doc, doc_chunks, hash_words, shingle_hashes
 
-SAMPLE = 8000            # production parameters
+SAMPLE = 4000            # production parameters
 LIMIT = 0.5              # documents below are rejected
 FLOOR = 0.007
 FEW = 8
@@ -189,9 +189,9 @@ def _fit_scorer(posterior: dict[int, float]):
     words teach it, each weighted alike."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("digest", "ascending"), ("text", "ascending")])
+        texts = table.sort_by("digest")["text"].combine_chunks()      # digests differ
         slots, words, targets = [], [], []
-        for pattern, s, per in judged(table["text"].combine_chunks()):
+        for pattern, s, per in judged(texts):
             full = per > 0
             post = np.array([posterior.get(int(p), 0.5) for p in pattern])
             n_words, n_windows = linear.windows(per[full])

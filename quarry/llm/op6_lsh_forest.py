@@ -143,9 +143,10 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=[*ORDER, "c0", "c1", "n"])
 
 
-def _pairs_of(cols: dict[str, np.ndarray], similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_of(cols: dict[str, np.ndarray], similar, cut_region) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate rows (i, j) of sorted rows of whole regions, and the rows of
-    large regions."""
+    large regions. ``cut_region`` is the region that the rows before ended in
+    the midst of, which is a large one."""
     n_rows = len(cols["region"])
     same = np.ones(n_rows, bool)               # as the row before, so far down the order
     cells, cell_size = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
@@ -155,6 +156,8 @@ def _pairs_of(cols: dict[str, np.ndarray], similar) -> tuple[np.ndarray, np.ndar
         same[0] = False
         ids = np.cumsum(~same) - 1
         size = np.bincount(ids)[ids]
+        if level == 0 and cut_region is not None:
+            size = np.where(cols["region"] == cut_region, np.maximum(size, REGION + 1), size)
         cells = np.where(cut, ids + level * n_rows, cells)
         cell_size = np.where(cut, size, cell_size)
         cut = cut & (size > REGION)
@@ -185,13 +188,13 @@ def _candidates(similar, most: int = 1 << 18):
     pieces that overlap by the neighbours."""
     names = [*ORDER, "c0", "c1", "n"]
 
-    def emit(cols):
+    def emit(cols, cut_region):
         fresh = np.ones(len(cols["n"]), bool)          # a class once per place
         fresh[1:] = np.any([cols[x][1:] != cols[x][:-1] for x in names], axis=0)
         cols = {k: v[fresh] for k, v in cols.items()}
         if not len(cols["n"]):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["a0", "a1", "b0", "b1", "region"])
-        i, j, large = _pairs_of(cols, similar)
+        i, j, large = _pairs_of(cols, similar, cut_region)
         a0, a1, b0, b1 = cols["c0"][i], cols["c1"][i], cols["c0"][j], cols["c1"][j]
         swap = (a0 > b0) | ((a0 == b0) & (a1 > b1))
         a0, b0 = np.where(swap, b0, a0), np.where(swap, a0, b0)
@@ -204,7 +207,7 @@ def _candidates(similar, most: int = 1 << 18):
         return pa.RecordBatch.from_arrays([*map(pa.array, sides), region], names=["a0", "a1", "b0", "b1", "region"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {x: np.empty(0, np.int64) for x in names}
+        held, cut = {x: np.empty(0, np.int64) for x in names}, None
         for batch in batches:
             held = {x: np.concatenate([held[x], batch.column(x).to_numpy(zero_copy_only=False)]) for x in names}
             region = held["region"]
@@ -212,13 +215,13 @@ def _candidates(similar, most: int = 1 << 18):
                 continue
             whole = int(np.searchsorted(region, region[-1]))        # the last region may go on
             if whole:
-                yield emit({x: v[:whole] for x, v in held.items()})
-                held = {x: v[whole:] for x, v in held.items()}
+                yield emit({x: v[:whole] for x, v in held.items()}, cut)
+                held, cut = {x: v[whole:] for x, v in held.items()}, None
             if len(held["n"]) > most:
-                yield emit(held)
-                held = {x: v[-NEIGHBOURS:] for x, v in held.items()}
+                yield emit(held, cut)
+                held, cut = {x: v[-NEIGHBOURS:] for x, v in held.items()}, region[-1]
         if len(held["n"]):
-            yield emit(held)
+            yield emit(held, cut)
 
     return run
 

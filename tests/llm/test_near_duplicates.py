@@ -129,3 +129,20 @@ def test_components_of_chains_and_stars(spark):
                 seen.add(x)
                 todo.append(x)
         assert got.get(start, start) == min(seen)
+
+
+def test_regions_that_pass_in_pieces():
+    """A region cut by the buffer stays large to its last row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    n = 50
+    rows = {"region": np.full(n, 7), "k0": np.zeros(n, int), "k1": np.zeros(n, int), "k2": np.zeros(n, int),
+            "c0": np.arange(n), "c1": np.zeros(n, int), "n": np.full(n, 10)}
+    batches = [pa.RecordBatch.from_arrays([pa.array(v[i:i + 8]) for v in rows.values()], names=list(rows)) for i in range(0, n, 8)]
+    out = pa.Table.from_batches(near._candidates((85, 100), most=20)(iter(batches)))
+    dense = out.filter(pa.compute.is_valid(out["region"]))
+    assert set(dense["a0"].to_pylist()) == set(range(n))
+    pairs = out.filter(pa.compute.is_null(out["region"]))
+    assert {(i, i + d) for i in range(n) for d in (1, 2, 3) if i + d < n} <= set(
+        zip(pairs["a0"].to_pylist(), pairs["b0"].to_pylist()))
