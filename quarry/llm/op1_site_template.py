@@ -12,9 +12,14 @@ too, as menus may change their words from page to page.
 Pass 2 parses again, deletes the recurring subtrees and those whose element,
 role or class says that they are no article (menus, footers, sidebars,
 notices, adverts, forms, comments), and joins the text that stays.
-Such marks decide alone on hosts with too few pages to count. Where a page marks its article (``main``,
+Elements and roles decide alone. Names (the whole, first or last word of a
+class or id) are no more than a hint: they never mark an article, a heading or
+a paragraph, and inside an article, or for an element with most of the page's
+text, a named element goes only if it recurs or is mostly links as well, or is
+plainly a comment list, a cookie notice or an advert.
+Where a page marks its article (``main``,
 ``article``), only that part is text, and inside it a recurring subtree goes
-only if it is mostly link text: a passage that many articles share is theirs.
+only if it is mostly link text or so named: a passage that many articles share is theirs.
 
 Counts are combined per (host, subtree) before the shuffle, so a hot host is
 spread over all its subtrees; the recurring subtrees of a host are bounded by
@@ -68,6 +73,13 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense b
                   "paywall popup promo promoted promotion recommended related replies respond share sharing sidebar "
                   "signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split())
 REPLIES = frozenset("comment comments commentlist discussion disqus replies respond related recommended teaser".split())
+# Names that can be nothing else, inside an article too.
+PLAIN = re.compile(r"comments|commentlist|comments?-(area|box|form|list|respond|section|thread)|disqus(-thread)?|"
+                   r"(cookies?|consent|gdpr)-(banner|bar|modal|notice|overlay|popup)|adsense|adsbygoogle|"
+                   r"(ads?|adverts?|advertisement)(-(banner|box|container|slot|unit|wrapper))?")
+NEVER_NAMED = frozenset("html body main h1 h2 h3 h4 h5 h6 p".split())
+# Names that begin so tell of the article's subject: "category-social".
+SUBJECT = frozenset("cat category keyword subject tag tax taxonomy term topic".split())
 # After these words a name tells of the page's layout: "has-sidebar".
 LAYOUT = re.compile(r"\b(has|with|without|no)[^a-z0-9]+[a-z0-9]+")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -75,31 +87,52 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "text_len", "link_len", "content", "shape", "marked", "is_main",
+    __slots__ = ("tag", "attrs", "children", "text_len", "link_len", "content", "shape", "fixed", "named", "is_main",
                  "has_main")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.children = tag, attrs, []
         self.is_main = tag in ("main", "article") or attrs.get("role") in ("main", "article") \
             or attrs.get("itemprop") == "articleBody"
-        self.marked = self._no_article() or self._named()
-        self.has_main = False
+        self.fixed, self.named = self._no_article(), self._named()
+        self.has_main = 0                       # it holds an article (1) or the page's main part (2)
+
+    @property
+    def marked(self) -> bool:
+        """Its element, role, state or name says that it is no article."""
+        return self.fixed or self.named
 
     def _no_article(self) -> bool:
-        """Its element, role or state says that it is no article."""
+        """Its element, role or state says so."""
         a = self.attrs
         return self.tag in NO_TEXT or self.tag in NO_ARTICLE or "hidden" in a or a.get("aria-hidden") == "true" \
             or a.get("role") in ROLES or "display:none" in (a.get("style") or "").replace(" ", "").lower()
 
-    def names(self) -> list[str]:
-        """The words of its class and id."""
-        names = _CAMEL.sub(" ", f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}").lower()
-        return _SPLIT.split(LAYOUT.sub(" ", names))
+    def is_page_main(self) -> bool:
+        return self.tag == "main" or self.attrs.get("role") == "main"
+
+    def names(self) -> list[list[str]]:
+        """The words of each of its classes and its id, without modifiers and numbers."""
+        out = []
+        for name in f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}".split():
+            name = _CAMEL.sub(" ", name.partition("--")[0] or name).lower()
+            words = [w for w in _SPLIT.split(LAYOUT.sub(" ", name)) if w and not w.isdigit()]
+            if words and words[0] not in SUBJECT:
+                out.append(words)
+        return out
+
+    def named_in(self, marks: frozenset[str]) -> bool:
+        """A name's whole, first or last word is one of ``marks``."""
+        return any(w[0] in marks or w[-1] in marks or "".join(w) in marks for w in self.names())
+
+    def plain(self) -> bool:
+        """Its name can mean nothing of the article."""
+        return any(PLAIN.fullmatch("-".join(w)) for w in self.names())
 
     def _named(self) -> bool:
         """Its class or id says so."""
-        return self.tag not in ("html", "body", "main") and ("class" in self.attrs or "id" in self.attrs) \
-            and not MARKS.isdisjoint(self.names())
+        return ("class" in self.attrs or "id" in self.attrs) and self.tag not in NEVER_NAMED and not self.is_main \
+            and self.named_in(MARKS)
 
 
 class TreeBuilder(HTMLParser):
@@ -169,9 +202,8 @@ def _hash(*parts: bytes) -> bytes:
 
 
 def measure(root: Element) -> None:
-    """Set text and link lengths, content hash and shape hash of all elements.
-    A wrapper that is named for something beside the article, but holds a
-    marked article and most of the page, is not marked itself."""
+    """Set text and link lengths, content hash and shape hash of all elements,
+    and take the marks from wrappers of the article."""
     for e in _walk(root):
         head = f"{e.tag} {e.attrs.get('class') or ''} {e.attrs.get('id') or ''} {e.attrs.get('role') or ''}".encode()
         text = link = 0
@@ -190,12 +222,41 @@ def measure(root: Element) -> None:
                     content.append(words.encode("utf-8", "surrogatepass"))
         e.text_len, e.link_len = (0, 0) if e.tag in NO_TEXT else (text, text if e.tag == "a" else link)
         e.content, e.shape = _hash(b"c", *content), _hash(b"s", *shape)
+    _unmark(root, False)
+    if not _outermost(root):
+        _unmark(root, True)
+
+
+def _unmark(root: Element, no_article: bool) -> None:
+    """A wrapper that is named for something beside the article, but holds a
+    marked article and most of the page, is not marked itself. Where no article
+    is found, neither is a smaller such wrapper, nor an element with most of
+    the page's text that is not mostly links. A plain name, or one that tells
+    of other articles, then stays marked if the page has text without it."""
+    only = no_article and not _has_text(root)
     for e in _walk(root):
-        e.has_main = any(type(c) is Element and c.text_len and not c.marked and (c.has_main or c.is_main)
-                         for c in e.children)
-        if e.has_main and e.marked and 2 * e.text_len >= root.text_len and not e._no_article() \
-                and REPLIES.isdisjoint(e.names()):
-            e.marked = False
+        e.has_main = max((max(c.has_main, c.is_main + c.is_page_main()) for c in e.children
+                          if type(c) is Element and c.text_len and not c.marked), default=0)
+        if e.named and e.text_len:
+            others = e.has_main == 1 and e.named_in(REPLIES)
+            most = 2 * e.text_len >= root.text_len
+            if e.has_main and not others:
+                e.named = not (most or no_article)
+            elif no_article and most and not mostly_links(e) and (only or not (others or e.plain())):
+                e.named = False
+
+
+def _has_text(root: Element) -> bool:
+    """Text other than links stands outside all marked elements."""
+    todo = [root]
+    while todo:
+        for c in todo.pop().children:
+            if type(c) is not Element:
+                if c.strip():
+                    return True
+            elif not c.marked and c.tag not in ("a", "header"):
+                todo.append(c)
+    return False
 
 
 def mostly_links(e: Element) -> bool:
@@ -220,7 +281,7 @@ def article_roots(root: Element) -> list[Element]:
     """The elements that hold the article: the page's main part or its one
     article, its articles, or else the whole page."""
     found = _outermost(root)
-    mains = [e for e in found if e.tag == "main" or e.attrs.get("role") == "main"]
+    mains = [e for e in found if e.is_page_main()]
     roots = mains[:1] or found or [root]
     while len(roots) == 1 and len(inner := _outermost(roots[0])) == 1 and roots[0] is not root:
         roots = inner
@@ -237,7 +298,7 @@ def hashes_of(root: Element) -> set[tuple[bytes, bytes]]:
         for c in e.children:
             if type(c) is Element and c.text_len and id(c) not in roots:
                 links = mostly_links(c)
-                if not inside or links:
+                if not inside or links or c.named:
                     out.add((c.content, e.content))
                 if links and c.tag not in INLINE:
                     out.add((c.shape, e.content))
@@ -266,10 +327,13 @@ def main_text(root: Element, recurring: frozenset[bytes] | set[bytes]) -> tuple[
             inside = True
         elif e is not root:
             links = mostly_links(e)
+            article = explicit and inside
             recurs = e.text_len and e.tag not in INLINE and not e.has_main and not e.is_main and (
-                e.content in recurring and (links or not (explicit and inside)) or links and e.shape in recurring)
+                e.content in recurring and (links or e.named or not article) or links and e.shape in recurring)
             deleted += bool(recurs)
-            if recurs or e.marked or e.tag == "header" and not (explicit and inside) and not e.has_main:
+            if recurs or e.fixed or e.tag == "header" and not article and not e.has_main:
+                continue
+            if e.named and (not article or links or e.plain() or e.has_main == 1 and e.named_in(REPLIES)):
                 continue
         end = "" if e.tag in INLINE else " "
         if inside:

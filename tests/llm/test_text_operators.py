@@ -40,6 +40,36 @@ def test_main_text(page, expected):
     assert text_of(page) == expected
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<article class='post category-social tag-menu'><p>Body.</p></article>", "Body."),
+    ("<article id='notice-of-meeting'><p>Body.</p></article>", "Body."),
+    ("<article><h2 id='related-work'>Related work</h2><p>a</p><h2 id='social-impact'>Social impact</h2><p class='notice'>b</p>"
+     "<section id='discussion'><p>c</p></section></article>", "Related work a Social impact b c"),
+    ("<article><p>a</p><div class='related'><a href=x>other</a></div><div class='comments-area'>c</div></article>", "a"),
+    ("<article><p>a</p><div class='related'><article>other</article></div></article>", "a"),
+    ("<div class='two-column right-sidebar'><h1>T</h1><p>The whole body of it.</p><div class='sidebar'>s</div></div>",
+     "T The whole body of it."),
+    ("<div class='menu'><a href=a>one</a> <a href=b>two</a> <a href=c>three</a></div><p>b</p>", "b"),
+    ("<p>Story.</p><div id='comments'><p>Longer than the story itself.</p></div>", "Story."),
+    ("<div class='comments'><p>All of the text.</p></div>", "All of the text."),
+    ("<div class='related'><main>All.</main></div>", "All."),
+    ("<div class='related-pages'><main>All.</main></div><p>outside</p>", "All."),
+    ("<div class='right-sidebar'><article>Body.</article></div><div>Longer text beside it.</div>", "Body."),
+    ("<p>Story.</p><div class='related'><article>Longer than the story itself.</article></div>", "Story."),
+    ("<p>b</p><p>long enough to be most of it</p><div class='site-menu'>no</div><div class='story-ad-free'>yes</div>",
+     "b long enough to be most of it yes"),
+])
+def test_names_are_hints(page, expected):
+    assert text_of(page) == expected
+
+
+def test_a_named_box_inside_an_article_goes_if_it_recurs(spark):
+    rows = [(i, f"http://a.example/{i}", f"<article><p>Story {i}.</p><div class='newsletter'>Get our letter</div>"
+             f"<div class='notice'>Only of {i}</div></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in site.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}. Only of {i}" for i in range(5)}
+
+
 def test_pages_table_matches_a_plain_reading(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in site.op1_site_template_text(spark, SF001).collect()}
     rows = spark.read.parquet(f"{SF001}/pages.parquet").collect()
