@@ -11,7 +11,8 @@ too, as menus may change their words from page to page.
 
 Pass 2 parses again, deletes the recurring subtrees and those whose element,
 role or class says that they are no article (menus, footers, sidebars,
-notices, adverts, forms, comments), and joins the text that stays.
+notices, adverts, forms, comments), and joins the text that stays. Of a form
+around an article or most of the page only the inputs and labels go.
 Elements and roles decide alone. Names (the whole, first or last word of a
 class or id) are no more than a hint: they never mark an article, a heading or
 a paragraph, and inside an article, or for an element with most of the page's
@@ -55,7 +56,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "samp small span strike strong sub sup time tt u var wbr".split())
 NO_TEXT = frozenset("script style noscript template head title iframe object embed svg math canvas audio video "
                     "select textarea button input datalist map".split())
-NO_ARTICLE = frozenset("nav footer aside form dialog menu".split())
+NO_ARTICLE = frozenset("nav footer aside dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
                      "footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -64,8 +65,8 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",),
          "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
 SCOPE = frozenset("html body article main section table td th div aside nav header footer form blockquote".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form "
-                  "toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alertdialog alert menu menubar toolbar".split())
+FORMS = frozenset("form dialog".split())        # roles of what may stand around the whole page
 # Words of class and id names that mark what is no article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs "
                   "comment comments commentlist cookie cookies consent dialog discussion disqus footer gdpr masthead "
@@ -87,20 +88,21 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "text_len", "link_len", "content", "shape", "fixed", "named", "is_main",
-                 "has_main")
+    __slots__ = ("tag", "attrs", "children", "text_len", "link_len", "content", "shape", "fixed", "form", "named",
+                 "is_main", "has_main")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.children = tag, attrs, []
         self.is_main = tag in ("main", "article") or attrs.get("role") in ("main", "article") \
             or attrs.get("itemprop") == "articleBody"
         self.fixed, self.named = self._no_article(), self._named()
+        self.form = tag == "form" or attrs.get("role") in FORMS
         self.has_main = 0                       # it holds an article (1) or the page's main part (2)
 
     @property
     def marked(self) -> bool:
         """Its element, role, state or name says that it is no article."""
-        return self.fixed or self.named
+        return self.fixed or self.form or self.named
 
     def _no_article(self) -> bool:
         """Its element, role or state says so."""
@@ -222,28 +224,42 @@ def measure(root: Element) -> None:
                     content.append(words.encode("utf-8", "surrogatepass"))
         e.text_len, e.link_len = (0, 0) if e.tag in NO_TEXT else (text, text if e.tag == "a" else link)
         e.content, e.shape = _hash(b"c", *content), _hash(b"s", *shape)
-    _unmark(root, False)
+    opened = _unmark(root, False)
     if not _outermost(root):
-        _unmark(root, True)
+        opened |= _unmark(root, True)
+    todo = [(root, False)] if opened else []
+    while todo:                                 # the labels of a form go, its text stays
+        e, inside = todo.pop()
+        inside = inside or (e.tag == "form" or e.attrs.get("role") in FORMS) and not e.form
+        for c in e.children:
+            if type(c) is Element:
+                c.fixed = c.fixed or inside and c.tag == "label"
+                todo.append((c, inside))
 
 
-def _unmark(root: Element, no_article: bool) -> None:
+def _unmark(root: Element, no_article: bool) -> bool:
     """A wrapper that is named for something beside the article, but holds a
     marked article and most of the page, is not marked itself. Where no article
     is found, neither is a smaller such wrapper, nor an element with most of
     the page's text that is not mostly links. A plain name, or one that tells
-    of other articles, then stays marked if the page has text without it."""
+    of other articles, then stays marked if the page has text without it. A
+    form is not marked if it holds a marked article or most of the page's
+    text; whether one was is returned."""
+    opened = False
     only = no_article and not _has_text(root)
     for e in _walk(root):
         e.has_main = max((max(c.has_main, c.is_main + c.is_page_main()) for c in e.children
                           if type(c) is Element and c.text_len and not c.marked), default=0)
+        most = 2 * e.text_len >= root.text_len
+        if e.form and e.text_len and (e.has_main or e.is_main or most):
+            e.form, opened = False, True
         if e.named and e.text_len:
             others = e.has_main == 1 and e.named_in(REPLIES)
-            most = 2 * e.text_len >= root.text_len
             if e.has_main and not others:
                 e.named = not (most or no_article)
             elif no_article and most and not mostly_links(e) and (only or not (others or e.plain())):
                 e.named = False
+    return opened
 
 
 def _has_text(root: Element) -> bool:
@@ -331,7 +347,7 @@ def main_text(root: Element, recurring: frozenset[bytes] | set[bytes]) -> tuple[
             recurs = e.text_len and e.tag not in INLINE and not e.has_main and not e.is_main and (
                 e.content in recurring and (links or e.named or not article) or links and e.shape in recurring)
             deleted += bool(recurs)
-            if recurs or e.fixed or e.tag == "header" and not article and not e.has_main:
+            if recurs or e.fixed or e.form or e.tag == "header" and not article and not e.has_main:
                 continue
             if e.named and (not article or links or e.plain() or e.has_main == 1 and e.named_in(REPLIES)):
                 continue

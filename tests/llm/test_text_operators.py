@@ -63,6 +63,20 @@ def test_names_are_hints(page, expected):
     assert text_of(page) == expected
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<form id=f><nav>n</nav><main><p>Body.</p><label>Name</label><input value=x><button>Go</button>"
+     "<select><option>o</select></main></form>", "Body."),
+    ("<form role=main><p>Body.</p></form><footer>a footer that is longer than it</footer>", "Body."),
+    ("<div role=form><article>Body.</article></div><footer>a footer that is longer than it</footer>", "Body."),
+    ("<div role=dialog><h1>T</h1><p>All of the page's text.</p></div>", "T All of the page's text."),
+    ("<form><h1>T</h1><p>All of the page's text.</p><label>Name</label></form>", "T All of the page's text."),
+    ("<p>The text of the page.</p><form><label>Name</label><p>Sign up</p></form>", "The text of the page."),
+    ("<div role=search><p>Search all of our pages</p></div><p>b</p>", "b"),
+])
+def test_a_form_around_the_page(page, expected):
+    assert text_of(page) == expected
+
+
 def test_a_named_box_inside_an_article_goes_if_it_recurs(spark):
     rows = [(i, f"http://a.example/{i}", f"<article><p>Story {i}.</p><div class='newsletter'>Get our letter</div>"
              f"<div class='notice'>Only of {i}</div></article>") for i in range(5)]
