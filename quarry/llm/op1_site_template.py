@@ -3,7 +3,7 @@
 Pass 1 parses every page into an element tree, hashes the subtree of every
 element that could be template (tag, attributes, text), and counts per host, in
 Spark, under how many different parents each subtree occurs. A subtree recurs
-if that number reaches a share of the host's pages. The copies of one article
+if that number reaches a share of the host's different pages that have text. The copies of one article
 under many addresses have equal parents, so the article's own paragraphs do not
 recur through them; a menu sits in a different page each time and does. Of
 subtrees that are mostly link text the shape alone (without text) is counted
@@ -374,7 +374,12 @@ def recurring_subtrees(pages: DataFrame, html: str = "html", min_pages: int = MI
             for host, page in zip(batch.column(0), batch.column(1)):
                 if not host.as_py():
                     continue
-                for subtree, parent in hashes_of(parse(page.as_py())):
+                root = parse(page.as_py())
+                if root.text_len:                               # the page itself: a row without a subtree
+                    hosts.append(host.as_py())
+                    subtrees.append(None)
+                    parents.append(int.from_bytes(root.content, "little", signed=True))
+                for subtree, parent in hashes_of(root):
                     hosts.append(host.as_py())
                     subtrees.append(int.from_bytes(subtree, "little", signed=True))
                     parents.append(int.from_bytes(parent, "little", signed=True))
@@ -383,9 +388,11 @@ def recurring_subtrees(pages: DataFrame, html: str = "html", min_pages: int = MI
                 names=["host", "subtree", "parent"])
 
     counts = (pages.select("host", html).mapInArrow(run, "host string, subtree bigint, parent bigint").distinct()
-              .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(sizes, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")) \
+              .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")))
+    counts = stage(counts.filter(F.col("subtree").isNull() | (F.col("n") >= min_pages)), "page-subtrees")
+    sizes = counts.filter("subtree IS NULL").select("host", F.col("n").alias("pages"))
+    return counts.filter(F.col("subtree").isNotNull()).join(sizes, "host") \
+                 .filter(F.col("n") >= F.lit(share) * F.col("pages")) \
                  .groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("subtrees"))
 
 

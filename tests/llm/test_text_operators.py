@@ -113,6 +113,14 @@ def test_recurring_subtrees_go_and_articles_stay(spark):
     assert site.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_do_not_hide_a_menu(spark):
+    page = "<body><div><span>Home</span> <span>About us</span></div><p>Story {}.</p>"
+    rows = [(i, "http://a.example/", page.format(min(i, 4))) for i in range(600)] + [(1000, "http://a.example/", None)]
+    rows += [(2000 + i, f"http://a.example/{i}", "") for i in range(600)]
+    got = {r.page_id: r.text for r in site.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "" if i >= 1000 else f"Story {min(i, 4)}." for i in got} and len(got) == 1201
+
+
 def test_deep_and_long_pages():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert text_of("<p>" + "word " * 200_000) == " ".join(["word"] * 200_000)
