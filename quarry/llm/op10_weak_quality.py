@@ -198,6 +198,8 @@ def _fit_scorer(posterior: dict[int, float]):
             slots.append(s)
             words.append(n_words)
             targets.append(np.repeat(post[full], n_windows))
+        if not any(map(len, words)):
+            return pa.table({"weights": pa.array([], pa.binary()), "bias": pa.array([], pa.float64())})
         weights, bias, _ = linear.fit(np.concatenate(slots), np.concatenate(words), np.concatenate(targets))
         return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias])})
 
@@ -209,26 +211,33 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
 
     def pattern_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [p[per > 0] for p, _, per in judged(batch.column(0))]
-            values, counts = np.unique(np.concatenate([np.empty(0, np.int64), *some]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["pattern", "n"])
+            some = [(p, per > 0) for p, _, per in judged(batch.column(0))]
+            full = np.concatenate([np.empty(0, bool), *(f for _, f in some)])
+            values = np.concatenate([np.empty(0, np.int64), *(p[f] for p, f in some)])
+            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(1).filter(pa.array(full))],
+                                             names=["pattern", "digest"])
 
     texts = docs.select(F.col(f"`{text}`").alias("text"))
-    found = texts.mapInArrow(pattern_of, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")) \
-        .orderBy("pattern").collect()                                   # 3 ** labellers rows at most
+    digest = F.xxhash64("text")
+    votes = stage(texts.select("text", digest.alias("digest")).mapInArrow(pattern_of, "pattern bigint, digest bigint"),
+                  "quality-votes")
+    found = votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()   # 3 ** labellers rows at most
     patterns, counts = np.array([r["pattern"] for r in found], np.int64), np.array([r["n"] for r in found], float)
     total = counts.sum()
     if not total:
         return Model({}, 0.5, dict.fromkeys(LABELLERS, 0.5), np.zeros(1 << linear.BITS, np.float32), 0.0)
     post, prior, accuracy = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), post.tolist()))
-    # distinct texts under a share of the hash range: copies cannot crowd the sample
-    digest = F.xxhash64("text")
-    share = min(1.0, sample / total)
-    few = texts.select("text", digest.alias("digest")).filter(
-        F.col("text").isNotNull() & (F.pmod("digest", F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))))
-    row = few.dropDuplicates(["digest"]).groupBy(F.lit(0).alias("g")).applyInArrow(
-        lambda t: _fit_scorer(posterior)(t), "weights binary, bias double").first()
+    # distinct texts under a share of the hash range, by their number: copies neither crowd nor shrink the sample
+    share = min(1.0, sample / votes.select("digest").distinct().count())
+    while True:
+        few = texts.select("text", digest.alias("digest")).filter(
+            F.col("text").isNotNull() & (F.pmod("digest", F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))))
+        row = few.dropDuplicates(["digest"]).groupBy(F.lit(0).alias("g")).applyInArrow(
+            lambda t: _fit_scorer(posterior)(t), "weights binary, bias double").first()
+        if row or share == 1:
+            break
+        share = min(1.0, 8 * share)             # no text with words among them
     weights, bias = (np.frombuffer(row["weights"], np.float32), row["bias"]) if row else \
         (np.zeros(1 << linear.BITS, np.float32), 0.0)
     return Model(posterior, prior, dict(zip(LABELLERS, accuracy.tolist())), weights, bias)

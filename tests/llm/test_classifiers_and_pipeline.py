@@ -101,6 +101,16 @@ def test_votes_and_edges(spark):
     assert quality.score(docs.limit(0), nothing).count() == 0
 
 
+def test_copies_do_not_shrink_the_sample(spark):
+    docs = spark.createDataFrame([(" ".join(f"word{chr(97 + i % 40 % 26)}{i % 40} is here" for _ in range(30)),) for i in range(4000)],
+                                 "text string")
+    once = quality.fit(docs.distinct(), sample=20)
+    model = quality.fit(docs, sample=20)
+    assert np.any(once.weights) and ((model.weights != 0) == (once.weights != 0)).all()
+    assert np.any(quality.fit(docs, sample=1).weights)
+    assert len(quality.fit(spark.createDataFrame([("",), (" ",)], "text string")).posterior) == 0
+
+
 def test_expectation_maximisation_recovers_shares_and_accuracies():
     """Each kind of junk is known to two labellers, each right on 90 % of it."""
     rng = np.random.default_rng(0)
