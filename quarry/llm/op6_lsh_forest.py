@@ -373,9 +373,10 @@ def _fringe(dense: DataFrame, parts: DataFrame, texts: DataFrame, similar, shing
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int] = SIMILAR,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept and digest (of
-    the text, to tell rows of one doc_id apart). ``similar`` is the limit as
-    (numerator, denominator)."""
+    """Per document: doc_id, n_shingles, component_id, kept, digest (of
+    the text, to tell rows of one doc_id apart) and chosen: whether its doc_id
+    and digest are the first of its component, null ids last. ``similar`` is
+    the limit as (numerator, denominator)."""
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("digest"),
                        text.alias("text"))
@@ -410,33 +411,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similar: tuple[int, int]
             parts = components(hidden.unionByName(parts.filter("node != component").select(
                 F.col("component").alias("u"), F.col("node").alias("v"))))
 
-    classes = signed.filter("n > 0").groupBy(*cls).agg(F.min("doc_id").alias("least"))
+    classes = signed.filter("n > 0").groupBy(*cls).agg(
+        F.min("doc_id").alias("least"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
     if parts is not None:
         joined = nodes.join(parts, "node").join(classes, cls)
-        least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = joined.join(least, "component").select(*cls, "component_id")
-        classes = classes.join(named, cls, "left").select(*cls, F.coalesce("component_id", "least").alias("component_id"))
+        least = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("of_all"))
+        named = joined.join(least, "component").select(*cls, "component_id", "of_all")
+        classes = classes.join(named, cls, "left").select(
+            *cls, F.coalesce("component_id", "least").alias("component_id"), F.coalesce("of_all", "first").alias("first"))
     else:
         classes = classes.withColumnRenamed("least", "component_id")
-    alone = signed.filter("n = 0").select("doc_id", "digest", "n", F.col("doc_id").alias("component_id"))
+    alone = signed.filter("n = 0").select("doc_id", "digest", "n", F.col("doc_id").alias("component_id"),
+                                           F.lit(True).alias("chosen"))
     joined = signed.filter("n > 0").select("doc_id", "digest", "n", *cls).join(classes, cls) \
-        .select("doc_id", "digest", "n", "component_id")
+        .select("doc_id", "digest", "n", "component_id",
+                (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("chosen"))
     return joined.unionByName(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest", "chosen")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest
-    doc_id, and of rows repeated whole or in doc_id and text, one. The texts
+    """The documents that stay: of each group one row, with the smallest
+    doc_id (null ids last) and of its texts the one of the smallest digest;
+    of documents without words, one of rows repeated in doc_id and text. The texts
     are not shuffled while the rejected ids stay below the broadcast threshold."""
     judged = stage(near_duplicates(docs, shingle, similar), "near-result")
     key, digest = (free_name(docs.columns, x) for x in ("key", "digest"))
     keyed = docs.withColumn(digest, F.xxhash64("text")).withColumn(
         key, F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col(digest)))
     row_key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("digest")).alias(key)
-    rejected = stage(judged.filter(~F.col("kept")).select(row_key).distinct(), "near-rejected")
-    repeated = stage(judged.filter("kept").groupBy(row_key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key),
+    rejected = stage(judged.filter(~F.col("chosen")).select(row_key).distinct(), "near-rejected")
+    repeated = stage(judged.filter("chosen").groupBy(row_key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key),
                      "near-repeated")
     stays = keyed.join(rejected, key, "left_anti")
     single = stays.join(repeated, key, "left_anti")
@@ -445,4 +452,4 @@ def one_of_each(docs: DataFrame, shingle: int = 3, similar: tuple[int, int] = SI
 
 @query("op6_lsh_forest_dedup")
 def op6_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("digest")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("digest", "chosen")

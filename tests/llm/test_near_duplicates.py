@@ -113,6 +113,16 @@ def test_one_of_each(spark):
         [(2, "a b c d"), (4, "other text of it"), (4, "third text of it"), (9, None), (None, "words without a number")], key=str)
 
 
+def test_one_of_each_group_under_one_id_or_none(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text), (1, text.upper()), (1, text + " more"), (2, text + " again"), (1, "something else entirely"),
+            (None, text.replace("w", "n")), (None, text.replace("w", "N")), (None, text.replace("w", "n") + " more"),
+            (None, "a b c d"), (5, text.replace("w", "k")), (None, text.replace("w", "k") + " more"), (None, None), (3, "")]
+    got = near.one_of_each(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:1].lower()) for r in got) == [
+        ("1", "s"), ("1", "w"), ("3", ""), ("5", "k"), ("None", ""), ("None", "a"), ("None", "n")]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200, 260)] + [(1, x) for x in range(2, 90)] + [(300, 300), (90, 89)]
