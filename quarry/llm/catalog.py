@@ -10,4 +10,6 @@ from quarry.llm import op7_bpe  # noqa: F401
 from quarry.llm import op8_rendezvous  # noqa: F401
 from quarry.llm import op9_toxicity_chain  # noqa: F401
 from quarry.llm import op10_weak_quality  # noqa: F401
+from quarry.llm import op11_zone_mapped_negatives  # noqa: F401
+from quarry.llm import op12_risk_controlled_rules  # noqa: F401
 from quarry.llm import op13_collocations  # noqa: F401
