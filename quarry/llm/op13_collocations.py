@@ -1,11 +1,11 @@
 """Phrase collocation mining over sorted count streams.
 
-Phrases of one to ``most`` words are counted, order by order. Every count
-reaches the threshold only if the counts of both shorter parts do, so order n
-counts only phrases whose two parts of n - 1 words may be frequent: a bitmap of
-``FILTER_BITS`` bits, the same size for any input, says which may. It keeps
-rare phrases out of the shuffle and never drops a frequent one; when it fills
-up (more frequent phrases than bits) it only spares less.
+Phrases of one to ``most`` words are counted in several readings of the texts.
+A count reaches the threshold only if the counts of both shorter parts do, so
+only phrases whose two parts of one word less may be frequent are counted: a
+bitmap of ``FILTER_BITS`` bits, the same size for any input, says which may. It
+keeps rare phrases out of the shuffle and never drops a frequent one; when it
+fills up (more frequent phrases than bits) it only spares less.
 
 The frequent phrases of all orders then form one stream, kept in two layouts:
 sorted by words from the first (prefix order) and from the last (suffix
@@ -49,7 +49,8 @@ MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000      # production parameters
 CONTAINED = (80, 100)       # dropped if an extension has this share of the count
 SCALE = 2_000_000
 FILTER_BITS = 1 << 26
-CHUNK = 8 << 20             # bytes of texts counted at once
+CHUNK = 2 << 20             # bytes of texts counted at once
+HASHED = 2                  # lengths that are counted by hash first
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 _BREAK = np.zeros(256, bool)
@@ -81,81 +82,124 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
     return words, text, joined
 
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    return hash_words(*text_buffers(words))[0].hash
-
-
 def _group_hashes(groups: pa.Array) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(str(g).encode(), digest_size=8).digest(), "little")
                      for g in groups.to_pylist()], np.uint64)
 
 
-def _slots(group: np.ndarray, word_columns: list[np.ndarray]) -> np.ndarray:
-    """Bitmap positions of phrases given by their words' hashes."""
+def _phrase_hashes(group: np.ndarray, word_columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases given by their group's and their words' hashes."""
     h = group
     for w in word_columns:
         h = mix(h * _STEP + w)
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return h
 
 
-def _count(n: int, bits: np.ndarray | None):
-    """Phrases of ``n`` words and their counts, chunk by chunk; both parts of
-    n - 1 words are in the bitmap."""
+class Chunk:
+    """The words of some texts as numbers, and their hashes."""
 
-    def chunk(texts: pa.Array, groups: pa.Array):
-        words, text, joined = split_words(*text_buffers(texts))
-        if not len(words):
-            return None
+    def __init__(self, texts: pa.Array, groups: pa.Array):
+        words, text, self.joined = split_words(*text_buffers(texts))
         coded, names = words.dictionary_encode(), groups.dictionary_encode()
-        code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        group = names.indices.to_numpy().astype(np.int64)[text]
-        at = np.arange(len(words) - n + 1) if len(words) >= n else np.empty(0, np.int64)
+        self.words, self.groups = coded.dictionary, names.dictionary
+        self.code, self.size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        self.group = names.indices.to_numpy().astype(np.int64)[text]
+        self.hashes = hash_words(*text_buffers(self.words))[0].hash[self.code]
+        self.group_hashes = _group_hashes(self.groups)[self.group]
+
+    def places(self, n: int) -> np.ndarray:
+        """Where phrases of ``n`` words start."""
+        at = np.arange(max(len(self.code) - n + 1, 0))
         for k in range(n - 1):
-            at = at[joined[at + k]]
-        if n > 1 and len(at):
-            hashes, of_group = _word_hashes(coded.dictionary)[code], _group_hashes(names.dictionary)[group]
-            for shift in (0, 1):
-                slot = _slots(of_group[at], [hashes[at + shift + k] for k in range(n - 1)])
-                at = at[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-        # numbers of equal (group, words): exact, and never above the number of words squared
-        key = group[at] * size + code[at]
+            at = at[self.joined[at + k]]
+        return at
+
+    def phrase_hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        return _phrase_hashes(self.group_hashes[at], [self.hashes[at + k] for k in range(n)])
+
+    def marked(self, at: np.ndarray, n: int, bits: np.ndarray) -> np.ndarray:
+        """Whether the phrase of ``n`` words at each place may be frequent."""
+        slot = (self.phrase_hashes(at, n) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+        return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+    def both_parts_marked(self, at: np.ndarray, n: int, bits: np.ndarray | None) -> np.ndarray:
+        for shift in (0, 1) if n > 1 else ():
+            at = at[self.marked(at + shift, n - 1, bits)]
+        return at
+
+    def counted(self, at: np.ndarray, n: int) -> pa.RecordBatch:
+        """Phrases and their counts. The numbers of equal (group, words) are
+        exact, and never above the number of words squared."""
+        key = self.group[at] * self.size + self.code[at]
         for k in range(1, n):
             _, key = np.unique(key, return_inverse=True)
-            key = key * size + code[at + k]
+            key = key * self.size + self.code[at + k]
         _, one, counts = np.unique(key, return_index=True, return_counts=True)
         at = at[one]
-        parts = [coded.dictionary.take(pa.array(code[at + k])) for k in range(n)]
+        parts = [self.words.take(pa.array(self.code[at + k])) for k in range(n)]
         phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
         return pa.RecordBatch.from_arrays(
-            [names.dictionary.take(pa.array(group[at])), phrase, pa.array(counts.astype(np.int64))],
-            names=["grp", "phrase", "f"])
+            [self.groups.take(pa.array(self.group[at])), phrase, pa.array(np.full(len(at), n, np.int32)),
+             pa.array(counts.astype(np.int64))], names=["grp", "phrase", "n", "f"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[Chunk]:
+    for batch in batches:
+        texts, groups = batch.column("text"), batch.column("grp")
+        _, offsets = text_buffers(texts)
+        for i, j in doc_chunks(offsets, most_bytes):
+            chunk = Chunk(texts.slice(i, j - i), groups.slice(i, j - i))
+            if len(chunk.code):
+                yield chunk
+
+
+def _count_hashes(n: int, bits: np.ndarray | None, most_bytes: int):
+    """(h, f): hashes of the phrases of ``n`` words with their counts; and,
+    for words, (grp, f): the number of words of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, groups = batch.column("text"), batch.column("grp")
-            _, offsets = text_buffers(texts)
-            for i, j in doc_chunks(offsets, CHUNK):
-                out = chunk(texts.slice(i, j - i), groups.slice(i, j - i))
-                if out is not None:
-                    yield out
+        for chunk in _chunks(batches, most_bytes):
+            at = chunk.both_parts_marked(chunk.places(n), n, bits)
+            h, f = np.unique(chunk.phrase_hashes(at, n), return_counts=True)
+            groups = pa.nulls(len(h), pa.string())
+            if n == 1:
+                group, words = np.unique(chunk.group, return_counts=True)
+                groups = pa.concat_arrays([groups, chunk.groups.take(pa.array(group))])
+                h, f = np.concatenate([h, np.zeros(len(group), np.uint64)]), np.concatenate([f, words])
+            yield pa.RecordBatch.from_arrays([groups, pa.array(h.view(np.int64)), pa.array(f.astype(np.int64))],
+                                             names=["grp", "h", "f"])
 
     return run
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmap positions of phrases of one length."""
+def _count_phrases(lengths: range, bits: dict[int, np.ndarray], most_bytes: int):
+    """Phrases and their counts: those in the bitmap of their length where
+    there is one, else those whose two parts are in theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, most_bytes):
+            for n in lengths:
+                at = chunk.places(n)
+                at = at[chunk.marked(at, n, bits[n])] if n in bits else chunk.both_parts_marked(at, n, bits[n - 1])
+                if len(at):
+                    yield chunk.counted(at, n)
+
+    return run
+
+
+def _hash_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of phrases of one length."""
     for batch in batches:
         groups = batch.column("grp").dictionary_encode()
         words, _ = hash_words(*text_buffers(batch.column("phrase")))
         each = words.hash.reshape(batch.num_rows, -1)
         group = _group_hashes(groups.dictionary)[groups.indices.to_numpy()]
-        yield pa.RecordBatch.from_arrays([pa.array(_slots(group, list(each.T)))], names=["slot"])
+        yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(group, list(each.T)).view(np.int64))], names=["h"])
 
 
-def _bitmap(phrases: DataFrame) -> np.ndarray:
-    at = F.col("slot") + 1                             # Spark's bitmaps count from 1
-    parts = phrases.select("grp", "phrase").mapInArrow(_mark, "slot bigint") \
-        .groupBy(F.bitmap_bucket_number(at).alias("part")) \
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    at = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1          # Spark's bitmaps count from 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("part")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:                                    # FILTER_BITS / 32768 rows at most
@@ -166,19 +210,32 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
 
 def phrase_counts(docs: DataFrame, min_count: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(grp, words, f) of the frequent phrases of 1 to ``most`` words, and
-    (grp, n), the number of words of each group. ``docs``: (grp, text)."""
-    schema = "grp string, phrase string, f bigint"
-    frequent, totals, bits = None, None, None
-    for n in range(1, most + 1):
-        counts = docs.mapInArrow(_count(n, bits), schema).groupBy("grp", "phrase").agg(F.sum("f").alias("f"))
+    (grp, n), the number of words of each group. ``docs``: (grp, text).
+
+    Words and pairs, nearly all of them rare, are counted by hash first: the
+    sum of a hash is never below the count of a phrase, so the phrases that are
+    then counted themselves include all frequent ones."""
+    bits: dict[int, np.ndarray] = {}
+    totals = None
+    for n in range(1, min(most, HASHED) + 1):
+        counts = docs.mapInArrow(_count_hashes(n, bits.get(n - 1), CHUNK), "grp string, h bigint, f bigint") \
+            .groupBy("grp", "h").agg(F.sum("f").alias("f"))
         if n == 1:
-            counts = stage(counts, "phrase-words")
-            totals = counts.groupBy("grp").agg(F.sum("f").alias("n"))
-        counts = stage(counts.filter(F.col("f") >= min_count), f"phrase-counts-{n}")
+            counts = stage(counts.filter(F.col("grp").isNotNull() | (F.col("f") >= min_count)), "phrase-words")
+            totals = counts.filter(F.col("grp").isNotNull()).select("grp", F.col("f").alias("n"))
+        bits[n] = _bitmap(counts.filter(F.col("grp").isNull() & (F.col("f") >= min_count)).select("h"))
+    frequent, first = None, 1
+    while first <= most:
+        last = min(max(first, HASHED + 1), most)
+        counts = docs.mapInArrow(_count_phrases(range(first, last + 1), bits, CHUNK), "grp string, phrase string, n int, f bigint") \
+            .groupBy("grp", "phrase", "n").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
+        counts = stage(counts, f"phrase-counts-{last}")
         rows = counts.select("grp", F.split("phrase", " ").alias("words"), "f")
         frequent = rows if frequent is None else frequent.unionByName(rows)
-        if n < most:
-            bits = _bitmap(counts)
+        if last < most:
+            longest = counts.filter(F.col("n") == last).select("grp", "phrase")
+            bits = {last: _bitmap(longest.mapInArrow(_hash_phrases, "h bigint"))}
+        first = last + 1
     return frequent, totals
 
 
@@ -250,6 +307,11 @@ def _layout(frequent: DataFrame, key) -> DataFrame:
     return stream.mapInArrow(_walk(context), WALKED)
 
 
+def score_sql(a: str, parts: str) -> str:
+    """The floored score, in decimals: the product may pass 64 bits."""
+    return f"CAST({SCALE} AS DECIMAL(8, 0)) * CAST({a} AS DECIMAL(20, 0)) div CAST({parts} AS DECIMAL(20, 0))"
+
+
 def collocations(docs: DataFrame, text: str = "text", group: str = "lang", min_count: int = MIN_COUNT,
                  most: int = MOST_WORDS, contained: tuple[int, int] = CONTAINED, top: int | None = TOP) -> DataFrame:
     """Each group's phrases by score, the first ``top`` (None: all): lang,
@@ -268,8 +330,7 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", min_c
     found = found.filter((F.size("words") > 1)
                          & ~(F.lit(contained[1]) * F.col("longer") >= F.lit(contained[0]) * F.col("a")))
     cut = F.expr(f"""array_min(transform(arrays_zip(heads, tails), (x, i) -> struct(
-        CAST({SCALE} AS DECIMAL(8, 0)) * CAST(a AS DECIMAL(20, 0)) div CAST(x.heads + x.tails AS DECIMAL(20, 0)) AS score,
-        i AS k, x.heads AS l, x.tails AS r)))""")
+        {score_sql("a", "x.heads + x.tails")} AS score, i AS k, x.heads AS l, x.tails AS r)))""")
     scored = found.withColumn("cut", cut).select(
         "grp", F.array_join("words", " ").alias("phrase"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
         F.col("cut.score").alias("score"))
