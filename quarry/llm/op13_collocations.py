@@ -50,7 +50,8 @@ CONTAINED = (80, 100)       # dropped if an extension has this share of the coun
 SCALE = 2_000_000
 FILTER_BITS = 1 << 26
 CHUNK = 2 << 20             # bytes of texts counted at once
-HASHED = 2                  # lengths that are counted by hash first
+HASHED = 3                  # lengths that are counted by hash first
+HASH_BITS = 40              # of the hashes that are counted
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 _BREAK = np.zeros(256, bool)
@@ -88,11 +89,11 @@ def _group_hashes(groups: pa.Array) -> np.ndarray:
 
 
 def _phrase_hashes(group: np.ndarray, word_columns: list[np.ndarray]) -> np.ndarray:
-    """Hashes of phrases given by their group's and their words' hashes."""
+    """Hashes (``HASH_BITS`` bits) of phrases given by their group's and their words' hashes."""
     h = group
     for w in word_columns:
         h = mix(h * _STEP + w)
-    return h
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 class Chunk:
@@ -119,7 +120,7 @@ class Chunk:
 
     def marked(self, at: np.ndarray, n: int, bits: np.ndarray) -> np.ndarray:
         """Whether the phrase of ``n`` words at each place may be frequent."""
-        slot = (self.phrase_hashes(at, n) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+        slot = self.phrase_hashes(at, n) & (8 * len(bits) - 1)
         return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
     def both_parts_marked(self, at: np.ndarray, n: int, bits: np.ndarray | None) -> np.ndarray:
@@ -165,8 +166,8 @@ def _count_hashes(n: int, bits: np.ndarray | None, most_bytes: int):
             if n == 1:
                 group, words = np.unique(chunk.group, return_counts=True)
                 groups = pa.concat_arrays([groups, chunk.groups.take(pa.array(group))])
-                h, f = np.concatenate([h, np.zeros(len(group), np.uint64)]), np.concatenate([f, words])
-            yield pa.RecordBatch.from_arrays([groups, pa.array(h.view(np.int64)), pa.array(f.astype(np.int64))],
+                h, f = np.concatenate([h, np.zeros(len(group), np.int64)]), np.concatenate([f, words])
+            yield pa.RecordBatch.from_arrays([groups, pa.array(h), pa.array(f.astype(np.int64))],
                                              names=["grp", "h", "f"])
 
     return run
@@ -194,7 +195,7 @@ def _hash_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         words, _ = hash_words(*text_buffers(batch.column("phrase")))
         each = words.hash.reshape(batch.num_rows, -1)
         group = _group_hashes(groups.dictionary)[groups.indices.to_numpy()]
-        yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(group, list(each.T)).view(np.int64))], names=["h"])
+        yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(group, list(each.T)))], names=["h"])
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -212,7 +213,7 @@ def phrase_counts(docs: DataFrame, min_count: int, most: int) -> tuple[DataFrame
     """(grp, words, f) of the frequent phrases of 1 to ``most`` words, and
     (grp, n), the number of words of each group. ``docs``: (grp, text).
 
-    Words and pairs, nearly all of them rare, are counted by hash first: the
+    Short phrases, nearly all of them rare, are counted by hash first: the
     sum of a hash is never below the count of a phrase, so the phrases that are
     then counted themselves include all frequent ones."""
     bits: dict[int, np.ndarray] = {}
