@@ -61,3 +61,30 @@ def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str],
     if total:
         added.append(F.col("__all").cast("bigint").alias(total))
     return ranked.select(*df.columns[:-1], *added)
+
+
+def ordered_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], values: dict[str, str],
+                 num_partitions: int | None = None) -> DataFrame:
+    """Add, for each ``{value: out}``, the sum of ``value`` over the rows of
+    the group that come before the row in ``order`` (which must tell the rows
+    of a group apart). As ``ordered_rank``, without a task that holds a group:
+    sums inside a range partition, and a prefix sum over the partitions' totals.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True) \
+          .withColumn("__pid", F.spark_partition_id())
+    totals = s.groupBy("__pid", *group).agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(values)])
+    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(F.col("__pid").alias("__opid"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)],
+                         *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__o{i}") for i, _ in enumerate(values)])
+    offs = materialize(offs, "sum-offsets")                      # one row per partition and group
+    inside = Window.partitionBy("__pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = s.withColumns({f"__i{i}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for i, v in enumerate(values)})
+    same = F.col("__pid") == F.col("__opid")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return summed.join(offs, same).select(
+        *df.columns, *[(F.col(f"__i{i}") + F.col(f"__o{i}")).alias(out) for i, out in enumerate(values.values())])

@@ -10,6 +10,7 @@ retry a task, so the outside service can see a call more than once
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import truncate_chars
+from quarry.operators.contract import violations, walk_value
 from quarry.operators.ranking import ordered_rank
+from quarry.operators.segments import batches_by_size
 from quarry.session import ensure_checkpoint_dir
+from quarry.sinks.tables import materialize, write_part
 
 # Limits, skip text, severities and JSON contract of the
 # reference review job.
@@ -66,15 +70,35 @@ REVIEW = T.StructType([
 ])
 TOP_KEYS = ("summary", "detailed_findings", "key_recommendations")
 FINDING_KEYS = tuple(f.name for f in FINDING.fields)
-# Top-level values as raw JSON texts, whatever their type, and each finding
-# as a map of raw texts: for the type checks and for the strict form's "no
-# additional properties" rule.
-_RAW = T.MapType(T.StringType(), T.StringType())
-_FINDING_MAPS = T.StructType([T.StructField("detailed_findings", T.ArrayType(_RAW))])
 REQUIRED = ("file_path", "severity", "line_number", "finding")
 STRICT_REQUIRED = (*REQUIRED, "function_context", "snippet")
 
 
+def review_schema(strict: bool) -> dict:
+    """The contract as a JSON Schema. ``detailed_findings`` without its
+    items' rules (``finding_schema``), so that one bad finding does not fail the answer."""
+    schema = {"type": "object", "required": list(TOP_KEYS), "properties": {
+        "summary": {"type": "string"}, "detailed_findings": {"type": "array"},
+        "key_recommendations": {"type": "array", "items": {"type": "string"}}}}
+    return {**schema, "additionalProperties": False} if strict else schema
+
+
+def finding_schema(strict: bool) -> dict:
+    """The rules of a finding. Optional fields may be null in the lenient form."""
+    text = lambda k: {"type": "string" if strict or k in REQUIRED else ["string", "null"]}
+    schema = {"type": "object", "required": list(STRICT_REQUIRED if strict else REQUIRED), "properties": {
+        **{k: text(k) for k in FINDING_KEYS}, "line_number": {"type": "integer"},
+        "severity": {"type": "string", "enum": list(SEVERITIES)}}}
+    return {**schema, "additionalProperties": False} if strict else schema
+
+
+def answer_schema(strict: bool = True) -> dict:
+    """The whole contract, for ``contract.violations``."""
+    schema = review_schema(strict)
+    properties = {**schema["properties"], "detailed_findings": {"type": "array", "items": finding_schema(strict)}}
+    return {**schema, "properties": properties}
+
+
 def is_blank(text: Column) -> Column:
     """empty or whitespace-only source (any Unicode white space)."""
     return ~F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
@@ -139,6 +163,48 @@ def call_model(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt",
     return df.select(*cols).mapInPandas(run, schema)
 
 
+ANSWER = T.StructType([T.StructField("digest", T.StringType()), T.StructField("response", T.StringType())])
+
+
+def stored_answers(df: DataFrame, path: str) -> DataFrame:
+    """The answers ``(digest, response)`` at ``path``, one for each prompt (of
+    several the smallest); none if nothing was stored yet."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], ANSWER)
+    return spark.read.schema(ANSWER).parquet(path).groupBy("digest").agg(F.min("response").alias("response"))
+
+
+def call_model_once(df: DataFrame, fn: Callable[[str], str], answers: str, run_id: str, prompt: str = "prompt",
+                    keep: Sequence[str] = ("path",), max_concurrency: int = 1) -> DataFrame:
+    """T10 with an answer store: as ``call_model``, but equal prompts are
+    called once, and prompts whose answer is in the table at ``answers`` not
+    at all. New answers are added to the table by run; failed calls are not
+    stored, so the next run tries them again.
+
+    Prompts are told apart by their SHA-256. Each run writes a folder of its
+    own, whose data appears when it is complete, so a run that broke off leaves
+    the answers of the runs before. Two runs at the same time may both call a
+    prompt; either answer then stands for both from the next run on."""
+    digest = F.sha2(F.col(prompt).cast("binary"), 256)
+    asked = df.select(*keep, prompt, digest.alias("__digest"))
+    known = stored_answers(df, answers)
+    todo = asked.filter(F.col(prompt).isNotNull()).groupBy("__digest").agg(F.min(prompt).alias(prompt)) \
+        .join(known.select("digest"), F.col("__digest") == F.col("digest"), "left_anti")
+    # staged: a call is not made again when a later step is recomputed
+    new = materialize(call_model(todo, fn, prompt, keep=["__digest"], max_concurrency=max_concurrency), "new-answers")
+    fresh = new.filter(F.col("error").isNull()).select(F.col("__digest").alias("digest"), "response")
+    if not fresh.isEmpty():
+        write_part(fresh, answers, f"{run_id}-{uuid.uuid4().hex[:8]}")
+    told = stored_answers(df, answers).select("digest", "response", F.lit(None).cast("string").alias("error")).unionByName(
+        new.filter(F.col("error").isNotNull()).select(F.col("__digest").alias("digest"), "response", "error"))
+    out = asked.join(told, F.col("__digest") == F.col("digest"), "left")
+    blank = F.col(prompt).isNull()
+    return out.select(*keep, F.md5(F.col(prompt).cast("binary")).alias("prompt_md5"),
+                      F.when(blank, F.lit(SKIP_TEXT)).otherwise(F.col("response")).alias("response"), "error")
+
+
 def split_status(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K5 (D12): ``(reviews, errors)`` keyed by the full path."""
     ok = results.filter(F.col("error").isNull())
@@ -151,36 +217,24 @@ def parse_reviews(df: DataFrame, text: str = "response") -> DataFrame:
 
     Adds ``review`` (struct), ``is_json`` (well-formed object),
     ``top_ok`` (required top-level keys present, with values of the
-    contract's types) and ``strict_top_ok`` (no key outside the contract).
+    contract's types), ``strict_top_ok`` (no key outside the contract) and, for
+    each finding, ``finding_rules``: its violations of the lenient and of the
+    strict form. The checks are compiled from JSON Schemas (``contract``).
     """
     t = F.col(text)
-    keys = F.json_object_keys(t)
-    kind = lambda key: F.schema_of_variant(F.try_variant_get(F.try_parse_json(t), "$." + key, "variant"))
-    typed = (kind("summary") == "STRING") & kind("detailed_findings").startswith("ARRAY<") \
-        & kind("key_recommendations").startswith("ARRAY<") & F.coalesce(
-            ~F.exists(F.from_json(t, REVIEW)["key_recommendations"], lambda r: r.isNull()), F.lit(False))
-    allowed = F.array(*[F.lit(k) for k in TOP_KEYS])
-    allowed_f = F.array(*[F.lit(k) for k in FINDING_KEYS])
-    extra = F.transform(F.from_json(t, _FINDING_MAPS)["detailed_findings"],
-                        lambda m: F.size(F.array_except(F.map_keys(m), allowed_f)) == 0)
+    none = lambda found: F.coalesce(F.size(found) == 0, F.lit(False))
+    items = F.try_variant_get(F.try_parse_json(t), "$.detailed_findings", "array<variant>")
+    rules = F.transform(items, lambda x: F.struct(
+        walk_value(x, finding_schema(False)).alias("lenient"), walk_value(x, finding_schema(True)).alias("strict")))
     return df.withColumns({
         "review": F.from_json(t, REVIEW),
-        "finding_keys_ok": extra,
-        "is_json": keys.isNotNull(),
-        "top_ok": keys.isNotNull() & F.coalesce(typed, F.lit(False)),
-        "strict_top_ok": keys.isNotNull() & (F.size(F.array_except(keys, allowed)) == 0),
+        "finding_rules": rules,
+        "is_json": F.json_object_keys(t).isNotNull(),
+        "top_ok": none(violations(t, review_schema(False))),
+        "strict_top_ok": none(violations(t, review_schema(True))),
     })
 
 
-def finding_valid(f: Column, strict: bool = False) -> Column:
-    """Required fields present, an integral line number and severity in the enum."""
-    need = STRICT_REQUIRED if strict else REQUIRED
-    ok = F.lit(True)
-    for k in need:
-        ok = ok & f[k].isNotNull()
-    return ok & f["severity"].isin(*SEVERITIES) & (f["line_number"] == F.floor(f["line_number"]))
-
-
 def findings(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per finding (``finding_idx`` 0-based); a review that is
     not valid JSON keeps one row with NULL finding fields, a review without
@@ -188,20 +242,16 @@ def findings(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     also requires ``function_context``, ``snippet`` and no key outside the
     contract, at the top level or inside the finding."""
     pairs = F.arrays_zip(F.col("review.detailed_findings").alias("f"),
-                         F.col("finding_keys_ok").alias("k"))
+                         F.col("finding_rules").alias("k"))
     rows = parsed.select(*keep, "is_json", "top_ok", "strict_top_ok",
                          F.posexplode_outer(F.when(F.col("is_json"), pairs)).alias("finding_idx", "z")) \
         .filter(F.col("finding_idx").isNotNull() | ~F.col("is_json"))
-    rows = rows.select(*keep, "is_json", "top_ok", "strict_top_ok", "finding_idx",
-                       F.col("z.f").alias("f"), F.coalesce(F.col("z.k"), F.lit(False)).alias("keys_ok"))
-    line = F.when(F.col("f.line_number") == F.floor("f.line_number"), F.col("f.line_number")).try_cast("bigint")
-    fields = [line.alias(c) if c == "line_number" else F.col(f"f.{c}") for c in FINDING_KEYS]
+    kept = lambda form: F.coalesce(F.size(f"z.k.{form}") == 0, F.lit(False))
+    line = F.when(F.col("z.f.line_number") == F.floor("z.f.line_number"), F.col("z.f.line_number")).try_cast("bigint")
+    fields = [line.alias(c) if c == "line_number" else F.col(f"z.f.{c}") for c in FINDING_KEYS]
     return rows.select(*keep, "finding_idx", *fields,
-                       (F.col("is_json") & F.col("top_ok") & F.col("f").isNotNull()
-                        & finding_valid(F.col("f"))).alias("is_valid"),
-                       (F.col("is_json") & F.col("top_ok") & F.col("strict_top_ok")
-                        & F.col("keys_ok") & F.col("f").isNotNull()
-                        & finding_valid(F.col("f"), strict=True)).alias("is_strict_valid"))
+                       (F.col("top_ok") & kept("lenient")).alias("is_valid"),
+                       (F.col("top_ok") & F.col("strict_top_ok") & kept("strict")).alias("is_strict_valid"))
 
 
 def severity_rank(sev: Column) -> Column:
@@ -234,34 +284,56 @@ def review_block(name: Column, text: Column) -> Column:
 
 
 def consolidation_batches(reviews: DataFrame, group: Sequence[str], name: str, text: str,
-                          fan_in: int = 8) -> DataFrame:
+                          fan_in: int | None = 8, budget: int | None = None, least: int = 1) -> DataFrame:
     """A13/T15 input: reviews of a group in file-name order (D13), cut into
-    consecutive batches of ``fan_in`` reviews; each batch's text is its
-    review blocks joined by a newline.
+    consecutive batches; each batch's text is its review blocks joined by a
+    newline. A batch takes the next reviews up to ``fan_in`` of them and up to
+    ``budget`` characters of text (None: no such limit), but ``least`` at least;
+    so its text is above the budget only if it holds no more than ``least``.
 
-    Positions come from ``ordered_rank`` (no single task per group); a
-    batch holds at most ``fan_in`` answers, each bounded by the answer
-    limit, so the collected list per batch is bounded.
+    Only names, row numbers and lengths are ranked and batched (no single task
+    per group); the texts are written once, and joined by their number.
     """
-    r = ordered_rank(reviews.select(*group, name, text), group, [name], out="__pos", total="__all")
-    r = r.withColumn("batch", F.floor(F.col("__pos") / fan_in).cast("bigint"))
-    g = r.groupBy(*group, "batch").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("p"),
-                                             review_block(F.col(name), F.col(text)).alias("t"))))
-        .alias("items"), F.max("__all").alias("group_reviews"))
-    return g.select(*group, "batch", F.size("items").cast("bigint").alias("n_reviews"), "group_reviews",
+    group = list(group)
+    if fan_in is None and budget is None:
+        raise ValueError("a batch needs a limit")
+    block = review_block(F.col("__name"), F.col("__text"))
+    held = reviews.select(*group, F.col(name).alias("__name"), F.col(text).alias("__text"),
+                          F.monotonically_increasing_id().alias("__id"))
+    held = materialize(held, "reviews-to-batch")                   # the numbers stay what they are
+    size = (F.char_length(block) + 1).cast("bigint")               # with the newline between blocks
+    narrow = held.select(*group, "__name", "__id", size.alias("__size"))
+    limit = None if budget is None else budget + 1
+    if fan_in is None:
+        placed = batches_by_size(narrow, group, ["__name", "__id"], "__size", limit, least=least)
+    else:
+        placed = ordered_rank(narrow, group, ["__name"], out="pos", total="__all") \
+            .withColumn("batch", F.floor(F.col("pos") / fan_in).cast("bigint")) \
+            .withColumn("batches", F.ceil(F.col("__all") / fan_in).cast("bigint"))
+        # where every batch of fan_in reviews fits, taking reviews while they fit gives the same batches
+        over = limit is not None and not placed.groupBy(*group, "batch").agg(F.sum("__size").alias("s")) \
+            .filter(F.col("s") > limit).isEmpty()
+        if over:
+            placed = batches_by_size(narrow, group, ["__name", "__id"], "__size", limit, most=fan_in, least=least)
+    numbers = placed.select(F.col("__id").alias("__of"), "pos", "batch", "batches")
+    g = held.join(numbers, F.col("__id") == F.col("__of")).groupBy(*group, "batch").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), block.alias("t")))).alias("items"),
+        F.max("batches").alias("group_batches"))
+    return g.select(*group, "batch", F.size("items").cast("bigint").alias("n_reviews"), "group_batches",
                     F.array_join(F.transform("items", lambda x: x["t"]), "\n").alias("text"))
 
 
 def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[str],
                 name: str = "file_name", text: str = "response", fan_in: int = 8,
-                max_chars: int = MAX_CHARS_FOR_FINAL_SUMMARY) -> DataFrame:
-    """Summary per group, built as a tree: batches of ``fan_in``
-    reviews are summarised, then batches of those summaries, until one
+                max_chars: int = MAX_CHARS_FOR_FINAL_SUMMARY, budget: int | None = MAX_CHARS_FOR_FINAL_SUMMARY) -> DataFrame:
+    """Summary per group, built as a tree: batches of reviews are
+    summarised, then batches of those summaries, until one
     remains per group; the result is cut to ``max_chars`` (C16).
 
-    The number of rounds is ``ceil(log_fan_in(reviews per group))``, so
-    ``fan_in`` is 2 at least. A NULL group has its summary like any other.
+    A batch holds up to ``fan_in`` reviews of ``budget`` characters in all,
+    so a prompt is bounded: a review above the budget goes alone, and a later
+    round takes two summaries at least, so that every round ends with half as
+    many. ``fan_in`` is 2 at least. A NULL group has its summary like any other.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more: one review per batch never ends in one summary")
@@ -270,13 +342,13 @@ def consolidate(reviews: DataFrame, fn: Callable[[str], str], group: Sequence[st
     cur = reviews.select(*group, F.col(name).alias("__name"), F.col(text).alias("__text"))
     while True:
         level += 1
-        b = consolidation_batches(cur, group, "__name", "__text", fan_in)
+        b = consolidation_batches(cur, group, "__name", "__text", fan_in, budget, least=1 if level == 1 else 2)
         b = b.withColumn("prompt", F.replace(F.lit(SUMMARY_PROMPT), F.lit(SUMMARY_PLACEHOLDER),
                                              F.col("text")))
         # Each round's answers are checkpointed to the shared folder: the
         # model is not called again when a later stage is recomputed.
-        done = call_model(b, fn, "prompt", keep=[*group, "batch", "group_reviews"]).checkpoint(eager=True)
-        several = F.col("group_reviews") > fan_in        # more than one batch
+        done = call_model(b, fn, "prompt", keep=[*group, "batch", "group_batches"]).checkpoint(eager=True)
+        several = F.col("group_batches") > 1
         answer = F.coalesce("response", "error")
         fin = done.filter(~several).select(
             *group, F.lit(level).alias("levels"), truncate_chars(answer, max_chars).alias("summary"),

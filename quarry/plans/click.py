@@ -327,29 +327,40 @@ def q14(spark, root):
     return not_in(t.part, "p_partkey", sub, "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q14b_not_in_spark_sql", """
-SELECT p_name FROM part
+_PART_KEYS = "SELECT CASE WHEN p_size = 7 THEN NULL ELSE p_partkey END AS p_partkey, p_name FROM part"
+
+
+@query("q14b_not_in_spark_sql", f"""
+SELECT p_name FROM ({_PART_KEYS})
 WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity >= 50 AND l_discount > 0.2 THEN NULL ELSE l_partkey END
                         FROM lineitem WHERE l_quantity > 49)
 UNION ALL
-SELECT 'with a NULL key: ' || count(*) FROM part
+SELECT 'with a NULL key: ' || count(*) FROM ({_PART_KEYS})
 WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity >= 50 THEN NULL ELSE l_partkey END
-                        FROM lineitem WHERE l_quantity > 49)""")
+                        FROM lineitem WHERE l_quantity > 49)
+UNION ALL
+SELECT 'not in nothing: ' || count(*) || ', of NULL keys ' || count_if(p_partkey IS NULL) FROM ({_PART_KEYS})
+WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 99)""")
 def q14b(spark, root):
-    """S2 + J8 as SQL on registered views, without and with a NULL key: NOT
-    EXISTS plans as a shuffled anti join, and a scalar subquery adds the NULL
-    rule, so nothing needs a broadcast."""
+    """S2 + J8 as SQL on registered views, without keys, without and with a
+    NULL key, and with NULL keys outside: NOT EXISTS plans as a shuffled anti
+    join, and a scalar subquery of one row adds the NULL rules, so nothing needs a broadcast."""
     from quarry.sources.tables import register_tables
     register_tables(spark, root, ("part", "lineitem"))
 
-    def not_in_keys(condition: str, result: str) -> str:
-        keys = f"SELECT CASE WHEN {condition} THEN NULL ELSE l_partkey END AS k FROM lineitem WHERE l_quantity > 49"
-        return f"""SELECT {result} FROM part
+    def not_in_keys(key: str, where: str, result: str) -> str:
+        keys = f"SELECT {key} AS k FROM lineitem WHERE {where}"
+        return f"""SELECT {result} FROM ({_PART_KEYS})
             WHERE NOT EXISTS (SELECT 1 FROM ({keys}) s WHERE s.k = p_partkey)
-              AND (SELECT count_if(k IS NULL) = 0 FROM ({keys}) s)"""
-
-    return spark.sql(not_in_keys("l_quantity >= 50 AND l_discount > 0.2", "p_name") + "\nUNION ALL\n"
-                     + not_in_keys("l_quantity >= 50", "concat('with a NULL key: ', count(*)) AS p_name"))
+              AND (SELECT CASE WHEN count(*) = 0 THEN 2 WHEN count_if(k IS NULL) = 0 THEN 1 ELSE 0 END FROM ({keys}) s)
+                  > CASE WHEN p_partkey IS NULL THEN 1 ELSE 0 END"""
+
+    rare, often = (f"CASE WHEN l_quantity >= 50{c} THEN NULL ELSE l_partkey END" for c in (" AND l_discount > 0.2", ""))
+    return spark.sql("\nUNION ALL\n".join([
+        not_in_keys(rare, "l_quantity > 49", "p_name"),
+        not_in_keys(often, "l_quantity > 49", "concat('with a NULL key: ', count(*)) AS p_name"),
+        not_in_keys("l_partkey", "l_quantity > 99",
+                    "concat('not in nothing: ', count(*), ', of NULL keys ', count_if(p_partkey IS NULL)) AS p_name")]))
 
 
 @query("q15_training_removed", f"""

@@ -153,11 +153,20 @@ def _section(line, i):
              .otherwise(F.lit("")))
 
 
-def _path(doc_id, k):
+def _file(doc_id, k):
+    """A file's path, and the path as git writes it after ``a/`` and ``b/``:
+    every fifth name holds a blank (a tab ends it on the name lines), every
+    fifth is quoted."""
     ext = F.element_at(F.array(*[F.lit(x) for x in DIFF_EXTS]),
                        ((doc_id + k) % len(DIFF_EXTS) + 1).cast("int"))
-    return F.concat(F.lit("doc"), doc_id.cast("string"), F.lit("/part"), k.cast("string"),
-                    F.lit("."), ext)
+    kind = (doc_id + k) % 5
+    stem = lambda odd: F.when(kind == 1, F.lit("my part")).when(kind == 2, F.lit(odd)).otherwise(F.lit("part"))
+    whole = lambda odd: F.concat(F.lit("doc"), doc_id.cast("string"), F.lit("/"), stem(odd), k.cast("string"), F.lit("."), ext)
+    path, written = whole("p\u00e4rt"), whole(r"p\303\244rt")
+    side = lambda x: F.when(kind == 2, F.concat(F.lit(f'"{x}/'), written, F.lit('"'))).otherwise(F.concat(F.lit(f"{x}/"), written))
+    tab = F.when(kind == 1, F.lit("\t")).otherwise(F.lit(""))
+    return path, F.concat(F.lit("diff --git "), side("a"), F.lit(" "), side("b"), F.lit("\n--- "), side("a"), tab,
+                          F.lit("\n+++ "), side("b"), tab, F.lit("\n"))
 
 
 def diffs(t: Tables) -> DataFrame:
@@ -171,9 +180,7 @@ def diffs(t: Tables) -> DataFrame:
 
     def hunk(line, i):
         k = F.floor(i / FILE_LINES).cast("bigint")
-        p = _path(F.col("doc_id"), k)
-        header = F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n--- a/"), p,
-                          F.lit("\n+++ b/"), p, F.lit("\n"))
+        _, header = _file(F.col("doc_id"), k)
         sec = _section(line, i)
         n = (i + 1).cast("string")
         at = F.concat(F.lit("@@ -"), n, F.lit(",0 +"), n, F.lit(",1 @@"),
@@ -187,18 +194,28 @@ def diffs(t: Tables) -> DataFrame:
 
 
 # Per-line view of the same diffs, for oracles that check the parse.
-DIFF_LINES_SQL = f"""
+DIFF_LINES_SQL = rf"""
 doc_lines AS (
   SELECT doc_id, source, lang, unnest(arr) AS line, generate_subscripts(arr, 1) - 1 AS i
   FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS arr FROM documents)),
+diff_names AS (
+  SELECT *, i // {FILE_LINES} AS file_idx, (doc_id + i // {FILE_LINES}) % 5 AS kind,
+         (i // {FILE_LINES}) || '.' || ['{DIFF_EXTS[0]}', '{DIFF_EXTS[1]}', '{DIFF_EXTS[2]}'][((doc_id + i // {FILE_LINES}) % 3) + 1] AS tail
+  FROM doc_lines),
 diff_lines AS (
-  SELECT doc_id, source, lang, i, line, i // {FILE_LINES} AS file_idx,
-         'doc' || doc_id || '/part' || (i // {FILE_LINES}) || '.' ||
-            ['{DIFF_EXTS[0]}', '{DIFF_EXTS[1]}', '{DIFF_EXTS[2]}'][((doc_id + i // {FILE_LINES}) % 3) + 1] AS path,
+  SELECT doc_id, source, lang, i, line, file_idx,
+         'doc' || doc_id || '/' || CASE kind WHEN 1 THEN 'my part' WHEN 2 THEN 'pärt' ELSE 'part' END || tail AS path,
+         CASE kind WHEN 1 THEN replace('diff --git a/@ b/@' || chr(10) || '--- a/@' || chr(9) || chr(10) || '+++ b/@' || chr(9) || chr(10),
+                                       '@', 'doc' || doc_id || '/my part' || tail)
+                   WHEN 2 THEN replace('diff --git "a/@" "b/@"' || chr(10) || '--- "a/@"' || chr(10) || '+++ "b/@"' || chr(10),
+                                       '@', 'doc' || doc_id || '/p\303\244rt' || tail)
+                   ELSE replace('diff --git a/@ b/@' || chr(10) || '--- a/@' || chr(10) || '+++ b/@' || chr(10),
+                                '@', 'doc' || doc_id || '/part' || tail) END AS hdr,
+         CASE kind WHEN 1 THEN 12 ELSE 8 END AS hdr_tokens,
          CASE WHEN substr(line, 1, 1) = 'A' THEN 'def block_' || i || '():'
               WHEN substr(line, 1, 1) = 'T' THEN 'class Block' || i || ':'
               ELSE '' END AS section
-  FROM doc_lines),
+  FROM diff_names),
 diff_hunks AS (
   SELECT *, '@@ -' || (i + 1) || ',0 +' || (i + 1) || ',1 @@' ||
             CASE WHEN section = '' THEN '' ELSE ' ' || section END || chr(10) || '+' || line AS hunk

@@ -18,12 +18,12 @@ from quarry.operators.clean import CleanSpec, clean_members, drop_columns
 from quarry.operators.diffs import create_chunks, read_chunks, write_chunks
 from quarry.operators.features import assemble
 from quarry.operators.label import add_existence_label, distinct_keys_since, label_counts
-from quarry.operators.ml import (compare_models, fit_final, fold_col, load_model, metrics,
-                                 save_model, score, stratified_split, transform_labelled,
-                                 with_class_weights)
+from quarry.operators.ml import (candidates, cross_validate, fit_final, fold_col, load_model,
+                                 metrics, ranked_models, save_model, score, spread_of_folds,
+                                 stratified_split, transform_labelled, with_class_weights)
 from quarry.operators.profile import drop_sparse
 from quarry.operators.relational import remove_keys
-from quarry.operators.reviews import (ERROR_TEXT, build_prompts, call_model, consolidate, findings,
+from quarry.operators.reviews import (ERROR_TEXT, build_prompts, call_model, call_model_once, consolidate, findings,
                                       parse_reviews, split_status, trim_by_severity)
 from quarry.sinks.tables import materialize, overwrite, staged_scope, write_part
 from quarry.sources.tables import part_filter, snapshot_scan
@@ -84,19 +84,18 @@ def train_job(spark: SparkSession, data: DataFrame, key: str, label: str,
               trained_ids_path: str | None = None) -> tuple[str, DataFrame]:
     """Model development: stratified split (99.5 % train), 5 hash folds,
     class weights, compare candidates by CV AUC, refit the best on all rows,
-    save the model, write a metrics table (CV rows, train and hold-out row)
-    and the ids of the training split. Any label with two values will do;
+    save the model, write a metrics table (a row per candidate and fold, their
+    mean and deviation, a train and a hold-out row) and the ids of the training split. Any label with two values will do;
     rows without a label are left out."""
     with staged_scope(spark):
         d = data.filter(F.col(label).isNotNull()).withColumn("fold", fold_col(F.col(key)))
         d = materialize(stratified_split(with_class_weights(d, label), key, label), "train")
         train, hold = d.filter("is_train"), d.filter("NOT is_train")
-        ranked = compare_models(train, features, label=label, include=include)
-        best = ranked[0][0]
+        cv = cross_validate(train, features, label=label, include=include)
+        best = ranked_models(cv, candidates(label, "weight"), include)[0][0]
         fitted = fit_final(train, best, features, label=label)
         save_model(fit_final(d, best, features, label=label), model_path)
-        cv = spark.createDataFrame([(n, "cv", a) for n, a in ranked], "model string, stage string, auc double")
-        table = cv
+        table = spread_of_folds(cv)
         for part, stage in ((train, "train"), (hold, "holdout")):
             table = table.unionByName(metrics(transform_labelled(fitted, part), model=best, stage=stage), allowMissingColumns=True)
         if trained_ids_path:
@@ -104,7 +103,7 @@ def train_job(spark: SparkSession, data: DataFrame, key: str, label: str,
         if metrics_path:
             overwrite(table, metrics_path)
             return best, spark.read.parquet(metrics_path)
-        rows = table.collect()                            # a row per candidate and two more
+        rows = table.collect()                            # a row per candidate and fold and some more
         return best, spark.createDataFrame(rows, table.schema)
 
 
@@ -170,11 +169,14 @@ def review_tables(results: DataFrame, keep: Sequence[str]) -> dict[str, DataFram
 
 
 def review_job(spark: SparkSession, src_dir: str, out_path: str, model: Callable[[str], str],
-               group: str = "run", fan_in: int = 8) -> dict[str, DataFrame]:
+               group: str = "run", fan_in: int = 8, answers: str | None = None,
+               run_id: str = "run") -> dict[str, DataFrame]:
     """Reviewer: every ``.py``/``.sql`` file of a folder -> prompt -> model
     (per partition, failures isolated) -> reviews / errors / findings
     tables -> consolidated summary (tree of summaries, cut to 65,000). A file
-    that cannot be read is an error row. Returns reads of the tables."""
+    that cannot be read is an error row. With ``answers`` (a table's path) equal
+    prompts are called once, and a later run calls only prompts without an
+    answer there. Returns reads of the tables."""
     keep = (group, "file_name", "path")
     with staged_scope(spark):
         src = read_text_dir(spark, src_dir).withColumn(group, F.lit(src_dir))
@@ -182,7 +184,10 @@ def review_job(spark: SparkSession, src_dir: str, out_path: str, model: Callable
         unread = src.filter(F.col("read_error").isNotNull()).select(
             *keep, F.lit(None).cast("string").alias("prompt_md5"), F.lit(None).cast("string").alias("response"),
             F.col("read_error").alias("error"))
-        results = call_model(build_prompts(good), model, keep=keep).unionByName(unread)
+        prompts = build_prompts(good)
+        called = call_model(prompts, model, keep=keep) if answers is None else \
+            call_model_once(prompts, model, answers, run_id, keep=keep)
+        results = called.unionByName(unread)
         results = materialize(results, "reviews")      # model answers are never recomputed
         answers = results.withColumn("response", F.coalesce(
             F.col("response"), F.concat(F.lit(ERROR_TEXT), F.col("error"))))

@@ -17,8 +17,9 @@ from quarry.functions.text import (WORD_PUNCT, base_name, stem, token_count, tru
 from quarry.operators.diffs import (create_chunks, is_reviewable, plan_levels, split_files,
                                     with_hunks)
 from quarry.operators.ml import fold_col, stratified_split
+from quarry.operators.contract import violations
 from quarry.operators.packing import pack_chunks
-from quarry.operators.reviews import (ERROR_TEXT, REVIEW_PROMPT, build_prompts, call_model,
+from quarry.operators.reviews import (ERROR_TEXT, REVIEW_PROMPT, answer_schema, build_prompts, call_model,
                                       consolidate, consolidation_batches, findings,
                                       parse_reviews, stub_reviewer, trim_by_severity)
 from quarry.plans.jobs import review_tables
@@ -81,7 +82,7 @@ SELECT 'doc' || doc_id AS diff_id, CAST(file_idx AS INTEGER) AS file_idx, path,
        count(*) AS n_hunks,
        CAST(count_if(regexp_matches(trim(section), '^(class|def)\s+')) AS BIGINT) AS n_blocks,
        CAST(sum(len(regexp_extract_all(hunk, '\S+'))) AS BIGINT) AS hunk_tokens,
-       CAST(8 AS BIGINT) AS header_tokens
+       CAST(max(hdr_tokens) AS BIGINT) AS header_tokens
 FROM diff_hunks GROUP BY doc_id, file_idx, path""")
 def q33(spark, root):
     files = with_hunks(split_files(diffs(Tables(spark, root))))
@@ -132,13 +133,12 @@ def q35(spark, root):
 
 
 # q36 / q37 ----------------------------------------------------------------
-_HDR = "'diff --git a/' || path || ' b/' || path || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path || chr(10)"
 _DIFF_TOKENS_SQL = rf"""
-hw AS (SELECT doc_id, file_idx, path, i, hunk, section,
+hw AS (SELECT doc_id, file_idx, path, hdr, hdr_tokens, i, hunk, section,
               CAST(len(regexp_extract_all(hunk, '\S+')) AS BIGINT) AS w,
               regexp_matches(trim(section), '^(class|def)\s+') AS b,
               i - file_idx * {FILE_LINES} AS pos FROM diff_hunks),
-files AS (SELECT doc_id, file_idx, path, 8 + sum(w) AS file_tokens FROM hw GROUP BY 1, 2, 3),
+files AS (SELECT doc_id, file_idx, path, max(hdr_tokens) + sum(w) AS file_tokens FROM hw GROUP BY 1, 2, 3),
 dt AS (SELECT doc_id, sum(file_tokens) AS diff_tokens FROM files GROUP BY 1),
 big AS (SELECT f.* FROM files f JOIN dt USING (doc_id)
         WHERE dt.diff_tokens > {LEVEL_BUDGET} AND (f.path LIKE '%.py' OR f.path LIKE '%.sql'))"""
@@ -157,68 +157,79 @@ def q36(spark, root):
                      .otherwise(F.col("file_tokens")).alias("tokens"))
 
 
-@query("q37_chunk_text", rf"""WITH RECURSIVE {DIFF_LINES_SQL}, {_DIFF_TOKENS_SQL},
+CHUNKS_SQL = rf"""WITH RECURSIVE {DIFF_LINES_SQL}, {_DIFF_TOKENS_SQL},
 walk AS (
   SELECT h.doc_id, h.file_idx, h.pos, h.w, 1 AS chunk, h.w AS cur
   FROM hw h JOIN big USING (doc_id, file_idx) WHERE big.file_tokens > {LEVEL_BUDGET} AND h.pos = 0
   UNION ALL
   SELECT n.doc_id, n.file_idx, n.pos, n.w,
-         CASE WHEN n.b OR 8 + walk.cur + n.w > {LEVEL_BUDGET} THEN walk.chunk + 1 ELSE walk.chunk END,
-         CASE WHEN n.b OR 8 + walk.cur + n.w > {LEVEL_BUDGET} THEN n.w ELSE walk.cur + n.w END
+         CASE WHEN n.b OR n.hdr_tokens + walk.cur + n.w > {LEVEL_BUDGET} THEN walk.chunk + 1 ELSE walk.chunk END,
+         CASE WHEN n.b OR n.hdr_tokens + walk.cur + n.w > {LEVEL_BUDGET} THEN n.w ELSE walk.cur + n.w END
   FROM walk JOIN hw n ON n.doc_id = walk.doc_id AND n.file_idx = walk.file_idx AND n.pos = walk.pos + 1),
 chunks AS (
   SELECT 'doc' || h.doc_id AS diff_id, 1 AS level, CAST(NULL AS VARCHAR) AS path, 0 AS part,
          'full_diff_chunk_0.diff' AS chunk_name,
-         string_agg(CASE WHEN h.i % {FILE_LINES} = 0 THEN {_HDR.replace('path', 'h.path')} ELSE '' END
+         string_agg(CASE WHEN h.i % {FILE_LINES} = 0 THEN h.hdr ELSE '' END
                     || h.hunk || chr(10), '' ORDER BY h.i) AS text,
          CAST(max(dt.diff_tokens) AS BIGINT) AS tokens
   FROM hw h JOIN dt USING (doc_id) WHERE dt.diff_tokens <= {LEVEL_BUDGET} GROUP BY h.doc_id
   UNION ALL
   SELECT 'doc' || h.doc_id, 2, h.path, 0, regexp_replace(h.path, '^.*/', '') || '.diff',
-         {_HDR.replace('path', 'h.path')} || string_agg(h.hunk, chr(10) ORDER BY h.i),
+         max(h.hdr) || string_agg(h.hunk, chr(10) ORDER BY h.i),
          CAST(max(big.file_tokens) AS BIGINT)
   FROM hw h JOIN big USING (doc_id, file_idx) WHERE big.file_tokens <= {LEVEL_BUDGET}
   GROUP BY h.doc_id, h.file_idx, h.path
   UNION ALL
   SELECT 'doc' || w.doc_id, 3, h.path, w.chunk,
          regexp_replace(h.path, '^.*/', '') || '_part_' || w.chunk || '.diff',
-         {_HDR.replace('path', 'h.path')} || string_agg(h.hunk, chr(10) ORDER BY h.i),
+         max(h.hdr) || string_agg(h.hunk, chr(10) ORDER BY h.i),
          CAST(sum(w.w) AS BIGINT)
   FROM walk w JOIN hw h ON h.doc_id = w.doc_id AND h.file_idx = w.file_idx AND h.pos = w.pos
   GROUP BY w.doc_id, w.file_idx, h.path, w.chunk)
 SELECT diff_id, level, path, part, chunk_name, CAST(length(text) AS BIGINT) AS n_chars, tokens,
        md5(text) AS text_md5
-FROM chunks""")
+FROM chunks"""
+
+
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("diff_id", "level", "path", "part", "chunk_name",
+                         F.length("text").cast("bigint").alias("n_chars"), "tokens",
+                         F.md5("text").alias("text_md5"))
+
+
+@query("q37_chunk_text", CHUNKS_SQL)
 def q37(spark, root):
-    c = create_chunks(diffs(Tables(spark, root)), LEVEL_BUDGET)
-    return c.select("diff_id", "level", "path", "part", "chunk_name",
-                    F.length("text").cast("bigint").alias("n_chars"), "tokens",
-                    F.md5("text").alias("text_md5"))
+    return chunk_digests(create_chunks(diffs(Tables(spark, root)), LEVEL_BUDGET))
 
 
 # q55 ---------------------------------------------------------------------
 PATCH_BUDGET = 40
-
-
-@query("q55_whole_patches", f"""
-WITH p AS (SELECT doc_id, md5(text) AS h FROM documents),
-patches AS (
-  SELECT doc_id, 'new.py' AS path, 'diff --git a/old.py b/new.py\nsimilarity index 90%\nrename from old.py\nrename to new.py\n'
-    || '--- a/old.py\n+++ b/new.py\n@@ -1 +1 @@ def f():\n-x\n+' || h AS text FROM p
-  UNION ALL SELECT doc_id, 'run.sql', 'diff --git a/run.sql b/run.sql\nold mode 100644\nnew mode 100755' FROM p
-  UNION ALL SELECT doc_id, 'gone.py', 'diff --git a/gone.py b/gone.py\ndeleted file mode 100644\n--- a/gone.py\n+++ /dev/null\n'
-    || '@@ -1,2 +0,0 @@\n-' || h || '\n-y' FROM p)
-SELECT 'doc' || doc_id AS diff_id, 2 AS level, path, path || '.diff' AS chunk_name, md5(text) AS text_md5 FROM patches""")
+# (path, patch): {h} stands for the MD5 of the document's text.
+PATCHES = (
+    ("new.py", "diff --git a/old.py b/new.py\nsimilarity index 90%\nrename from old.py\nrename to new.py\n"
+               "--- a/old.py\n+++ b/new.py\n@@ -1 +1 @@ def f():\n-x\n+{h}\n"),
+    ("run.sql", "diff --git a/run.sql b/run.sql\nold mode 100644\nnew mode 100755\n"),
+    ("gone.py", "diff --git a/gone.py b/gone.py\ndeleted file mode 100644\n--- a/gone.py\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-{h}\n-y\n"),
+    ("x z.py", "diff --git a/x y.py b/x z.py\nsimilarity index 100%\nrename from x y.py\nrename to x z.py\n"),
+    ('ü "q".py', 'diff --git "a/\\303\\274 \\"q\\".py" "b/\\303\\274 \\"q\\".py"\nnew file mode 100644\n--- /dev/null\n'
+                      '+++ "b/\\303\\274 \\"q\\".py"\n@@ -0,0 +1 @@\n+{h}\n'),
+    ("a b.sql", "diff --git a/a b.sql b/a b.sql\nold mode 100644\nnew mode 100755\n"),
+    # a removed and an added line that look like another patch's header
+    ("h.py", "diff --git a/h.py b/h.py\n--- a/h.py\n+++ b/h.py\n@@ -1 +1 @@\n--- a/x.py\n+++ b/y.py\n@@ -5 +5 @@\n-p\n+{h}\n"),
+    # a patch without a git line
+    ("plain.py", "--- a/plain.py\t2024-01-01\n+++ b/plain.py\t2024-01-02\n@@ -1,2 +1,2 @@\n same\n-a\n+{h}\n"),
+)
+SIGNATURE = "-- \n2.40.1\n"
+
+
+@query("q55_whole_patches", "\nUNION ALL ".join(
+    f"SELECT 'doc' || doc_id AS diff_id, 2 AS level, {sql_str(path)} AS path, {sql_str(path.rsplit('/', 1)[-1] + '.diff')} AS chunk_name, "
+    f"md5(replace({sql_str(patch[:-1])}, '{{h}}', md5(text))) AS text_md5 FROM documents" for path, patch in PATCHES))
 def q55(spark, root):
-    """T5-T8 on a rename, a mode change and a deletion for every document:
-    each chunk is the whole patch."""
-    h = F.md5("text")
-    text = F.concat(
-        F.lit("diff --git a/old.py b/new.py\nsimilarity index 90%\nrename from old.py\nrename to new.py\n"
-              "--- a/old.py\n+++ b/new.py\n@@ -1 +1 @@ def f():\n-x\n+"), h,
-        F.lit("\ndiff --git a/run.sql b/run.sql\nold mode 100644\nnew mode 100755\n"
-              "diff --git a/gone.py b/gone.py\ndeleted file mode 100644\n--- a/gone.py\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-"), h,
-        F.lit("\n-y\n"))
+    """T1, T5-T8 on renames, mode changes, a deletion, quoted names and names
+    with blanks, lines like headers and a patch without a git line, for every
+    document: each chunk is the whole patch."""
+    text = F.replace(F.lit("".join(patch for _, patch in PATCHES) + SIGNATURE), F.lit("{h}"), F.md5("text"))
     docs = Tables(spark, root).documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("diff_id"),
                                                 text.alias("text"))
     return create_chunks(docs, PATCH_BUDGET).select("diff_id", "level", "path", "chunk_name", F.md5("text").alias("text_md5"))
@@ -357,6 +368,25 @@ def q39(spark, root):
     return found_findings(Tables(spark, root))
 
 
+@query("q62_contract_violations", f"""WITH {REVIEW_JSON_SQL},
+t AS (SELECT a.doc_id, json_valid(a.response) AS ok, l.toxic, l.quality, d.lang, a.doc_id % 11 AS k
+      FROM answers a JOIN labels l USING (doc_id) JOIN documents d USING (doc_id)),
+v AS (
+  SELECT doc_id, '$: json' AS violation FROM t WHERE NOT ok
+  UNION ALL SELECT doc_id, '$.summary: type' FROM t WHERE ok AND k = 2
+  UNION ALL SELECT doc_id, '$.detailed_findings[0].severity: enum' FROM t WHERE ok AND k <> 0 AND toxic = 1
+  UNION ALL SELECT doc_id, '$.detailed_findings[0].note: additionalProperties' FROM t WHERE ok AND k <> 0 AND lang = 'es'
+  UNION ALL SELECT doc_id, '$.detailed_findings[1].line_number: required' FROM t WHERE ok AND k <> 0 AND quality <> 1
+  UNION ALL SELECT doc_id, '$.detailed_findings[1].function_context: required' FROM t WHERE ok AND k <> 0
+  UNION ALL SELECT doc_id, '$.key_recommendations: type' FROM t WHERE ok AND k = 3
+  UNION ALL SELECT doc_id, '$.extra: additionalProperties' FROM t WHERE ok AND lang = 'fr')
+SELECT doc_id, violation FROM v""")
+def q62(spark, root):
+    """Each violation of the strict contract with its path."""
+    j = review_json(Tables(spark, root))
+    return j.select("doc_id", F.explode(violations(F.col("response"), answer_schema(strict=True))).alias("violation"))
+
+
 @query("q40_severity_trim", f"""WITH {REVIEW_JSON_SQL},
 ranked AS (
   SELECT doc_id, finding_idx, severity, finding,
@@ -395,6 +425,33 @@ def q41(spark, root):
                     F.md5("text").alias("text_md5"))
 
 
+# q59 ---------------------------------------------------------------------
+BATCH_BUDGET, BATCH_MOST = 9_000, 12
+
+
+@query("q59_batches_by_size", f"""WITH RECURSIVE {SOURCE_FILES_SQL},
+blocks AS (
+  SELECT source, '--- Review for ' || file_name || ' ---' || chr(10) || text || chr(10) AS block,
+         row_number() OVER (PARTITION BY source ORDER BY file_name) - 1 AS pos FROM source_files),
+sized AS (SELECT source, pos, length(block) + 1 AS size FROM blocks),
+walk AS (
+  SELECT source, pos, 0 AS batch, size AS used, 1 AS n FROM sized WHERE pos = 0
+  UNION ALL
+  SELECT s.source, s.pos, CASE WHEN used + size > {BATCH_BUDGET + 1} OR n = {BATCH_MOST} THEN batch + 1 ELSE batch END,
+         CASE WHEN used + size > {BATCH_BUDGET + 1} OR n = {BATCH_MOST} THEN size ELSE used + size END,
+         CASE WHEN used + size > {BATCH_BUDGET + 1} OR n = {BATCH_MOST} THEN 1 ELSE n + 1 END
+  FROM walk JOIN sized s ON s.source = walk.source AND s.pos = walk.pos + 1)
+SELECT source, CAST(batch AS BIGINT) AS batch, count(*) AS n_reviews,
+       CAST(length(string_agg(block, chr(10) ORDER BY pos)) AS BIGINT) AS n_chars,
+       md5(string_agg(block, chr(10) ORDER BY pos)) AS text_md5
+FROM walk JOIN blocks USING (source, pos) GROUP BY source, batch""")
+def q59(spark, root):
+    """Batches by size and number; a text above the budget goes alone."""
+    b = consolidation_batches(source_files(Tables(spark, root)), ["source"], "file_name", "text", BATCH_MOST, BATCH_BUDGET)
+    return b.select("source", "batch", "n_reviews", F.length("text").cast("bigint").alias("n_chars"),
+                    F.md5("text").alias("text_md5"))
+
+
 # q42 ---------------------------------------------------------------------
 @query("q42_safe_arith", r"""
 WITH x AS (

@@ -67,7 +67,12 @@ def part_filter(df: DataFrame, key: str, num_parts: int, part: int) -> DataFrame
     is the default everywhere in this library."""
     if not 0 <= part < num_parts:
         raise ValueError("part must be in [0, num_parts)")
-    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(num_parts)) == part)
+    return df.filter(part_of(key, num_parts) == part)
+
+
+def part_of(key: str, num_parts: int) -> Column:
+    """The number of a row's part, for parts written by one pass."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(num_parts)).cast("int")
 
 
 # The 8-column contact table definition from the reference DDL.
