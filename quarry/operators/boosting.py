@@ -71,7 +71,7 @@ class _BoostingParams(HasFeaturesCol, HasLabelCol, HasWeightCol, HasMaxIter):
     minHessian = Param(Params._dummy(), "minHessian", "least sum of Hessians of a leaf", TypeConverters.toFloat)
 
     def _defaults(self):
-        self._setDefault(featuresCol="features", labelCol="label", maxIter=8, maxLeaves=8, maxBins=32, stepSize=0.3,
+        self._setDefault(featuresCol="features", labelCol="label", maxIter=5, maxLeaves=8, maxBins=32, stepSize=0.5,
                          regParam=1.0, minHessian=1.0)
 
 
@@ -80,8 +80,8 @@ class HistogramBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Defau
     missing weight counts 1; features must not be missing."""
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", weightCol=None, maxIter=8, maxLeaves=8, maxBins=32,
-                 stepSize=0.3, regParam=1.0, minHessian=1.0):
+    def __init__(self, *, featuresCol="features", labelCol="label", weightCol=None, maxIter=5, maxLeaves=8, maxBins=32,
+                 stepSize=0.5, regParam=1.0, minHessian=1.0):
         super().__init__()
         self._defaults()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})

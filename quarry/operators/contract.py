@@ -29,7 +29,7 @@ def _is(kind: Column, value: Column, name: str) -> Column:
     as_number = F.try_variant_get(value, "$", "double")
     return {
         "string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID", "number": number,
-        "integer": number & F.coalesce(as_number == F.floor(as_number), F.lit(False)),
+        "integer": number & F.coalesce(as_number == F.rint(as_number), F.lit(False)),
         "array": kind.startswith("ARRAY<"), "object": kind.startswith("OBJECT<"),
     }[name]
 

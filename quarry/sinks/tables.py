@@ -51,15 +51,16 @@ _SCOPES: list[list[str]] = []
 
 
 @contextmanager
-def staged_scope(spark: SparkSession) -> Iterator[None]:
+def staged_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Delete what was staged inside when the block ends. For jobs whose
-    results are written before that; not for a frame that is still lazy."""
+    results are written before that; not for a frame that is still lazy.
+    Yields the list of paths, from which the block may take what is to stay."""
     staged: list[str] = []
     _SCOPES.append(staged)
     try:
-        yield
+        yield staged
     finally:
-        _SCOPES.remove(staged)
+        _SCOPES[:] = [s for s in _SCOPES if s is not staged]
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in staged:
             p = jvm.org.apache.hadoop.fs.Path(path)
