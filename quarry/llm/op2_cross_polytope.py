@@ -1,16 +1,21 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each of several tables rotates unit vectors by a fast Hadamard
-pseudo-rotation (three rounds of random signs and a Walsh-Hadamard transform)
-and hashes a vector to its nearest signed axis. Every candidate is stored in
-one bucket of each table; a query probes, in each table, the buckets of its
-nearest signed axes. All members of a probed bucket are candidates and are
+Each of several tables rotates unit vectors by fast Hadamard pseudo-rotations
+(three rounds of random signs and a Walsh-Hadamard transform) and hashes a
+vector to the nearest signed axis of each rotation. A table takes as many
+rotations as leave about a quarter of a row for a bucket (``rotations_for``),
+so buckets become finer as rows become more. Every candidate is stored in one
+bucket of each table; a query probes, in each table, the buckets that lose
+least: the margin of an axis is how far the query's coordinate there falls
+short of its longest one, and combinations of axes are probed in order of the
+sum of squared margins. All members of a probed bucket are candidates and are
 reranked by the exact cosine.
 
-Members and queries of a bucket meet in blocks of bounded size, so a hot
-bucket is split over many tasks; a block returns no more than k rows a
-query. The only thing broadcast is the number of rows of each bucket,
-``tables * 2 * dimension`` rows at most.
+Members and queries meet by table and first axis, in blocks of bounded size, so
+a hot bucket is split over many tasks; a query brings the list of buckets it
+probes there, and a block returns no more than k rows a query. The only thing
+broadcast is the number of rows of each first axis, ``tables * 2 * dimension``
+rows at most.
 
 A query that finds fewer than k candidates is searched again in every bucket
 of the first table, that is among all rows.
@@ -19,8 +24,8 @@ Cases: vectors that are null, zero (or empty) or hold null or non-finite
 components, and rows with a null id, take no part; shorter vectors are padded
 with zeros up to ``dim``, the length of the longest; a query repeated under one
 id is searched once, by the smallest of its vectors; rows with the query's id
-are no candidates, and of candidates repeated under one id the nearest counts;
-ties go to the smaller id; extra columns are ignored.
+are no candidates, other repeated rows count each; ties go to the smaller id; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,16 +41,25 @@ from quarry.llm.common import query, read, stage
 from quarry.llm.vectors import blocks_of, matrix, spread, usable, widen
 
 TABLES = 8                # production parameters
-PROBES = 20
+PROBES = (20, 400, 4800)  # of a table with one, two and three rotations
+ROWS_A_BUCKET = 0.25      # at least, on average
 CANDIDATE_ROWS = 8192     # of a block
 QUERY_ROWS = 2048
-STEP = 128                # queries reranked at once
 SEED = 20240311
 
 
-def rotate(x: np.ndarray, table: int) -> np.ndarray:
-    """The table's pseudo-rotation of the rows; their length is a power of 2."""
-    rng = np.random.Generator(np.random.PCG64([SEED, table]))
+def rotations_for(rows: int, width: int) -> int:
+    """Rotations of a table: the most for which its ``(2 * width) ** r``
+    buckets hold ``ROWS_A_BUCKET`` rows on average."""
+    r = 1
+    while r < len(PROBES) and (2 * width) ** (r + 1) * ROWS_A_BUCKET <= rows:
+        r += 1
+    return r
+
+
+def rotate(x: np.ndarray, number: int) -> np.ndarray:
+    """The pseudo-rotation of that number; the rows' length is a power of 2."""
+    rng = np.random.Generator(np.random.PCG64([SEED, number]))
     n = x.shape[1]
     for _ in range(3):
         x = x * rng.choice(np.array([-1.0, 1.0]), n)
@@ -58,33 +72,79 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def signed_axes(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The nearest signed axes of each row, nearest first: axis * 2, plus 1
-    on the negative side. Beyond the number of axes, the far sides follow."""
-    y = rotate(unit, table)
-    near = np.argsort(-np.abs(y), axis=1, kind="stable")
-    negative = np.take_along_axis(y, near, axis=1) < 0
-    if probes > y.shape[1]:
-        near = np.concatenate([near, near[:, ::-1]], axis=1)
-        negative = np.concatenate([negative, ~negative[:, ::-1]], axis=1)
-    return (near * 2 + negative)[:, :probes]
-
-
-def _hash(width: int, tables: int, probes: int):
-    """Rows (id, vec) to rows (id, vec, table_no, bucket)."""
+def signed_axes(unit: np.ndarray, number: int, axes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest signed axes of each row, nearest first (axis * 2, plus 1
+    on the negative side), and their margins."""
+    y = rotate(unit, number)
+    both = np.stack([y, -y], axis=2).reshape(len(y), -1)
+    near = np.argsort(-both, axis=1, kind="stable")[:, :axes]
+    along = np.take_along_axis(both, near, axis=1)
+    return near, along[:, :1] - along
+
+
+def probe_order(unit: np.ndarray, table: int, rotations: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first axes, codes of the others) of the buckets of a table that each
+    row probes, least loss first."""
+    sides = 2 * unit.shape[1]
+    # a combination of the best ``probes`` has no axis beyond its ``probes``-th
+    found = [signed_axes(unit, table * rotations + r, min(sides, probes)) for r in range(rotations)]
+    codes, loss = found[0][0][:, :, None], (found[0][1] ** 2)
+    first = codes.reshape(len(unit), -1)
+    rest = np.zeros_like(first)
+    for axes, margins in found[1:]:
+        loss = (loss[:, :, None] + (margins ** 2)[:, None, :]).reshape(len(unit), -1)
+        n = axes.shape[1]
+        first = np.repeat(first, n, axis=1)
+        rest = (rest[:, :, None] * sides + axes[:, None, :]).reshape(len(unit), -1)
+        keep = np.argsort(loss, axis=1, kind="stable")[:, :probes]
+        loss, first, rest = (np.take_along_axis(a, keep, axis=1) for a in (loss, first, rest))
+    return first[:, :probes], rest[:, :probes]
+
+
+def _units(vec: pa.Array, width: int) -> np.ndarray:
+    x = widen(matrix(vec), width)
+    x = x / np.abs(x).max(axis=1, keepdims=True)      # no overflow in the squares
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _hash(width: int, tables: int, rotations: int):
+    """Candidates (id, row, vec) to rows (id, row, vec, table_no, axis, code)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = widen(matrix(batch.column("vec")), width)
-            x = x / np.abs(x).max(axis=1, keepdims=True)      # no overflow in the squares
-            unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            unit = _units(batch.column("vec"), width)
             for table in range(tables):
-                buckets = signed_axes(unit, table, probes)
-                at = np.repeat(np.arange(batch.num_rows), buckets.shape[1])
-                rows = batch.take(pa.array(at))
+                axis, code = probe_order(unit, table, rotations, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("id"), rows.column("vec"), pa.array(np.full(len(at), table), pa.int32()),
-                     pa.array(buckets.ravel(), pa.int32())], names=["id", "vec", "table_no", "bucket"])
+                    [*batch.select(["id", "row", "vec"]).columns, pa.array(np.full(len(axis), table), pa.int32()),
+                     pa.array(axis[:, 0], pa.int32()), pa.array(code[:, 0], pa.int32())],
+                    names=["id", "row", "vec", "table_no", "axis", "code"])
+
+    return run
+
+
+def _probe(width: int, tables: int, rotations: int, probes: int):
+    """Queries (id, vec) to a row for each table and first axis that they
+    probe: (id, vec, table_no, axis, codes)."""
+
+    step = max(1, (1 << 22) // (2 * width * probes))         # queries at once: their combinations fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                unit = _units(part.column("vec"), width)
+                for table in range(tables):
+                    axis, code = probe_order(unit, table, rotations, probes)
+                    who = np.repeat(np.arange(len(unit)), axis.shape[1])
+                    order = np.lexsort((code.ravel(), axis.ravel(), who))
+                    who, axes, codes = who[order], axis.ravel()[order], code.ravel()[order]
+                    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (axes[1:] != axes[:-1])]))
+                    rows = part.take(pa.array(who[first]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)), pa.int32()), pa.array(codes, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("id"), rows.column("vec"), pa.array(np.full(len(first), table), pa.int32()),
+                         pa.array(axes[first], pa.int32()), lists], names=["id", "vec", "table_no", "axis", "codes"])
 
     return run
 
@@ -97,80 +157,93 @@ def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _rerank(k: int):
-    """The k nearest candidates of each query of the block, by exact cosine."""
+    """The k nearest members of the probed buckets for each query of the
+    block, by exact cosine."""
 
     def run(table: pa.Table) -> pa.Table:
         is_query = table["is_query"].to_numpy()
         c, q = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
         out = []
         if q.num_rows and c.num_rows:
-            ids, qid = c["id"].to_numpy(), q["id"].to_numpy()
+            c = c.take(pa.array(np.argsort(c["code"].to_numpy(), kind="stable")))     # a bucket's members side by side
+            ids, rows, code, qid = (t[x].to_numpy() for t, x in ((c, "id"), (c, "row"), (c, "code"), (q, "id")))
             width = max(matrix(c["vec"]).shape[1], matrix(q["vec"]).shape[1])
             cv, qv = widen(matrix(c["vec"]), width), widen(matrix(q["vec"]), width)
-            unit = lambda a: (b := a / np.abs(a).max(axis=1, keepdims=True)) / np.linalg.norm(b, axis=1, keepdims=True)
-            cu, qu = unit(cv), unit(qv)
-            for at in range(0, len(qid), STEP):
-                s = qu[at:at + STEP] @ cu.T
-                s[ids[None, :] == qid[at:at + STEP, None]] = -9.0
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -8.0)
-                who, which = np.nonzero(s >= np.maximum(least - 1e-9, -8.0)[:, None])     # the k nearest and near ties
-                exact = cosines(qv[at + who], cv[which])
-                order = np.lexsort((ids[which], -exact, who))
-                who, which, exact = who[order], which[order], exact[order]
-                place = np.arange(len(who)) - np.searchsorted(who, who)
-                keep = place < k
-                out.append((qid[at + who[keep]], ids[which[keep]], exact[keep]))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0)] * 3
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)),
-                         "score": pa.array(cols[2], pa.float64())})
+            probed = q["codes"].combine_chunks()
+            starts, codes = probed.offsets.to_numpy(), probed.values.to_numpy()
+            lo, hi = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
+            for i in range(len(qid)):
+                a, b = lo[starts[i]:starts[i + 1]], hi[starts[i]:starts[i + 1]]
+                width_of = b - a
+                at = np.repeat(a - (np.cumsum(width_of) - width_of), width_of) + np.arange(width_of.sum())
+                at = at[ids[at] != qid[i]]
+                if not len(at):
+                    continue
+                exact = cosines(np.broadcast_to(qv[i], (len(at), width)), cv[at])
+                if len(at) > k:
+                    near = exact >= np.partition(exact, -k)[-k]
+                    at, exact = at[near], exact[near]
+                order = np.lexsort((rows[at], ids[at], -exact))[:k]
+                out.append((np.full(len(order), qid[i]), rows[at[order]], ids[at[order]], exact[order]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0)] * 4
+        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "row": pa.array(cols[1].astype(np.int64)),
+                         "vec_id": pa.array(cols[2].astype(np.int64)), "score": pa.array(cols[3], pa.float64())})
 
     return run
 
 
-def _found(candidates: DataFrame, queries: DataFrame, width: int, tables: int, probes: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's k nearest in the probed buckets."""
-    schema = "id bigint, vec array<double>, table_no int, bucket int"
-    key = ["table_no", "bucket"]
-    members = candidates.mapInArrow(_hash(width, tables, 1), schema)
-    asked = queries.mapInArrow(_hash(width, tables, probes), schema)
+def _found(candidates: DataFrame, queries: DataFrame, width: int, tables: int, rotations: int, probes: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): each query's k nearest in the probed buckets."""
+    key = ["table_no", "axis"]
+    vec = candidates.schema["vec"].dataType.simpleString()
+    members = candidates.mapInArrow(_hash(width, tables, rotations),
+                                    f"id bigint, row bigint, vec {vec}, table_no int, axis int, code int")
+    asked = queries.mapInArrow(_probe(width, tables, rotations, probes), f"id bigint, vec {vec}, table_no int, axis int, codes array<int>")
     sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).join(
         asked.groupBy(*key).agg(F.count(F.lit(1)).alias("asked")), key).select(
         *key, blocks_of(F.col("members"), CANDIDATE_ROWS).alias("blocks"),
         blocks_of(F.col("asked"), QUERY_ROWS).alias("query_blocks"))
     sizes = F.broadcast(stage(sizes, "ann-sizes"))          # tables * 2 * width rows at most
-    side = lambda df, is_query, own, others, own_col, other_col: spread(
-        df.join(sizes, key), "id", F.col(own), F.col(others), own_col, other_col).select(
-        *key, "block", "query_block", "id", "vec", F.lit(is_query).alias("is_query"))
-    met = side(members, False, "blocks", "query_blocks", "block", "query_block").unionByName(
-        side(asked, True, "query_blocks", "blocks", "query_block", "block"))
+    none = F.lit(None)
+    met = spread(members.join(sizes, key), "row", F.col("blocks"), F.col("query_blocks"), "block", "query_block").select(
+        *key, "block", "query_block", "id", "row", "vec", "code", none.cast("array<int>").alias("codes"), F.lit(False).alias("is_query"))
+    met = met.unionByName(
+        spread(asked.join(sizes, key), "id", F.col("query_blocks"), F.col("blocks"), "query_block", "block").select(
+            *key, "block", "query_block", "id", none.cast("bigint").alias("row"), "vec", none.cast("int").alias("code"), "codes",
+            F.lit(True).alias("is_query")))
     best = met.groupBy(*key, "block", "query_block").applyInArrow(
-        _rerank(k), "query_id bigint, vec_id bigint, score double")
-    # a candidate met in several tables, or repeated under its id, counts once
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        _rerank(k), "query_id bigint, row bigint, vec_id bigint, score double")
+    # a row met in several tables counts once; rows repeated under one id count each
+    best = best.groupBy("query_id", "row").agg(F.max("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
     return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
 def nearest(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding",
-            tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+            tables: int = TABLES, probes: int | None = None, rotations: int | None = None) -> DataFrame:
     """Each query's k nearest rows by cosine: query_id, rank, vec_id, score.
-    ``is_query`` marks the rows of ``df`` that are queries."""
+    ``is_query`` marks the rows of ``df`` that are queries. The rotations of a
+    table follow from the number of rows, the probes from the rotations."""
     vec = F.col(vec_col)
+    # float components stay float on the way, half as long; all arithmetic is in double
+    kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = df.filter(usable(vec) & F.col(id_col).isNotNull() & F.exists(vec, lambda x: x != 0)).select(
-        F.col(id_col).cast("bigint").alias("id"), vec.cast("array<double>").alias("vec"),
+        F.col(id_col).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), vec.cast(kind).alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = stage(rows, "ann-rows")
-    candidates = rows.select("id", "vec")
+    candidates = rows.select("id", "row", "vec")
     queries = rows.filter("asks").groupBy("id").agg(F.min("vec").alias("vec"))
-    longest = rows.agg(F.max(F.size("vec"))).first()[0] or 1
-    width = 1 << max(longest - 1, 0).bit_length()
+    n, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    width = 1 << max((longest or 1) - 1, 0).bit_length()
+    rotations = rotations or rotations_for(n, width)
     out = ["query_id", "rank", "vec_id", "score"]
-    found = stage(_found(candidates, queries, width, tables, min(probes, 2 * width), k).select(out), "ann-found")
+    probes = min(probes or PROBES[rotations - 1], (2 * width) ** rotations)
+    found = stage(_found(candidates, queries, width, tables, rotations, probes, k).select(out), "ann-found")
     short = queries.join(found.filter(F.col("rank") == k), F.col("id") == F.col("query_id"), "left_anti")
     if short.isEmpty():
         return found
     short = stage(short, "ann-short")
-    rest = _found(candidates, short, width, 1, 2 * width, k).select(out)
+    rest = _found(candidates, short, width, 1, 1, 2 * width, k).select(out)
     return found.join(short, F.col("id") == F.col("query_id"), "left_anti").unionByName(rest)
 
 
