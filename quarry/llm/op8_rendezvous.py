@@ -11,7 +11,8 @@ records fall into hash buckets, rows are numbered inside (shard, bucket),
 and the counts of the buckets before are added.
 
 Cases: a null key is a key of its own (its rows share a shard, and spread over
-its buckets by size and CRC); equal keys share a shard; a null or empty text has size 16 and CRC 0; an empty
+its buckets by size and CRC); equal keys share a shard; rows equal in doc_id, size and
+CRC have slots next to each other; a null or empty text has size 16 and CRC 0; an empty
 table gives an empty result; extra columns are ignored by the query and kept
 by ``assign``.
 """
@@ -28,6 +29,7 @@ from quarry.llm.common import free_name, query, read
 SHARDS = 40              # production parameters of the query
 OVERHEAD = 16            # bytes of a record besides its text
 BUCKETS = 1024           # hash buckets of a shard for numbering
+RUN = 1 << 16            # equal rows put out by a task at once
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
@@ -53,20 +55,35 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard"
     return df.withColumn(out, pick(F.col(f"`{key}`"), weights))
 
 
-def number_rows(df: DataFrame, group: str, order: Sequence[str], out: str, buckets: int = BUCKETS) -> DataFrame:
+def number_rows(df: DataFrame, group: str, order: Sequence[str], out: str, buckets: int = BUCKETS,
+                run: int = RUN) -> DataFrame:
     """Add ``out``: a gapless 0-based number of the row inside its group, by
-    hash bucket and then by ``order`` (all values that tell rows apart)."""
-    b, base, n, g2, b2 = (free_name([*df.columns, out], x) for x in ("bucket", "base", "n", "group", "part"))
-    numbered = df.withColumn(b, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(buckets)).cast("int"))
+    hash bucket and then by ``order`` (values that tell different rows apart).
+
+    Rows that are equal in all columns are counted before anything is
+    shuffled, numbered as one row, and put out again in runs of ``run`` rows
+    dealt over the tasks: no number of equal rows meets in one task."""
+    names = [c for c in df.columns if c != out]
+    b, base, n, g2, b2, at = (free_name([*df.columns, out], x) for x in ("bucket", "base", "n", "group", "part", "at"))
+    numbered = df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias(n)) \
+        .withColumn(b, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    bases = (numbered.groupBy(group, b).agg(F.count(F.lit(1)).alias(n))
+    bases = (numbered.groupBy(group, b).agg(F.sum(n).alias(n))
              .select(F.col(group).alias(g2), F.col(b).alias(b2),
                      F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base)))
-    inside = Window.partitionBy(group, b).orderBy(*order)
-    ranked = numbered.withColumn(out, F.row_number().over(inside) - 1)
-    joined = ranked.join(bases, F.col(group).eqNullSafe(F.col(g2)) & (F.col(b) == F.col(b2)))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out],
-                         (F.col(out) + F.col(base)).cast("bigint").alias(out))
+    inside = Window.partitionBy(group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = numbered.withColumn(at, F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    placed = ranked.join(bases, F.col(group).eqNullSafe(F.col(g2)) & (F.col(b) == F.col(b2))) \
+        .withColumn(at, F.col(at) + F.col(base))
+    kept = [F.col(f"`{c}`") for c in names]
+    single = placed.filter(F.col(n) == 1).select(*kept, F.col(at).cast("bigint").alias(out))
+    last = F.floor((F.col(n) - 1) / F.lit(run)).cast("bigint")
+    runs = placed.filter(F.col(n) > 1).select(*kept, n, at, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(b))
+    first = F.col(b) * run
+    runs = runs.select(*kept, (F.col(at) + first).alias(at), F.least(F.lit(run), F.col(n) - first).alias(n)).repartition(at)
+    several = runs.select(*kept, F.explode(F.sequence(F.col(at), F.col(at) + F.col(n) - 1)).alias(out)) \
+        .withColumn(out, F.col(out).cast("bigint"))
+    return single.unionByName(several)
 
 
 def shard_documents(docs: DataFrame, shards: int, weights: Sequence[float] | None = None) -> DataFrame:
