@@ -8,7 +8,10 @@ it, so a later link learns from predictions as good as those it will see. The
 link used on all documents is fitted on the whole labelled sample.
 
 At most ``SAMPLE`` labelled documents are used, those with the smallest hash
-of their id; this bound is a parameter. The folds of a link are fitted in
+of their id; this bound is a parameter. Texts longer than ``LONGEST`` bytes
+teach nothing (they are scored whole), so a fit task is bounded in bytes too.
+Of several texts under one doc_id the one of the smallest hash counts, so a rerun
+fits the same model. The folds of a link are fitted in
 parallel Spark groups of at most that size; the weights (``2**18`` floats
 a category) are all that goes to the scoring tasks. Every document is scored
 on its whole text. The limit of the last category is set on out-of-fold
@@ -39,6 +42,7 @@ from quarry.llm.common import query, read, stage, text_buffers
 from quarry.llm.words import doc_chunks, hash_words
 
 SAMPLE = 2500            # production parameters
+LONGEST = 1 << 18        # bytes of a text that the links are fitted on
 FOLDS = 3
 PREFIXES = (4, 5)
 LIMITS = (0.4, 0.6)
@@ -163,8 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
         F.array(*[F.max(c).cast("double") for c in categories]).alias("y")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds)).cast("int"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id") \
-        .dropDuplicates(["doc_id"])                       # ``sample`` rows at most
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST
+    rows = docs.select("doc_id", "text").filter(short).join(F.broadcast(chosen), "doc_id") \
+        .groupBy("doc_id").agg(F.min_by(F.struct("fold", "y", "text"), F.struct(F.xxhash64("text"), "text")).alias("r")) \
+        .select("doc_id", "r.*")                          # ``sample`` rows at most
     rows = stage(rows.select("doc_id", "fold", "y", "text").mapInArrow(
         _sampled, "doc_id bigint, fold int, y array<double>, slots binary, words binary"), "toxic-sample")
     known = rows.select("doc_id", F.array().cast("array<double>").alias("p"))
