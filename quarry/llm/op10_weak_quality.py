@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on every document.
-Expectation-maximisation (two classes, votes independent given the class)
-estimates each labeller's accuracy and the share of good documents from the
+Expectation-maximisation (one good class and a bad class for each labeller, votes
+independent given the class) estimates each labeller's accuracy and the share of good documents from the
 counts of the vote patterns over all documents; a document's posterior is
 that of its pattern. A hashed linear scorer is then fitted to the posteriors of
 a bounded sample and scores every document on its whole text, so that texts
@@ -10,7 +10,9 @@ near to no heuristic are judged too.
 
 The vote patterns are counted in Spark; with L labellers there are 3**L of
 them at most, which is all that the driver sees of the votes. The sample for the
-scorer holds about ``SAMPLE`` documents with the smallest text hashes; the
+scorer holds about ``SAMPLE`` documents with the smallest text hashes, fewer
+where these would be more than ``SAMPLE_BYTES``, and no text longer than ``LONGEST``
+bytes (such texts vote and are scored whole like all others); the
 weights (``2**18`` floats) are all that goes to the scoring tasks.
 
 The scorer's features are word shapes (letters folded to classes), pairs of
@@ -38,6 +40,8 @@ from quarry.llm.common import query, read, stage, text_buffers
 from quarry.llm.words import distinct_per_doc, doc_chunks, hash_words, shingle_hashes
 
 SAMPLE = 4000            # production parameters
+SAMPLE_BYTES = 64 << 20  # of the sample's texts, about
+LONGEST = 1 << 20        # bytes of a text that the scorer is fitted on
 LIMIT = 0.5              # documents below are rejected
 FLOOR = 0.007
 FEW = 8
@@ -214,13 +218,13 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
             some = [(p, per > 0) for p, _, per in judged(batch.column(0))]
             full = np.concatenate([np.empty(0, bool), *(f for _, f in some)])
             values = np.concatenate([np.empty(0, np.int64), *(p[f] for p, f in some)])
-            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(1).filter(pa.array(full))],
-                                             names=["pattern", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(values), *(batch.column(i).filter(pa.array(full)) for i in (1, 2))],
+                                             names=["pattern", "digest", "size"])
 
     texts = docs.select(F.col(f"`{text}`").alias("text"))
     digest = F.xxhash64("text")
-    votes = stage(texts.select("text", digest.alias("digest")).mapInArrow(pattern_of, "pattern bigint, digest bigint"),
-                  "quality-votes")
+    votes = stage(texts.select("text", digest.alias("digest"), F.octet_length("text").cast("bigint").alias("size"))
+                  .mapInArrow(pattern_of, "pattern bigint, digest bigint, size bigint"), "quality-votes")
     found = votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()   # 3 ** labellers rows at most
     patterns, counts = np.array([r["pattern"] for r in found], np.int64), np.array([r["n"] for r in found], float)
     total = counts.sum()
@@ -229,10 +233,12 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     post, prior, accuracy = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), post.tolist()))
     # distinct texts under a share of the hash range, by their number: copies neither crowd nor shrink the sample
-    share = min(1.0, sample / votes.select("digest").distinct().count())
+    short = votes.filter(F.col("size") <= LONGEST).select("digest", "size").distinct()
+    n, size = short.agg(F.count(F.lit(1)), F.sum("size")).first()
+    share = min(1.0, sample / n, SAMPLE_BYTES / size) if n else 1.0
     while True:
         few = texts.select("text", digest.alias("digest")).filter(
-            F.col("text").isNotNull() & (F.pmod("digest", F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))))
+            (F.octet_length("text") <= LONGEST) & (F.pmod("digest", F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))))
         row = few.dropDuplicates(["digest"]).groupBy(F.lit(0).alias("g")).applyInArrow(
             lambda t: _fit_scorer(posterior)(t), "weights binary, bias double").first()
         if row or share == 1:
