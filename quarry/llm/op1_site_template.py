@@ -19,8 +19,12 @@ a paragraph, and inside an article, or for an element with most of the page's
 text, a named element goes only if it recurs or is mostly links as well, or is
 plainly a comment list, a cookie notice or an advert.
 Where a page marks its article (``main``,
-``article``), only that part is text, and inside it a recurring subtree goes
-only if it is mostly link text or so named: a passage that many articles share is theirs.
+``article``), only that part is text. Inside it a recurring subtree goes if it is
+mostly link text or so named, and a box (a ``div``, a list, a section) also if
+it stands in many different articles of the host, whatever its name: a letter
+form or an advert. Articles count once however often they are copied; a box with a
+quarter of an article's text is no box; paragraphs, headings and quotations that many
+articles share are theirs.
 
 Counts are combined per (host, subtree) before the shuffle, so a hot host is
 spread over all its subtrees; the recurring subtrees of a host are bounded by
@@ -48,6 +52,8 @@ from quarry.llm.common import query, read, stage
 
 MIN_PAGES = 3            # production parameters: a subtree recurs under so many parents at least,
 SHARE = 0.01             # and on that share of the host's pages
+BOX_ARTICLES = 5         # a box in an article recurs in so many different ones at least,
+BOX_SHARE = 0.05         # and in as many as that share of the host's pages
 LINKS = 0.5              # mostly links: that share of its text is link text
 
 # Element names of HTML.
@@ -66,6 +72,7 @@ HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
          "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
 SCOPE = frozenset("html body article main section table td th div aside nav header footer form blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alertdialog alert menu menubar toolbar".split())
+BOXES = frozenset("center details div dl ol section table ul".split())
 FORMS = frozenset("form dialog".split())        # roles of what may stand around the whole page
 # Words of class and id names that mark what is no article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs "
@@ -75,7 +82,8 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense b
                   "signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split())
 REPLIES = frozenset("comment comments commentlist discussion disqus replies respond related recommended teaser".split())
 # Names that can be nothing else, inside an article too.
-PLAIN = re.compile(r"comments|commentlist|comments?-(area|box|form|list|respond|section|thread)|disqus(-thread)?|"
+PLAIN = re.compile(r"comments|commentlist|comments?-(area|block|box|container|form|list|respond|section|thread|wrapper)|disqus(-thread)?|"
+                   r"(article|page|post|reader|user|visitor)-comments?|(box|slot|unit|wrapper)-(ads?|adverts?|advertisement)|"
                    r"(cookies?|consent|gdpr)-(banner|bar|modal|notice|overlay|popup)|adsense|adsbygoogle|"
                    r"(ads?|adverts?|advertisement)(-(banner|box|container|slot|unit|wrapper))?")
 NEVER_NAMED = frozenset("html body main h1 h2 h3 h4 h5 h6 p".split())
@@ -304,20 +312,31 @@ def article_roots(root: Element) -> list[Element]:
     return roots
 
 
-def hashes_of(root: Element) -> set[tuple[bytes, bytes]]:
-    """(subtree, parent) hashes of all elements that may be template."""
+def box_hash(e: Element, article: Element) -> bytes | None:
+    """The hash by which an element is counted as a box of articles, if it may be one."""
+    if e.tag in BOXES and e.text_len and 4 * e.text_len < article.text_len and not e.has_main and not e.is_main:
+        return _hash(b"b", e.content)
+    return None
+
+
+def hashes_of(root: Element) -> set[tuple[bytes, bytes, bool]]:
+    """(subtree, parent, is a box) hashes of all elements that may be
+    template; the parent of a box is its article."""
     roots = {id(e) for e in article_roots(root) if e is not root}
-    out, todo = set(), [(root, False)]
+    out, todo = set(), [(root, None)]
     while todo:
         e, inside = todo.pop()
-        inside = inside or id(e) in roots
+        if inside is None and id(e) in roots:
+            inside = e
         for c in e.children:
+            if inside is not None and type(c) is Element and (box := box_hash(c, inside)):
+                out.add((box, inside.content, True))
             if type(c) is Element and c.text_len and id(c) not in roots:
                 links = mostly_links(c)
-                if not inside or links or c.named:
-                    out.add((c.content, e.content))
+                if inside is None or links or c.named:
+                    out.add((c.content, e.content, False))
                 if links and c.tag not in INLINE:
-                    out.add((c.shape, e.content))
+                    out.add((c.shape, e.content, False))
             if type(c) is Element and c.tag not in NO_TEXT:
                 todo.append((c, inside))
     return out
@@ -329,7 +348,7 @@ def main_text(root: Element, recurring: frozenset[bytes] | set[bytes]) -> tuple[
     explicit = roots[0] is not root
     ids = {id(r) for r in roots}
     deleted, out = 0, []
-    todo: list = [(root, False)]
+    todo: list = [(root, None)]               # with the article that an element is in
     while todo:
         e, inside = todo.pop()
         if e is None:
@@ -340,11 +359,12 @@ def main_text(root: Element, recurring: frozenset[bytes] | set[bytes]) -> tuple[
                 out.append(e)
             continue
         if id(e) in ids:
-            inside = True
+            inside = inside or e
         elif e is not root:
             links = mostly_links(e)
             article = explicit and inside
-            recurs = e.text_len and e.tag not in INLINE and not e.has_main and not e.is_main and (
+            box = box_hash(e, inside) if article else None
+            recurs = box in recurring or e.text_len and e.tag not in INLINE and not e.has_main and not e.is_main and (
                 e.content in recurring and (links or e.named or not article) or links and e.shape in recurring)
             deleted += bool(recurs)
             if recurs or e.fixed or e.form or e.tag == "header" and not article and not e.has_main:
@@ -370,7 +390,7 @@ def recurring_subtrees(pages: DataFrame, html: str = "html", min_pages: int = MI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, subtrees, parents = [], [], []
+            hosts, subtrees, parents, boxes = [], [], [], []
             for host, page in zip(batch.column(0), batch.column(1)):
                 if not host.as_py():
                     continue
@@ -379,20 +399,23 @@ def recurring_subtrees(pages: DataFrame, html: str = "html", min_pages: int = MI
                     hosts.append(host.as_py())
                     subtrees.append(None)
                     parents.append(int.from_bytes(root.content, "little", signed=True))
-                for subtree, parent in hashes_of(root):
+                    boxes.append(False)
+                for subtree, parent, box in hashes_of(root):
                     hosts.append(host.as_py())
+                    boxes.append(box)
                     subtrees.append(int.from_bytes(subtree, "little", signed=True))
                     parents.append(int.from_bytes(parent, "little", signed=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(parents, pa.int64())],
-                names=["host", "subtree", "parent"])
+                [pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(parents, pa.int64()), pa.array(boxes, pa.bool_())],
+                names=["host", "subtree", "parent", "box"])
 
-    counts = (pages.select("host", html).mapInArrow(run, "host string, subtree bigint, parent bigint").distinct()
-              .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")))
-    counts = stage(counts.filter(F.col("subtree").isNull() | (F.col("n") >= min_pages)), "page-subtrees")
+    least = F.when(F.col("box"), F.lit(max(BOX_ARTICLES, min_pages))).otherwise(F.lit(min_pages))
+    counts = (pages.select("host", html).mapInArrow(run, "host string, subtree bigint, parent bigint, box boolean").distinct()
+              .groupBy("host", "subtree", "box").agg(F.count(F.lit(1)).alias("n")))
+    counts = stage(counts.filter(F.col("subtree").isNull() | (F.col("n") >= least)), "page-subtrees")
     sizes = counts.filter("subtree IS NULL").select("host", F.col("n").alias("pages"))
     return counts.filter(F.col("subtree").isNotNull()).join(sizes, "host") \
-                 .filter(F.col("n") >= F.lit(share) * F.col("pages")) \
+                 .filter(F.col("n") >= F.when(F.col("box"), F.lit(max(BOX_SHARE, share))).otherwise(F.lit(share)) * F.col("pages")) \
                  .groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("subtrees"))
 
 
