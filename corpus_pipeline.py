@@ -15,6 +15,7 @@ from quarry.llm import op9_toxicity_chain as toxicity
 from quarry.llm import op10_weak_quality as quality
 from quarry.llm.common import free_name, read, ship_package, stage
 from quarry.session import ensure_checkpoint_dir
+from quarry.sinks.tables import staged_scope
 
 SHINGLE, SIMILAR = 5, (80, 100)      # near duplicates: five words, similarity 0.8
 MAX_REPEATS = 1.25                   # a small source is drawn so often at most
@@ -75,8 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """The stages one after the other, each written and read again. When a
+    stage is written, all that was staged for it and the stage before are
+    deleted, so the checkpoint folder holds one copy of the corpus at the end."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with staged_scope(spark) as staged:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            written = staged.pop()                # the last one staged
+            staged.extend(before)
+        before = [written]
     return STAGES[-1][1](spark, docs, sf_dir)
