@@ -71,7 +71,9 @@ def test_train_and_score_jobs(spark):
     tmp = tempfile.mkdtemp(prefix="quarry-train-")
     best, table = train_job(spark, data, "doc_id", "quality", FEATURES, f"{tmp}/model",
                             f"{tmp}/metrics", include=["logistic_regression"])
-    assert best == "logistic_regression" and [r.stage for r in table.orderBy("stage").collect()] == ["cv", "holdout", "train"]
+    assert best == "logistic_regression" and {r.stage for r in table.collect()} == {*(f"cv fold {k}" for k in range(5)), "cv mean", "cv sd", "holdout", "train"}
+    mean, folds = (table.filter(F.col("stage").rlike(s)).agg(F.avg("auc")).first()[0] for s in ("cv mean", "cv fold"))
+    assert abs(mean - folds) < 1e-12 and 0 <= mean <= 1
     for rerun in range(2):
         score_job(data, f"{tmp}/model", f"{tmp}/pred", "r1", keep=["doc_id"])
     assert spark.read.parquet(f"{tmp}/pred").count() == data.count()
@@ -115,7 +117,7 @@ def test_click_dataset_and_predictions(spark):
     tmp = tempfile.mkdtemp(prefix="quarry-m-")
     best, table = train_job(spark, out, "registration_id", "clicked_or_not", ["iru_count", "n"], f"{tmp}/m",
                             include=["logistic_regression"], trained_ids_path=f"{tmp}/ids")
-    assert {r.stage for r in table.collect()} == {"cv", "train", "holdout"}
+    assert {r.stage.split(" ")[0] for r in table.collect()} == {"cv", "train", "holdout"}
     trained = spark.read.parquet(f"{tmp}/ids")
     assert trained.count() == 38                            # one of each class is held out
     pred = predictions_job(out, trained, "registration_id", f"{tmp}/m", f"{tmp}/p", metrics_path=f"{tmp}/pm")
