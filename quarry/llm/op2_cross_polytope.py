@@ -45,6 +45,7 @@ PROBES = (20, 400, 4800)  # of a table with one, two and three rotations
 ROWS_A_BUCKET = 0.25      # at least, on average
 CANDIDATE_ROWS = 8192     # of a block
 QUERY_ROWS = 2048
+PAIRS = 50_000            # reranked at once
 SEED = 20240311
 
 
@@ -86,16 +87,14 @@ def probe_order(unit: np.ndarray, table: int, rotations: int, probes: int) -> tu
     """(first axes, codes of the others) of the buckets of a table that each
     row probes, least loss first."""
     sides = 2 * unit.shape[1]
-    # a combination of the best ``probes`` has no axis beyond its ``probes``-th
     found = [signed_axes(unit, table * rotations + r, min(sides, probes)) for r in range(rotations)]
-    codes, loss = found[0][0][:, :, None], (found[0][1] ** 2)
-    first = codes.reshape(len(unit), -1)
+    first, loss = found[0][0], found[0][1] ** 2
     rest = np.zeros_like(first)
     for axes, margins in found[1:]:
-        loss = (loss[:, :, None] + (margins ** 2)[:, None, :]).reshape(len(unit), -1)
-        n = axes.shape[1]
-        first = np.repeat(first, n, axis=1)
-        rest = (rest[:, :, None] * sides + axes[:, None, :]).reshape(len(unit), -1)
+        # a combination of places i and j comes after i * j others at least
+        i, j = np.nonzero(np.outer(np.arange(1, loss.shape[1] + 1), np.arange(1, axes.shape[1] + 1)) <= probes)
+        loss = loss[:, i] + (margins ** 2)[:, j]
+        first, rest = first[:, i], rest[:, i] * sides + axes[:, j]
         keep = np.argsort(loss, axis=1, kind="stable")[:, :probes]
         loss, first, rest = (np.take_along_axis(a, keep, axis=1) for a in (loss, first, rest))
     return first[:, :probes], rest[:, :probes]
@@ -172,19 +171,33 @@ def _rerank(k: int):
             probed = q["codes"].combine_chunks()
             starts, codes = probed.offsets.to_numpy(), probed.values.to_numpy()
             lo, hi = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
-            for i in range(len(qid)):
-                a, b = lo[starts[i]:starts[i + 1]], hi[starts[i]:starts[i + 1]]
-                width_of = b - a
-                at = np.repeat(a - (np.cumsum(width_of) - width_of), width_of) + np.arange(width_of.sum())
-                at = at[ids[at] != qid[i]]
-                if not len(at):
-                    continue
-                exact = cosines(np.broadcast_to(qv[i], (len(at), width)), cv[at])
-                if len(at) > k:
-                    near = exact >= np.partition(exact, -k)[-k]
-                    at, exact = at[near], exact[near]
-                order = np.lexsort((rows[at], ids[at], -exact))[:k]
-                out.append((np.full(len(order), qid[i]), rows[at[order]], ids[at[order]], exact[order]))
+            unit = lambda a: (b := a / np.abs(a).max(axis=1, keepdims=True)) / np.linalg.norm(b, axis=1, keepdims=True)
+            cu, qu = unit(cv), unit(qv)
+            met = np.concatenate([[0], np.cumsum(hi - lo)])[starts]       # pairs before each query
+            at = 0
+            while at < len(qid):
+                end = max(int(np.searchsorted(met, met[at] + PAIRS, "right")) - 1, at + 1)
+                a, b = lo[starts[at]:starts[end]], hi[starts[at]:starts[end]]
+                sizes = b - a
+                which = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                who = np.repeat(np.arange(at, end), np.diff(met[at:end + 1]))
+                other = ids[which] != qid[who]
+                who, which = who[other], which[other]
+                about = np.einsum("ij,ij->i", qu[who], cu[which])
+                order = np.lexsort((-about, who))
+                first = np.searchsorted(who[order], np.arange(at, end))
+                kth = np.minimum(first + k, np.searchsorted(who[order], np.arange(at, end), "right")) - 1
+                least = np.full(end - at, -9.0)
+                some = kth >= first
+                least[some] = about[order][kth[some]]
+                near = about >= least[who - at] - 1e-9                     # the k nearest and near ties
+                who, which = who[near], which[near]
+                exact = cosines(qv[who], cv[which])
+                order = np.lexsort((rows[which], ids[which], -exact, who))
+                who, which, exact = who[order], which[order], exact[order]
+                keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+                out.append((qid[who[keep]], rows[which[keep]], ids[which[keep]], exact[keep]))
+                at = end
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0)] * 4
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "row": pa.array(cols[1].astype(np.int64)),
                          "vec_id": pa.array(cols[2].astype(np.int64)), "score": pa.array(cols[3], pa.float64())})
