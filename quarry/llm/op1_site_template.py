@@ -41,6 +41,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
 
@@ -95,6 +96,17 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+@lru_cache(maxsize=1 << 14)                     # a host's pages repeat their names
+def _name_words(names: str) -> list[list[str]]:
+    out = []
+    for name in names.split():
+        name = _CAMEL.sub(" ", name.partition("--")[0] or name).lower()
+        words = [w for w in _SPLIT.split(LAYOUT.sub(" ", name)) if w and not w.isdigit()]
+        if words and words[0] not in SUBJECT:
+            out.append(words)
+    return out
+
+
 class Element:
     __slots__ = ("tag", "attrs", "children", "text_len", "link_len", "content", "shape", "fixed", "form", "named",
                  "is_main", "has_main")
@@ -123,13 +135,7 @@ class Element:
 
     def names(self) -> list[list[str]]:
         """The words of each of its classes and its id, without modifiers and numbers."""
-        out = []
-        for name in f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}".split():
-            name = _CAMEL.sub(" ", name.partition("--")[0] or name).lower()
-            words = [w for w in _SPLIT.split(LAYOUT.sub(" ", name)) if w and not w.isdigit()]
-            if words and words[0] not in SUBJECT:
-                out.append(words)
-        return out
+        return _name_words(f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}")
 
     def named_in(self, marks: frozenset[str]) -> bool:
         """A name's whole, first or last word is one of ``marks``."""
