@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import WHITESPACE, base_name, token_count
 from quarry.operators.packing import pack_chunks
-from quarry.sinks.tables import overwrite
+from quarry.sinks.tables import materialize, overwrite, staged_scope
 
 # Chunk budget and reviewable suffixes of the reference.
 CONTEXT_WINDOW_TOKENS = 100_000
@@ -296,7 +296,10 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     columns), in ranges of ``(diff_id, path, part)``: as many tasks and files
     as the data asks for, and a large diff is spread over several."""
     key = ("diff_id", "path", "part")
-    overwrite(chunks.repartitionByRange(*key).sortWithinPartitions(*key), path)
+    with staged_scope(chunks.sparkSession):
+        # the bounds of the ranges take a pass of their own: over written chunks, not over all the splitting
+        staged = materialize(chunks, "chunks")
+        overwrite(staged.repartitionByRange(*key).sortWithinPartitions(*key), path)
 
 
 def read_chunks(spark: SparkSession, path: str, diff_id: str | None = None) -> DataFrame:
