@@ -2,8 +2,8 @@
 
 Features are cut into bins at approximate quantiles. A tree grows leaf by
 leaf, the one with the highest gain first; all it needs are the sums of
-gradients and Hessians for each (leaf, feature, bin), one Spark aggregate of
-as many rows whatever the table's size. The children of all leaves that could
+gradients and Hessians for each (leaf, feature, bin): tasks add up their rows
+with numpy, and one Spark aggregate of as many rows adds up the tasks. The children of all leaves that could
 be split are summed in one job, so a tree takes about as many jobs as it has
 levels. Sums are of whole numbers (gradients in steps of ``1 / UNIT``), so a
 fit does not depend on the order of rows or on tasks that ran again.
@@ -46,6 +46,57 @@ def margin(trees: list[dict], value_of) -> Column:
     return total
 
 
+def _leaf_sums(trees: list[dict], numbers: dict, nodes: list[int], features: int, width: int):
+    """For ``mapInArrow`` over rows ``(bins, y, w)``: a task's sums ``(leaf,
+    f, b, g, h)`` of gradients and Hessians, in steps of ``1 / UNIT``, of the
+    nodes asked for. ``numbers`` is a tree whose values are node numbers. The
+    trees come as data, so no job has code of its own to compile."""
+    unit = float(UNIT)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def fill(node, bins, at, out):
+            if "value" in node:
+                out[at] = node["value"]
+                return
+            left = bins[at, node["feature"]] <= node["threshold"]
+            fill(node["left"], bins, at[left], out)
+            fill(node["right"], bins, at[~left], out)
+
+        def steps(x):                                  # half away from zero, as SQL's round
+            whole = np.trunc(x)
+            return (whole + np.sign(x) * (np.abs(x - whole) >= 0.5)).astype(np.int64)
+
+        wanted = np.array(sorted(nodes))
+        g_sums, h_sums = (np.zeros(len(wanted) * features * width, np.int64) for _ in range(2))
+        for batch in batches:
+            n = batch.num_rows
+            bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(n, features)
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("y", "w"))
+            if not np.isfinite(w).all():
+                raise ValueError("weights must be finite")
+            at, leaf, total, value = np.arange(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            fill(numbers, bins, at, leaf)
+            for tree in trees:
+                fill(tree, bins, at, value)
+                total += value
+            p = 1.0 / (1.0 + np.exp(-total))
+            g, h = steps(np.where(np.isnan(y), 0.0, w * (p - y)) * unit), steps(w * p * (1 - p) * unit)
+            of = np.isin(leaf, wanted)
+            place = (np.searchsorted(wanted, leaf[of])[:, None] * features + np.arange(features)) * width + bins[of]
+            np.add.at(g_sums, place.ravel(), np.repeat(g[of], features))
+            np.add.at(h_sums, place.ravel(), np.repeat(h[of], features))
+        found = np.flatnonzero((g_sums != 0) | (h_sums != 0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(wanted[found // (features * width)], pa.int32()), pa.array(found // width % features, pa.int32()),
+             pa.array(found % width, pa.int32()), pa.array(g_sums[found], pa.int64()), pa.array(h_sums[found], pa.int64())],
+            names=["leaf", "f", "b", "g", "h"])
+
+    return run
+
+
 def best_split(grad: np.ndarray, hess: np.ndarray, reg: float, least: float) -> tuple[float, int, int] | None:
     """(gain, feature, bin) of the best split of a leaf into bins up to and
     after ``bin``, from its sums (features, bins); ties to the first."""
@@ -119,23 +170,21 @@ class HistogramBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Defau
 
     def _tree(self, rows: DataFrame, trees: list[dict], edges: list[list[float]]) -> dict | None:
         reg, least, leaves = (self.getOrDefault(x) for x in ("regParam", "minHessian", "maxLeaves"))
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin(trees, lambda f: F.col("bins")[f])))
-        step = lambda c: F.round(c * F.lit(float(UNIT))).cast("bigint")
-        data = rows.select("bins", step(F.col("w") * (p - F.col("y"))).alias("g"), step(F.col("w") * p * (1 - p)).alias("h"))
+        if not edges:
+            return None
         width = max((len(e) for e in edges), default=0) + 1
 
-        def sums(nodes: dict[int, dict], number: Column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        def sums(nodes: dict[int, dict], numbers: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             out = {k: (np.zeros((len(edges), width)), np.zeros((len(edges), width))) for k in nodes}
-            found = data.withColumn("leaf", number).filter(F.col("leaf").isin(list(nodes))) \
-                .select("leaf", "g", "h", F.posexplode("bins").alias("f", "b")) \
-                .groupBy("leaf", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()   # leaves x features x bins
+            parts = rows.mapInArrow(_leaf_sums(trees, numbers, list(nodes), len(edges), width), "leaf int, f int, b int, g bigint, h bigint")
+            found = parts.groupBy("leaf", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()   # leaves x features x bins
             for r in found:
                 out[r["leaf"]][0][r["f"], r["b"]], out[r["leaf"]][1][r["f"], r["b"]] = r["g"] / UNIT, r["h"] / UNIT
             return out
 
         root: dict = {"id": 0}
-        known = sums({0: root}, F.lit(0))
-        if not known or not len(edges) or not known[0][1].any():
+        known = sums({0: root}, {"value": 0})
+        if not known[0][1].any():
             return None
         open_leaves, last = {0: root}, 0
         pending: dict[int, tuple] = {0: best_split(*known[0], reg, least)}      # best split by leaf
@@ -149,7 +198,7 @@ class HistogramBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Defau
                     new |= {c["id"]: c for c in leaf["children"]}
             room = leaves - len(open_leaves)
             if new and room > 0:
-                known |= sums(new, self._leaf_number(root, pending))
+                known |= sums(new, self._numbers(root, pending))
                 pending |= {k: best_split(*known[k], reg, least) for k in new}
             ready = [(-pending[k][0], k) for k, leaf in open_leaves.items() if pending[k]]
             if not ready or room <= 0:
@@ -171,14 +220,15 @@ class HistogramBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Defau
         return finish(root)
 
     @staticmethod
-    def _leaf_number(root: dict, pending: dict[int, tuple]) -> Column:
-        """The number of the deepest known node that a row falls into."""
+    def _numbers(root: dict, pending: dict[int, tuple]) -> dict:
+        """A tree over bins whose values are the numbers of the deepest known nodes."""
 
-        def number(node: dict) -> Column:
+        def number(node: dict) -> dict:
             if "children" not in node or not pending.get(node["id"]):
-                return F.lit(node["id"])
+                return {"value": node["id"]}
             _, f, b = pending[node["id"]]
-            return F.when(F.col("bins")[f] <= F.lit(b), number(node["children"][0])).otherwise(number(node["children"][1]))
+            left, right = (number(c) for c in node["children"])
+            return {"feature": f, "threshold": b, "left": left, "right": right}
 
         return number(root)
 

@@ -34,6 +34,7 @@ from quarry.sinks.tables import materialize
 TRAIN_PER_MILLE = 995
 FOLDS = 5
 SEED = 123
+FITS_AT_ONCE = 8
 MOST_CLASSES = 100                 # a label column with more values is no class label
 FILLED = "__filled"
 
@@ -186,9 +187,9 @@ def cross_validate(train: DataFrame, features: Sequence[str], label: str = "labe
     """M4/M5: ``binary_metrics`` of each candidate in each fold, with the
     candidate's name in ``model``.
 
-    One fit per candidate and fold, on one cached frame that all share; the
-    candidates run side by side, as Spark takes jobs from several driver
-    threads. The held-out predictions of all fits are measured in one job. A
+    One fit per candidate and fold, on one cached frame that all share; fits
+    run side by side, ``FITS_AT_ONCE`` of them, as Spark takes jobs from several
+    driver threads. The held-out predictions of all fits are measured in one job. A
     fold without both classes, in it or beside it, is left out.
     """
     from concurrent.futures import ThreadPoolExecutor
@@ -199,17 +200,15 @@ def cross_validate(train: DataFrame, features: Sequence[str], label: str = "labe
     folds = sorted({f for f, _ in held})
     usable = [f for f in folds if len({y for g, y in held if g == f}) > 1 and len({y for g, y in held if g != f}) > 1]
 
-    def run(name: str) -> list[DataFrame]:
-        out = []
-        for f in usable:
-            model = _pipeline(features, label, weight, name).fit(data.filter(F.col(fold) != f))
-            out.append(_scores(model.transform(data.filter(F.col(fold) == f)))
-                       .select(F.lit(name).alias("model"), F.lit(f).cast("int").alias("fold"), INDEX, "prediction", "__score"))
-        return out
+    def run(fit: tuple[int, str]) -> DataFrame:
+        f, name = fit
+        model = _pipeline(features, label, weight, name).fit(data.filter(F.col(fold) != f))
+        return _scores(model.transform(data.filter(F.col(fold) == f))) \
+            .select(F.lit(name).alias("model"), F.lit(f).cast("int").alias("fold"), INDEX, "prediction", "__score")
 
     try:
-        with ThreadPoolExecutor(max(1, len(todo))) as pool:
-            parts = [df for dfs in pool.map(run, todo) for df in dfs]
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            parts = list(pool.map(run, [(f, name) for f in usable for name in todo]))
         if not parts:
             return binary_metrics(data.limit(0).select(
                 F.lit("").alias("model"), F.lit(0).alias("fold"), F.lit(0.0).alias(INDEX), F.lit(0.0).alias("prediction"),
